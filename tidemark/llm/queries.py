@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import license_scan, url_filter
-from tidemark.llm.common import table
+from tidemark.llm import bpe, license_scan, token_file, url_filter
+from tidemark.llm.common import scratch, table
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_file.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(VOCABULARY))
+    return token_file.describe_token_files(spark, path)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +27,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
         "op2_url_filter": op2_url_filter,
         "op4_license_scan": op4_license_scan,
+        "op5_bpe": op5_bpe,
     }
 
 
