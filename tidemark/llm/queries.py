@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, license_scan, token_file, url_filter
+from tidemark.llm import bpe, decontaminate, license_scan, quality, token_file, url_filter
 from tidemark.llm.common import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,14 +31,25 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.drop("text", "lang")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op2_url_filter": op2_url_filter,
         "op4_license_scan": op4_license_scan,
         "op5_bpe": op5_bpe,
+        "op6_quality": op6_quality,
+        "op8_decontaminate": op8_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE_SQL}
+    return {"op2_url_filter": url_filter.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
