@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, license_scan, quality, token_file, url_filter
+from tidemark.llm import bpe, decontaminate, language, license_scan, quality, token_file, toxicity, url_filter
 from tidemark.llm.common import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,10 +36,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "lang")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -47,7 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": op4_license_scan,
         "op5_bpe": op5_bpe,
         "op6_quality": op6_quality,
+        "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
+        "op9_language": op9_language,
     }
 
 
