@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, language, license_scan, quality, token_file, toxicity, url_filter
+from tidemark.llm import bpe, decontaminate, language, license_scan, quality, suffix_dedup, token_file, toxicity, url_filter
 from tidemark.llm.common import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -49,6 +49,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op9_language": op9_language,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
