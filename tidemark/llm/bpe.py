@@ -255,17 +255,16 @@ def load(path: str, use: str = "") -> ForcedBoundaryBPE:
     return _LOADED[path, use]
 
 
-def encode_documents(docs: DataFrame, path: str, keep_text: bool = False, digest: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
     """Encode and decode every whole text of ``docs`` (doc_id, text).
 
-    Returns doc_id, n_tokens, ids_sha256 and decoded_sha256 (with ``digest``),
-    and ids and decoded themselves with ``keep_text``. A null text counts as
+    Returns doc_id, n_tokens, ids_sha256 and decoded_sha256, and ids or decoded
+    themselves where asked for. A null text counts as
     empty: no tokens, digests of the empty string. Repeated rows each give a
     row; other columns of ``docs`` are ignored.
     """
-    schema = "doc_id long, n_tokens long"
-    schema += ", ids_sha256 string, decoded_sha256 string" if digest else ""
-    schema += ", ids array<int>, decoded string" if keep_text else ""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
 
     def run(batches):
         bpe = load(path, "text")
@@ -279,7 +278,7 @@ def encode_documents(docs: DataFrame, path: str, keep_text: bool = False, digest
                 a = b
 
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
             texts = [bpe.chunks(x or "") for x in batch["text"].to_pylist()]
             cache = bpe.held(texts, make)
             for words in texts:
@@ -287,20 +286,20 @@ def encode_documents(docs: DataFrame, path: str, keep_text: bool = False, digest
                 ids = " ".join([g[0] for g in got])
                 decoded = " ".join([g[1] for g in got])
                 cols[0].append(ids.count(" ") + (ids != ""))
-                if digest:
-                    cols[1].append(hashlib.sha256(ids.encode()).hexdigest())
-                    cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if keep_text:
-                    cols[3].append([int(x) for x in ids.split()])
+                cols[1].append(hashlib.sha256(ids.encode()).hexdigest())
+                cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
+                if keep_ids:
+                    cols[3].append(np.array(ids.split(), np.int32))
+                if keep_decoded:
                     cols[4].append(decoded)
-            arrays = [batch["doc_id"], pa.array(cols[0], pa.int64())]
-            names = ["doc_id", "n_tokens"]
-            if digest:
-                arrays += [pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                names += ["ids_sha256", "decoded_sha256"]
-            if keep_text:
-                arrays += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())]
-                names += ["ids", "decoded"]
+            arrays = [batch["doc_id"], pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:3]]]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                arrays.append(pa.array(cols[3], pa.list_(pa.int32())))
+                names.append("ids")
+            if keep_decoded:
+                arrays.append(pa.array(cols[4], pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

@@ -303,6 +303,35 @@ def hit_words(raw: bytes, spans: list) -> int:
     return sum(int(((starts >= a) & (starts < b)).sum()) for a, b in spans)
 
 
+def is_contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and SHARE * n_hit >= n_words
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without contaminated documents, and without the removal spans in
+    the others: same columns, text cut, n_chars (if there) counted anew.
+
+    Spans begin and end at words, so no character is cut. Null texts stay null."""
+    found = find_hits(docs, benchmark)
+
+    def run(batches):
+        for batch in batches:
+            texts, spans, n_words = (batch[c].to_pylist() for c in ("text", "spans", "n_words"))
+            keep, out = [], []
+            for text, cuts, n in zip(texts, spans, n_words, strict=True):
+                raw = (text or "").encode()
+                keep.append(not is_contaminated(hit_words(raw, cuts) if cuts else 0, n))
+                for a, b in reversed(cuts if keep[-1] else []):
+                    raw = raw[:a] + raw[b:]
+                out.append(None if text is None else raw.decode())
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(out, pa.string())}
+            whole = pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            yield whole.filter(pa.array(keep, pa.bool_()))
+
+    clean = map_arrow(found, run, docs.schema.simpleString()[7:-1])
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
 def judge_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
 
@@ -319,7 +348,7 @@ def judge_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = batch["items"].to_pylist()
             digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
             n_words = batch["n_words"].to_pylist()
-            bad = [h > 0 and SHARE * h >= n for h, n in zip(n_hit, n_words, strict=True)]
+            bad = [is_contaminated(h, n) for h, n in zip(n_hit, n_words, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],

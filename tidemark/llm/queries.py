@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, language, license_scan, quality, suffix_dedup, token_file, toxicity, url_filter
+from tidemark.llm import bpe, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_file, toxicity, url_filter
 from tidemark.llm.common import scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op2_url_filter": op2_url_filter,
+        "op3_minhash": op3_minhash,
         "op4_license_scan": op4_license_scan,
         "op5_bpe": op5_bpe,
         "op6_quality": op6_quality,
