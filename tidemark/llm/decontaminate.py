@@ -313,6 +313,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Spans begin and end at words, so no character is cut. Null texts stay null."""
     found = find_hits(docs, benchmark)
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -325,7 +326,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     raw = raw[:a] + raw[b:]
                 out.append(None if text is None else raw.decode())
             columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(out, pa.string())}
-            whole = pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            whole = pa.RecordBatch.from_arrays([columns[c] for c in names], names)
             yield whole.filter(pa.array(keep, pa.bool_()))
 
     clean = map_arrow(found, run, docs.schema.simpleString()[7:-1])
