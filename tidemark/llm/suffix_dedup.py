@@ -12,10 +12,12 @@ whose shorter rank is not unique go on to the next round:
 3. 50 bytes, for anchors with several extensions: the windows of the smallest
    document of each extension.
 
-Every round is a Spark exchange by rank. Each task first reduces its ranks to
-distinct ones and packs those of one bucket into one row, so a passage that
-many documents share costs one entry for each task. Texts are shuffled once,
-by a hash of doc_id; all rounds reuse that exchange.
+Every round is a Spark exchange by rank. A part (the documents of one hash of
+doc_id) sends its distinct ranks in ascending order, those of one bucket packed
+into one row, so a passage that many documents share costs one entry for each
+part. The answer says one bit for each entry, in the order in which it came;
+the part ranks its texts again to read it. Texts are shuffled once, by part;
+all rounds reuse that exchange.
 """
 
 from __future__ import annotations
@@ -45,14 +47,16 @@ BUCKET_BYTES = 16 << 20
 #: Stands for a null doc_id: no document is larger.
 NO_ID = 2**63 - 1
 
+#: UTF-8 bytes scanned together.
+GROUP_BYTES = 1 << 20
+
 _POS = np.uint64((1 << 24) - 1)
-_KEY48 = np.uint64((1 << 48) - 1)
-RUN = np.dtype([("key", "<u8"), ("run", "<u8"), ("doc", "<i8")])
-REPLY = np.dtype([("run", "<u8"), ("doc", "<i8"), ("open", "u1")])
-WINDOW = np.dtype([("h", "<u8"), ("doc", "<i8")])
 
-SIDE = "part int, kind int, data binary"
-BUCKETED = "bucket int, part int, kind int, data binary"
+#: Answers by round: the bits of one part and bucket.
+SIDE = "part int, round int, bucket int, first binary, second binary"
+#: Entries: ranks, further ranks, least doc_ids, and whether several documents
+#: of the part have the rank.
+ENTRIES = "bucket int, part int, ranks binary, more binary, docs binary, several binary"
 
 
 class Scan:
@@ -84,7 +88,6 @@ class Scan:
         self.key = short[(least[first] & _POS).astype(np.int64)]
         self.piece = piece[first]
         self.doc = docs[self.piece]
-        self.doc_of_piece = docs
         #: what to take from a place to have its offset in the text
         self.shift = begins[:-1] - offsets
 
@@ -108,7 +111,7 @@ def scans(raws: list[bytes]) -> Iterator[Scan]:
         for at in range(0, max(1, len(raw) - LENGTH + 1), PIECE_BYTES)
         if len(raw) >= LENGTH
     ]
-    for a, b in tb.groups([p[2] for p in pieces]):
+    for a, b in tb.groups([p[2] for p in pieces], GROUP_BYTES):
         some = pieces[a:b]
         yield Scan(np.array([p[0] for p in some]), np.array([p[1] for p in some]), [p[2] for p in some])
 
@@ -117,8 +120,8 @@ def _ids(column) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in column.to_pylist()], np.int64)
 
 
-def _pack48(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack48(ranks: np.ndarray) -> bytes:
+    return ranks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def _unpack48(data: bytes) -> np.ndarray:
@@ -127,224 +130,250 @@ def _unpack48(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _least(records: np.ndarray, *fields: str) -> np.ndarray:
-    """Of the records with equal fields the one with the smallest doc."""
-    if not len(records):
-        return records
-    order = np.lexsort([records["doc"], *[records[f] for f in reversed(fields)]])
-    records = records[order]
-    new = np.ones(len(records), bool)
-    new[1:] = np.any([records[f][1:] != records[f][:-1] for f in fields], axis=0)
-    return records[new]
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit values by byte place: equal upper bytes then pack to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    kinds = [pa.binary() if c.strip().endswith("binary") else pa.int32() for c in schema.split(",")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def _unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view("<i8")
 
 
-def _bucket_rows(part: int, kind: int, ranks: np.ndarray, records: np.ndarray, n_buckets: int, pack) -> list[tuple]:
-    """The records by the bucket of their rank, one row for each."""
-    # the upper bits say the bucket, the lower 48 stay as the rank in it
-    bucket = ((ranks >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, records = bucket[order], records[order]
-    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-    stops = np.append(heads[1:], len(bucket)) if len(bucket) else []
-    return [(int(bucket[a]), part, kind, pack(records[a:b])) for a, b in zip(heads, stops, strict=True)]
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
 
 
-def _reply_rows(parts: np.ndarray, kind: int, records: np.ndarray, pack) -> list[tuple]:
-    order = np.argsort(parts, kind="stable")
-    parts, records = parts[order], records[order]
-    heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
-    stops = np.append(heads[1:], len(parts)) if len(parts) else []
-    return [(int(parts[a]), kind, pack(records[a:b])) for a, b in zip(heads, stops, strict=True)]
+def _unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def _raw(records: np.ndarray) -> bytes:
-    return records.tobytes()
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields]
+    )
 
 
-# Round 1: which anchors stand in two documents.
+def _cut(ranks: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of ascending ranks: the upper bits say the bucket."""
+    bucket = ((ranks >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
+    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=False))
+
+
+class Ranks:
+    """Distinct ranks of one round in a part, ascending, with the least and the
+    largest doc_id of each, and the entry of every ranked place."""
+
+    def __init__(self, docs: np.ndarray, ranks: np.ndarray, more: np.ndarray | None = None):
+        order = np.argsort(ranks, kind="stable") if more is None else np.lexsort((more, ranks))
+        ranks, docs = ranks[order], docs[order]
+        new = np.append(True, ranks[1:] != ranks[:-1])[: len(ranks)]
+        if more is not None:
+            more = more[order]
+            new[1:] |= more[1:] != more[:-1]
+        heads = np.flatnonzero(new)
+        self.entry = np.empty(len(ranks), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.ranks, self.more = ranks[heads], None if more is None else more[heads]
+        self.least = np.minimum.reduceat(docs, heads) if len(heads) else docs
+        self.largest = np.maximum.reduceat(docs, heads) if len(heads) else docs
+
+    def rows(self, part: int, n_buckets: int, with_docs: bool, whole: bool = False) -> list[tuple]:
+        """Entries of 48 bits beside their bucket, or of all 64 if they decide."""
+        several = self.least != self.largest
+        return [
+            (
+                bucket,
+                part,
+                self.ranks[a:b].tobytes() if whole else _pack48(self.ranks[a:b]),
+                b"" if self.more is None else self.more[a:b].tobytes(),
+                _planes(self.least[a:b]) if with_docs else b"",
+                _bits(several[a:b]),
+            )
+            for bucket, a, b in _cut(self.ranks, n_buckets)
+        ]
+
+    def answers(self, side: dict, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two bits of every ranked place."""
+        first, second = np.zeros(len(self.ranks), bool), np.zeros(len(self.ranks), bool)
+        for bucket, a, b in _cut(self.ranks, n_buckets):
+            if bucket in side:
+                first[a:b] = _unbits(side[bucket][0], b - a)
+                second[a:b] = _unbits(side[bucket][1], b - a)
+        return first[self.entry], second[self.entry]
+
+
+class Part:
+    """The texts of one part, ranked as far as the answers of earlier rounds go."""
+
+    def __init__(self, raws: list[bytes], ids: np.ndarray, side: dict[int, dict], n_buckets: int):
+        self.scans, self.n_buckets, self.side = list(scans(raws)), n_buckets, side
+        join = lambda f, kind: np.concatenate([np.zeros(0, kind), *map(f, self.scans)])
+        self.key = join(lambda s: s.key, np.uint64)
+        self.text = join(lambda s: s.doc, np.int64)
+        self.doc = ids[self.text]
+        self.begin = np.cumsum([0, *(len(s.key) for s in self.scans)])
+
+    def anchors(self) -> Ranks:
+        return Ranks(self.doc, self.key)
+
+    def runs(self) -> tuple[np.ndarray, Ranks]:
+        """Runs whose anchor several documents have, and the ranks of those."""
+        shared, _ = self.anchors().answers(self.side.get(1, {}), self.n_buckets)
+        found = [s.run_hashes(np.flatnonzero(shared[a : a + len(s.key)])) for s, a in zip(self.scans, self.begin, strict=False)]
+        at = np.flatnonzero(shared)
+        return at, Ranks(self.doc[at], self.key[at], np.concatenate([np.zeros(0, np.uint64), *found]))
+
+    def judged(self) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that a smaller document has too, and runs whose windows are open."""
+        at, ranks = self.runs()
+        earlier, open_ = ranks.answers(self.side.get(2, {}), self.n_buckets)
+        later = earlier | (self.doc[at] > ranks.least[ranks.entry])
+        return at[later], at[~later & open_]
+
+    def windows(self, open_: np.ndarray) -> tuple[list, Ranks]:
+        """(scan, starts, runs) of the open windows, and their ranks."""
+        found, hashes, docs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for s, a in zip(self.scans, self.begin, strict=False):
+            mine = open_[(open_ >= a) & (open_ < a + len(s.key))] - a
+            starts, of = s.window_starts(mine)
+            found.append((s, starts, of))
+            hashes.append(s.window_hashes(starts))
+            docs.append(self.doc[a + of])
+        return found, Ranks(np.concatenate(docs), np.concatenate(hashes))
+
+    def removed(self, n_texts: int) -> list[list[tuple[int, int]]]:
+        """Merged removal spans of each text."""
+        closed, open_ = self.judged()
+        found, ranks = self.windows(open_)
+        earlier, _ = ranks.answers(self.side.get(3, {}), self.n_buckets)
+        text, lo, hi = [], [], []
+        done = 0
+        for (s, starts, of), a in zip(found, self.begin, strict=False):
+            doc = self.doc[a + of]
+            entry = ranks.entry[done : done + len(starts)]
+            hit = earlier[done : done + len(starts)] | (doc > ranks.least[entry])
+            done += len(starts)
+            mine = closed[(closed >= a) & (closed < a + len(s.key))] - a
+            for run, x, y in ((mine, s.lo[mine], s.hi[mine]), (of[hit], starts[hit], starts[hit])):
+                shift = s.shift[s.piece[run]]
+                text.append(s.doc[run])
+                lo.append(x - shift)
+                hi.append(y - shift + LENGTH)
+        out: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
+        if not text:
+            return out
+        text, lo, hi = map(np.concatenate, (text, lo, hi))
+        order = np.lexsort([lo, text])
+        for d, a, b in zip(text[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+            spans = out[d]
+            if spans and a <= spans[-1][1]:
+                if b > spans[-1][1]:
+                    spans[-1] = (spans[-1][0], b)
+            else:
+                spans.append((a, b))
+        return out
 
 
-def _emit_anchors(n_buckets: int):
-    def run(batches):
-        met: dict[int, list] = {}
-        for batch in batches:
-            ids = _ids(batch["doc_id"])
-            parts = np.array(batch["part"].to_pylist(), np.int64)
-            for scan in scans(tb.encode(batch["text"].to_pylist())):
-                for part in np.unique(parts[scan.doc]).tolist():
-                    at = parts[scan.doc] == part
-                    met.setdefault(part, []).append((scan.key[at], ids[scan.doc[at]]))
-        for part, found in met.items():
-            key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            new = np.append(True, key[1:] != key[:-1])
-            heads = np.flatnonzero(new)
-            shared = np.maximum.reduceat(doc, heads) != np.minimum.reduceat(doc, heads)
-            for kind in (0, 1):  # of one document of the part, of several
-                some = key[heads[shared == bool(kind)]]
-                rows = _bucket_rows(part, kind, some, some, n_buckets, _pack48)
-                if rows:
-                    yield _batch(rows, BUCKETED)
+def _part(docs: pa.Table | pa.RecordBatch, side: pa.Table | None, n_buckets: int) -> Part:
+    answers: dict[int, dict] = {}
+    if side is not None:
+        for r, bucket, first, second in zip(*(side[c].to_pylist() for c in ("round", "bucket", "first", "second")), strict=True):
+            answers.setdefault(r, {})[bucket] = first, second
+    return Part(tb.encode(docs["text"].to_pylist()), _ids(docs["doc_id"]), answers, n_buckets)
 
-    return run
 
+def _number(docs: pa.Table) -> int:
+    return docs["part"][0].as_py()
 
-def _shared_anchors(rows: pa.Table) -> pa.Table:
-    keys = [_unpack48(x) for x in rows["data"].to_pylist()]
-    sizes = [len(k) for k in keys]
-    part = np.repeat(rows["part"].to_numpy(), sizes)
-    several = np.repeat(rows["kind"].to_numpy(), sizes)
-    key = np.concatenate(keys)
-    order = np.argsort(key, kind="stable")
-    key, part, several = key[order], part[order], several[order]
-    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    group = np.diff(np.append(heads, len(key)))
-    shared = np.repeat((group > 1) | (np.maximum.reduceat(several, heads) > 0), group)
-    return pa.Table.from_batches([_batch(_reply_rows(part[shared], 0, key[shared], _pack48), SIDE)])
 
+def _send_anchors(n_buckets: int):
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            docs = pa.Table.from_batches(held)
+            rows = _part(docs, None, n_buckets).anchors().rows(_number(docs), n_buckets, False)
+            held.clear()
+            return _batch(rows, ENTRIES)
+
+        for batch in batches:  # sorted by part
+            part = batch["part"].to_numpy()
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a < b:
+                    if held and held[0]["part"][0].as_py() != part[a]:
+                        yield flush()
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield flush()
 
-# Round 2: the extensions of shared anchors.
+    return run
 
 
-def _emit_runs(n_buckets: int):
+def _send_runs(n_buckets: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        shared = np.sort(np.concatenate([np.zeros(0, "<u8"), *map(_unpack48, side["data"].to_pylist())]))
-        found = []
-        if len(shared) and docs.num_rows:
-            ids = _ids(docs["doc_id"])
-            for scan in scans(tb.encode(docs["text"].to_pylist())):
-                low = scan.key & _KEY48
-                at = np.minimum(np.searchsorted(shared, low), len(shared) - 1)
-                at = np.flatnonzero(shared[at] == low)
-                some = np.zeros(len(at), RUN)
-                some["key"], some["run"], some["doc"] = scan.key[at], scan.run_hashes(at), ids[scan.doc[at]]
-                found.append(_least(some, "key", "run"))
-        records = _least(np.concatenate([np.zeros(0, RUN), *found]), "key", "run")
-        part = docs["part"][0].as_py() if docs.num_rows else 0
-        rows = _bucket_rows(part, 1, records["key"], records, n_buckets, _raw)
-        return pa.Table.from_batches([_batch(rows, BUCKETED)])
+        rows = _part(docs, side, n_buckets).runs()[1].rows(_number(docs), n_buckets, True) if docs.num_rows else []
+        return pa.Table.from_batches([_batch(rows, ENTRIES)])
 
     return run
 
 
-def _settle_runs(rows: pa.Table) -> pa.Table:
-    records = [np.frombuffer(x, RUN) for x in rows["data"].to_pylist()]
-    part = np.repeat(rows["part"].to_numpy(), [len(r) for r in records])
-    records = np.concatenate(records)
-    order = np.lexsort([records["doc"], records["run"], records["key"]])
-    records, part = records[order], part[order]
-    new_key = np.append(True, records["key"][1:] != records["key"][:-1])
-    new_run = new_key | np.append(True, records["run"][1:] != records["run"][:-1])
-    heads = np.flatnonzero(new_run)
-    first = records["doc"][heads][np.cumsum(new_run) - 1]
-    keys = np.flatnonzero(new_key)
-    n_runs = np.add.reduceat(new_run.astype(np.int64), keys)[np.cumsum(new_key) - 1]
-    out = np.zeros(len(records), REPLY)
-    out["run"], out["doc"], out["open"] = records["run"], first, n_runs > 1
-    return pa.Table.from_batches([_batch(_reply_rows(part, 1, out, _raw), SIDE)])
-
-
-# Round 3: single windows, where an anchor has several extensions.
-
-
-def _sides(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    kinds, data = side["kind"].to_pylist(), side["data"].to_pylist()
-    runs = [np.frombuffer(x, REPLY) for k, x in zip(kinds, data, strict=True) if k == 1]
-    windows = [np.frombuffer(x, WINDOW) for k, x in zip(kinds, data, strict=True) if k == 2]
-    runs = np.concatenate([np.zeros(0, REPLY), *runs])
-    windows = np.concatenate([np.zeros(0, WINDOW), *windows])
-    return np.sort(runs, order="run"), np.sort(windows, order="h")
-
-
-def _look(sorted_ranks: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Where each rank is found; -1 if nowhere."""
-    if not len(sorted_ranks):
-        return np.full(len(ranks), -1)
-    at = np.minimum(np.searchsorted(sorted_ranks, ranks), len(sorted_ranks) - 1)
-    return np.where(sorted_ranks[at] == ranks, at, -1)
-
-
-def _judged(scan: Scan, ids: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that a smaller document has too, and runs whose windows are open."""
-    at = _look(runs["run"], scan.run_hashes(np.arange(len(scan.lo))))
-    known = at >= 0
-    first, doc = runs["doc"][at] if len(runs) else at, ids[scan.doc]
-    closed = known & (first < doc)
-    return np.flatnonzero(closed), np.flatnonzero(known & (first == doc) & (runs["open"][at] > 0 if len(runs) else False))
-
-
-def _emit_windows(n_buckets: int):
+def _send_windows(n_buckets: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        runs, _ = _sides(side)
-        found = []
-        if len(runs) and docs.num_rows:
-            ids = _ids(docs["doc_id"])
-            for scan in scans(tb.encode(docs["text"].to_pylist())):
-                _, open_ = _judged(scan, ids, runs)
-                starts, of = scan.window_starts(open_)
-                some = np.zeros(len(starts), WINDOW)
-                some["h"], some["doc"] = scan.window_hashes(starts), ids[scan.doc[of]]
-                found.append(some)
-        # a part may hold a window in several documents: all but the first lose it
-        records = np.unique(np.concatenate([np.zeros(0, WINDOW), *found]))
-        part = docs["part"][0].as_py() if docs.num_rows else 0
-        return pa.Table.from_batches([_batch(_bucket_rows(part, 2, records["h"], records, n_buckets, _raw), BUCKETED)])
+        rows = []
+        if docs.num_rows:
+            part = _part(docs, side, n_buckets)
+            rows = part.windows(part.judged()[1])[1].rows(_number(docs), n_buckets, True, True)
+        return pa.Table.from_batches([_batch(rows, ENTRIES)])
 
     return run
 
 
-def _settle_windows(rows: pa.Table) -> pa.Table:
-    records = [np.frombuffer(x, WINDOW) for x in rows["data"].to_pylist()]
-    part = np.repeat(rows["part"].to_numpy(), [len(r) for r in records])
-    records = np.concatenate(records)
-    order = np.lexsort([records["doc"], records["h"]])
-    records, part = records[order].copy(), part[order]
-    new = np.append(True, records["h"][1:] != records["h"][:-1])
-    first = records["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = records["doc"] > first
-    records["doc"] = first
-    return pa.Table.from_batches([_batch(_reply_rows(part[later], 2, records[later], _raw), SIDE)])
-
-
-def _covered(raws: list[bytes], ids: np.ndarray, side: pa.Table) -> list[list[tuple[int, int]]]:
-    """Merged removal spans of each text."""
-    runs, windows = _sides(side)
-    doc, lo, hi = [], [], []
-    if len(runs):
-        for scan in scans(raws):
-            closed, open_ = _judged(scan, ids, runs)
-            starts, of = scan.window_starts(open_)
-            at = _look(windows["h"], scan.window_hashes(starts))
-            hit = (at >= 0) & (windows["doc"][at] < ids[scan.doc[of]]) if len(windows) else at >= 0
-            for piece, a, b in (
-                (scan.piece[closed], scan.lo[closed], scan.hi[closed]),
-                (scan.piece[of[hit]], starts[hit], starts[hit]),
-            ):
-                shift = scan.shift[piece]
-                doc.append(scan.doc_of_piece[piece])
-                lo.append(a - shift)
-                hi.append(b - shift + LENGTH)
-    out: list[list[tuple[int, int]]] = [[] for _ in raws]
-    if not doc:
-        return out
-    doc, lo, hi = map(np.concatenate, (doc, lo, hi))
-    order = np.lexsort([lo, doc])
-    for d, a, b in zip(doc[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
-        spans = out[d]
-        if spans and a <= spans[-1][1]:
-            if b > spans[-1][1]:
-                spans[-1] = (spans[-1][0], b)
+def _answer(round_: int):
+    """All entries of a bucket: round 1 asks whether another document has the
+    rank, round 2 whether a smaller one has it (and whether the anchor has other
+    runs), round 3 whether a smaller one has it."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        read = _unpack48 if round_ < 3 else lambda x: np.frombuffer(x, "<u8")
+        ranks = [read(x) for x in entries["ranks"].to_pylist()]
+        sizes = [len(r) for r in ranks]
+        ranks = np.concatenate(ranks)
+        several = np.concatenate([_unbits(x, n) for x, n in zip(entries["several"].to_pylist(), sizes, strict=True)])
+        keys, docs = [ranks], None
+        if round_ == 2:
+            keys.append(np.frombuffer(b"".join(entries["more"].to_pylist()), "<u8"))
+        if round_ > 1:
+            docs = np.concatenate([_unplanes(x) for x in entries["docs"].to_pylist()])
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(ranks, kind="stable")
+        new = np.zeros(len(ranks), bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+        heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+        second = np.zeros(len(ranks), bool)
+        if round_ == 1:
+            count = np.diff(np.append(heads, len(ranks)))
+            found = ((count > 1) | np.logical_or.reduceat(several[order], heads))[group]
         else:
-            spans.append((a, b))
-    return out
+            found = docs[order] > np.minimum.reduceat(docs[order], heads)[group]
+        if round_ == 2:
+            anchor = np.append(True, ranks[order[1:]] != ranks[order[:-1]])
+            second[order] = np.add.reduceat(new.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1] > 1
+        first = np.zeros(len(ranks), bool)
+        first[order] = found
+        stops = np.cumsum(sizes)
+        rows = [
+            (part, round_, bucket, _bits(first[b - n : b]), _bits(second[b - n : b]))
+            for part, bucket, n, b in zip(entries["part"].to_pylist(), entries["bucket"].to_pylist(), sizes, stops, strict=True)
+        ]
+        return pa.Table.from_batches([_batch(rows, SIDE)])
+
+    return run
 
 
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -356,10 +385,10 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _finish(extra: list[str]):
+def _finish(extra: list[str], n_buckets: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         raws = tb.encode(docs["text"].to_pylist())
-        spans = _covered(raws, _ids(docs["doc_id"]), side)
+        spans = _part(docs, side, n_buckets).removed(len(raws))
         kept = [_kept(r, s) for r, s in zip(raws, spans, strict=True)]
         out = {
             "n_bytes": pa.array([len(r) for r in raws], pa.int64()),
@@ -387,8 +416,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     the input and never cross documents. ``n_spans`` counts the maximal removed
     runs. Null texts have no bytes (``kept_text`` stays null) and texts under
     LENGTH bytes lose none. Rows with one doc_id never take from each other; a
-    null doc_id is larger than any other. Columns named part, bucket, kind or
-    data do not clash: only doc_id, text and others under their own names pass.
+    null doc_id is larger than any other. Further columns pass under any name
+    but those of the results.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -404,21 +433,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string"),
         *[F.col(f"`{c}`").alias(e) for c, e in zip(others, extra, strict=True)],
         F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int").alias("part"),
-    ).repartition(n_tasks, "part")
+    ).repartition(n_tasks, "part").sortWithinPartitions("part")
 
     def cogroup(side: DataFrame, fn, schema: str) -> DataFrame:
         return texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(fn, schema)
 
-    def settle(rows: DataFrame, fn) -> DataFrame:
-        return rows.groupBy("bucket").applyInArrow(fn, SIDE)
+    def answer(entries: DataFrame, round_: int) -> DataFrame:
+        bits = entries.groupBy("bucket").applyInArrow(_answer(round_), SIDE)
+        return bits.repartition(n_tasks, "part")  # an exchange that later rounds reuse
 
-    anchors = settle(map_arrow(texts, _emit_anchors(n_buckets), BUCKETED), _shared_anchors)
-    runs = settle(cogroup(anchors, _emit_runs(n_buckets), BUCKETED), _settle_runs)
-    windows = settle(cogroup(runs, _emit_windows(n_buckets), BUCKETED), _settle_windows)
+    one = answer(map_arrow(texts, _send_anchors(n_buckets), ENTRIES), 1)
+    two = answer(cogroup(one, _send_runs(n_buckets), ENTRIES), 2)
+    three = answer(cogroup(one.unionAll(two), _send_windows(n_buckets), ENTRIES), 3)
     kinds = dict(docs.select(*others).dtypes) if others else {}
     own = "".join(f", {e} {kinds[c]}" for c, e in zip(others, extra, strict=True))
     schema = f"doc_id long{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    done = cogroup(runs.unionAll(windows), _finish(extra), schema)
+    done = cogroup(one.unionAll(two).unionAll(three), _finish(extra, n_buckets), schema)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     return done.select(
         "doc_id", *[F.col(e).alias(c) for c, e in zip(others, extra, strict=True) if c not in added], *added
