@@ -453,3 +453,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return done.select(
         "doc_id", *[F.col(e).alias(c) for c, e in zip(others, extra, strict=True) if c not in added], *added
     )
+
+
+#: Every 50-byte string as hexadecimal text: for small tables.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (
+  SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM d)),
+m AS (SELECT k, min(doc_id) AS f FROM g GROUP BY k),
+bad AS (SELECT doc_id, p FROM g JOIN m USING (k) WHERE f < doc_id),
+marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER w > 50 THEN 1 ELSE 0 END AS new FROM bad WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+grouped AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS i FROM marked),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM grouped GROUP BY doc_id, i),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

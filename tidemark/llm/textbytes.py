@@ -100,7 +100,8 @@ class Rolling:
     def windows(self, size: int) -> np.ndarray:
         """Of the ``size`` bytes from each position on, as far as they reach."""
         n = max(0, len(self.sums) - size)
-        return mix((self.sums[size:] - self.sums[:n]) * self.up[:n] + np.uint64(size) * _ODD)
+        salt = np.uint64(size * int(_ODD) & (1 << 64) - 1)
+        return mix((self.sums[size:] - self.sums[:n]) * self.up[:n] + salt)
 
 
 def chain(h: np.ndarray, size: int) -> np.ndarray:

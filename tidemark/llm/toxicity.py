@@ -224,10 +224,11 @@ class Model:
     base: float  # that a text without a match is toxic
 
     def score(self, texts: list[str], automaton: Automaton) -> np.ndarray:
+        """The chance of the most telling match; without one, the base chance."""
         doc, cell = cells(texts, automaton)
-        miss = np.bincount(doc, np.log(np.maximum(1 - self.chance[cell], 1e-6)), len(texts))
-        found = np.bincount(doc, minlength=len(texts)) > 0
-        return np.where(found, 1 - np.exp(miss), self.base)
+        best = np.full(len(texts), -1.0)
+        np.maximum.at(best, doc, self.chance[cell])
+        return np.where(best < 0, self.base, best)
 
 
 def _groups(texts: list[str]):
@@ -242,30 +243,15 @@ def _places(x: str) -> set[tuple[str, str, str]]:
     return out | {(w[:n] + "*", before, w) for w, before, _ in out for n in STEM_SIZES if len(w) > n}
 
 
-def _count_toxic(rows: DataFrame) -> DataFrame:
-    """After how many different words each term stands, and in how many forms.
-
-    A passage that many texts share counts once so, an insult put into many
-    sentences counts often."""
-
-    def run(batches):
-        for batch in batches:
-            met = set().union(*map(_places, batch["text"].to_pylist()))
-            columns = list(zip(*met, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["term", "before", "word"])
-
-    places = map_arrow(rows.select("text"), run, "term string, before string, word string")
-    return places.groupBy("term").agg(F.count_distinct("before").alias("n"), F.count_distinct("word").alias("forms"))
-
-
-def _count_clean(rows: DataFrame, wanted) -> DataFrame:
-    """In how many texts each wanted term stands."""
+def _count_texts(rows: DataFrame, wanted=None) -> DataFrame:
+    """In how many texts each word and stem (each wanted one) stands."""
 
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
             for x in batch["text"].to_pylist():
-                counts.update({t for t, _, _ in _places(x)} & wanted.value)
+                terms = {t for t, _, _ in _places(x)}
+                counts.update(terms if wanted is None else terms & wanted.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
             )
@@ -273,6 +259,21 @@ def _count_clean(rows: DataFrame, wanted) -> DataFrame:
     return map_arrow(rows.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _count_places(rows: DataFrame, wanted) -> DataFrame:
+    """After how many different words each wanted term stands, and in how many
+    forms. A passage that many texts share counts once so."""
+
+    def run(batches):
+        for batch in batches:
+            met = set().union(*map(_places, batch["text"].to_pylist()))
+            met = [m for m in met if m[0] in wanted.value]
+            columns = list(zip(*met, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["term", "before", "word"])
+
+    places = map_arrow(rows.select("text"), run, "term string, before string, word string")
+    return places.groupBy("term").agg(F.count_distinct("before").alias("n"), F.count_distinct("word").alias("forms"))
+
+
 def _evidence(p: int, n: int, base: float) -> float:
     rate = p / (p + n)
     out = p * math.log(rate / base)
@@ -283,10 +284,13 @@ def _evidence(p: int, n: int, base: float) -> float:
 
 def _lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
     spark = toxic.sparkSession
-    # a bounded list: terms of at least MIN_SUPPORT places of a bounded sample
-    met = _count_toxic(toxic).where(F.col("n") >= MIN_SUPPORT).collect()
-    p, forms = {r["term"]: r["n"] for r in met}, {r["term"]: r["forms"] for r in met}
-    n = {r["term"]: r["n"] for r in _count_clean(clean, spark.sparkContext.broadcast(set(p))).collect()}
+    # a bounded list: terms of at least MIN_SUPPORT texts of a bounded sample
+    p = {r["term"]: r["n"] for r in _count_texts(toxic).where(F.col("n") >= MIN_SUPPORT).collect()}
+    sent = spark.sparkContext.broadcast(set(p))
+    n = {r["term"]: r["n"] for r in _count_texts(clean, sent).collect()}
+    forms = {}
+    for r in _count_places(toxic, sent).collect():
+        p[r["term"]], forms[r["term"]] = min(p[r["term"]], r["n"]), r["forms"]
     base = n_toxic / (n_toxic + n_clean)
     good = {}
     for term, k in p.items():
@@ -361,7 +365,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text.
 
-    ``score`` is the chance that one match at least is abuse; a text without a
+    ``score`` is the chance of the text's most telling match; a text without a
     match, as a null or empty one, has the base chance of such texts.
     ``predicted`` is 1 from THRESHOLD on. Each input row gives one row; other
     columns are ignored.
