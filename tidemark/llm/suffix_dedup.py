@@ -42,7 +42,7 @@ ANCHORS = LENGTH - HALF + 1
 PIECE_BYTES = 8 << 20
 #: UTF-8 bytes of the texts of one part; ranks that meet in one bucket come
 #: from so many bytes of all parts.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 #: Stands for a null doc_id: no document is larger.
 NO_ID = 2**63 - 1
