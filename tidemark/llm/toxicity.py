@@ -32,6 +32,8 @@ STEM_SIZES = (4, 5, 6, 7, 8)
 #: Words a stem must begin.
 STEM_WORDS = 3
 MAX_TERMS = 2000
+#: Terms that a task counts before it sends them on.
+COUNTED_TERMS = 100_000
 #: Shorter terms must be met exactly.
 FUZZY_LETTERS = 5
 #: Words before a match in which a reporting word makes it a quotation.
@@ -246,15 +248,21 @@ def _places(x: str) -> set[tuple[str, str, str]]:
 def _count_texts(rows: DataFrame, wanted=None) -> DataFrame:
     """In how many texts each word and stem (each wanted one) stands."""
 
+    def rows_of(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
+        )
+
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
             for x in batch["text"].to_pylist():
                 terms = {t for t, _, _ in _places(x)}
                 counts.update(terms if wanted is None else terms & wanted.value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
-            )
+                if len(counts) > COUNTED_TERMS:
+                    yield rows_of(counts)
+                    counts.clear()
+            yield rows_of(counts)
 
     return map_arrow(rows.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -265,8 +273,9 @@ def _count_places(rows: DataFrame, wanted) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            met = set().union(*map(_places, batch["text"].to_pylist()))
-            met = [m for m in met if m[0] in wanted.value]
+            met: set = set()
+            for x in batch["text"].to_pylist():
+                met.update(m for m in _places(x) if m[0] in wanted.value)
             columns = list(zip(*met, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["term", "before", "word"])
 
