@@ -25,9 +25,11 @@ from tidemark.llm.common import fold, map_arrow, materialize
 TRAIN_TOXIC = 4000
 TRAIN_CLEAN = 16000
 MIN_SUPPORT = 3
-#: A term's share of toxic texts, and its log-likelihood over the base rate.
+#: A term's share of toxic texts. Its log-likelihood over the base rate must
+#: also exceed the logarithm of the terms tried over CHANCE_TERMS, so that about
+#: so many pass by chance at most; each still counts with its own rate only.
 MIN_PRECISION = 0.8
-MIN_EVIDENCE = 9.0
+CHANCE_TERMS = 8
 STEM_SIZES = (4, 5, 6, 7, 8)
 #: Words a stem must begin.
 STEM_WORDS = 3
@@ -301,11 +303,11 @@ def _lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) ->
     for r in _count_places(toxic, sent).collect():
         p[r["term"]], forms[r["term"]] = min(p[r["term"]], r["n"]), r["forms"]
     base = n_toxic / (n_toxic + n_clean)
-    good = {}
+    least, good = math.log(max(2, len(p) / CHANCE_TERMS)), {}
     for term, k in p.items():
         against = n.get(term, 0)
         evidence = _evidence(k, against, base)
-        if k / (k + against) >= MIN_PRECISION and evidence >= MIN_EVIDENCE:
+        if k / (k + against) >= MIN_PRECISION and evidence >= least:
             good[term] = evidence
     stems: list[str] = []
     for term in sorted((t[:-1] for t in good if t.endswith("*")), key=lambda t: (-good[t + "*"], -len(t), t)):
