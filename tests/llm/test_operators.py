@@ -158,6 +158,7 @@ def test_near_duplicates_equal_all_pairs(spark, docs, size):
 def test_large_groups_go_through_hubs_and_blocks(spark, monkeypatch):
     """A ring of texts, each near to the next alone, and one group around a hub."""
     monkeypatch.setattr(minhash_join, "SMALL", 2)
+    monkeypatch.setattr(minhash_join, "BLOCK_SHINGLES", 300)
     w = [f"w{i}" for i in range(400)]
     ring = [" ".join(w[i * 6 : i * 6 + 90]) for i in range(30)]
     star = [" ".join(["s", *[f"v{k}" for k in range(60) if k != i]]) for i in range(25)]
