@@ -13,18 +13,24 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 #: Arrow batches handed to Python stay under these, whatever a row holds.
 BATCH_ROWS = 1000
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is named."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a local folder; any other one raises,
+    as its executors would each write to a disk of their own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
         conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = LOCAL_CHECKPOINTS
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(conf)
@@ -43,11 +49,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like ``name`` that none of these has, in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lower the session's Arrow batch bounds to ours.
+
+    Spark reads them when a plan runs, which is after this library returns its
+    frame, so they can't be put back here; a smaller bound of the caller stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def arrow_column(
+    spark: SparkSession,
+    fn: Callable[[Iterator], Iterator[pa.Array]],
+    schema: str,
+    *columns: Column,
+) -> Column:
+    """One column that ``fn`` makes of batches of ``columns``, evaluated once.
+
+    Only these columns go to Python, and only its result comes back."""
+    bound_batches(spark)
+    given = Iterator[pa.Array] if len(columns) == 1 else Iterator[tuple[pa.Array, ...]]
+
+    def run(batches: given) -> Iterator[pa.Array]:
+        return fn(batches)
+
+    run.__annotations__ = {"batches": given, "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, schema).asNondeterministic()(*columns)
+
+
+def struct_array(fields: dict[str, pa.Array]) -> pa.StructArray:
+    return pa.StructArray.from_arrays(list(fields.values()), list(fields))
+
+
 def map_arrow(
     df: DataFrame,
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import map_arrow
+from tidemark.llm.common import arrow_column, fresh, map_arrow, struct_array
 
 MIN_WORDS = 10
 REPEAT_WINDOW = 5
@@ -22,6 +22,8 @@ MAX_REPEAT_PERCENT = 20
 MIN_JUDGED_WORDS = 50
 #: A language needs this many words over all its documents to be a reference.
 MIN_REFERENCE_WORDS = 2000
+#: Languages that have a reference at most: those of most words.
+MAX_LANGUAGES = 1000
 #: Jensen-Shannon distances (base 2 logarithm, 0 to 1) beyond which a text goes.
 MAX_CLASS_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.55
@@ -65,35 +67,40 @@ def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
 
 
 N_WORDS = len(set(COMMON_WORDS))
+#: Counts of a histogram: classes, common words, all other words.
+WIDTH = N_CLASSES + N_WORDS + 1
 
 
 def measure(raws: list[bytes]) -> dict[str, np.ndarray]:
-    """Counts and histograms of each text."""
+    """Counts and histograms of each text; large arrays go as soon as they are used."""
     data, begins = tb.pack(raws)
     n = len(raws)
-    of_byte = np.repeat(np.arange(n), np.diff(begins))
+    of_byte = np.repeat(np.arange(n, dtype=np.int32), np.diff(begins))
+    histograms = _histograms(data, of_byte, n)
     inside = tb.SPACED[data]
     starts, stops = tb.runs(inside)
+    inside &= CLASS_OF[data] != _TAIL
+    word_chars = np.bincount(of_byte[inside], minlength=n)
+    del inside
     doc = of_byte[starts]
     n_words = np.bincount(doc, minlength=n)
-    heads = inside & (CLASS_OF[data] != _TAIL)
-    word_chars = np.bincount(of_byte[heads], minlength=n)
 
     rolling = tb.Rolling(data)
     lines = np.flatnonzero(data == 10)
     line_starts = np.concatenate(([0], lines[:-1] + 1))
-    words_before = np.concatenate(([0], np.cumsum(np.bincount(starts, minlength=len(data)))))
-    full = words_before[lines] > words_before[line_starts]
+    # a line has a word if one begins before its end and not before its start
+    full = np.searchsorted(starts, lines) > np.searchsorted(starts, line_starts)
     line_starts, lines = line_starts[full], lines[full]
     line_doc = of_byte[line_starts]
+    del of_byte
     key = tb.mix(rolling.spans(line_starts, lines) + line_doc.astype(np.uint64))
     first = np.ones(len(key), bool)
     order = np.argsort(key, kind="stable")
     first[order[1:]] = key[order[1:]] != key[order[:-1]]
     n_dup_lines = np.bincount(line_doc[~first], minlength=n)
 
-    hashes = rolling.spans(starts, stops)
-    window = tb.chain(hashes, REPEAT_WINDOW)
+    window = tb.chain(rolling.spans(starts, stops), REPEAT_WINDOW)
+    del rolling
     at = np.flatnonzero(doc[: len(window)] == doc[REPEAT_WINDOW - 1 :]) if len(window) else np.zeros(0, np.int64)
     key = tb.mix(window[at] + doc[at].astype(np.uint64))
     order = np.argsort(key)
@@ -101,12 +108,10 @@ def measure(raws: list[bytes]) -> dict[str, np.ndarray]:
     twice = np.zeros(len(key), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    depth = np.zeros(len(starts) + 1, np.int64)
+    depth = np.zeros(len(starts) + 1, np.int32)
     np.add.at(depth, at[twice], 1)
     np.add.at(depth, at[twice] + REPEAT_WINDOW, -1)
     n_repeat = np.bincount(doc[np.cumsum(depth[:-1]) > 0], minlength=n)
-
-    histograms = measure_histograms(raws)
     return {
         "n_words": n_words,
         "word_chars": word_chars,
@@ -137,45 +142,48 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Histograms of each language, summed over all whole texts that have one.
 
-    Each task sends one row for each language it met, so what reaches the
-    driver is bounded by tasks times languages after a partial sum in Spark.
+    Of the languages with MIN_REFERENCE_WORDS, the MAX_LANGUAGES with most words
+    reach the driver, chosen in Spark, so a column of other values can't fill it.
     """
 
+    def rows_of(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        counts = pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), counts], ["lang", "counts"])
+
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch["lang"].to_pylist()
+            names = sorted(set(langs))
+            number = {x: k for k, x in enumerate(names)}
+            which = np.array([number[x] for x in langs], np.int64)
+            total = np.zeros((len(names), WIDTH), np.int64)
             raws = tb.encode(batch["text"].to_pylist())
             for a, b in tb.groups(raws):
-                found = measure_histograms(raws[a:b])
-                for lang in set(langs[a:b]) - {None}:
-                    rows = [i for i, x in enumerate(langs[a:b]) if x == lang]
-                    sums[lang] = sums.get(lang, 0) + found[rows].sum(0)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(sums), pa.string()),
-                pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64())),
-            ],
-            ["lang", "counts"],
-        )
-
-    width = N_CLASSES + N_WORDS + 1
-    rows = map_arrow(docs.select("lang", "text").where("lang is not null"), run, "lang string, counts array<bigint>")
-    total = rows.groupBy("lang").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(width)])
-    out = {}
-    for row in total.toLocalIterator():
-        counts = np.array(row[1:], np.int64)
-        if counts[N_CLASSES:].sum() >= MIN_REFERENCE_WORDS:
-            out[row[0]] = counts[:N_CLASSES], counts[N_CLASSES:]
-    return out
-
-
-def measure_histograms(raws: list[bytes]) -> np.ndarray:
-    """Character classes and common words of each text in one row."""
-    data, begins = tb.pack(raws)
-    n = len(raws)
-    of_byte = np.repeat(np.arange(n), np.diff(begins))
-    classes = np.bincount(of_byte * N_CLASSES + CLASS_OF[data], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
+                data, begins = tb.pack(raws[a:b])
+                of_byte = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(begins))
+                np.add.at(total, which[a:b], _histograms(data, of_byte, b - a))
+            for x, k in number.items():
+                sums[x] = sums.get(x, 0) + total[k]
+            if len(sums) > MAX_LANGUAGES:
+                yield rows_of(sums)
+                sums.clear()
+        yield rows_of(sums)
+
+    known = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang is not null and text is not null")
+    rows = map_arrow(known, run, "lang string, counts array<bigint>")
+    total = rows.groupBy("lang").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(WIDTH)])
+    n_words = sum((F.col(f"c{i}") for i in range(N_CLASSES, WIDTH)), F.lit(0))
+    best = total.where(n_words >= MIN_REFERENCE_WORDS).orderBy(n_words.desc(), "lang").limit(MAX_LANGUAGES)
+    return {row[0]: (np.array(row[1 : 1 + N_CLASSES], np.int64), np.array(row[1 + N_CLASSES :], np.int64)) for row in best.collect()}
+
+
+def _histograms(data: np.ndarray, of_byte: np.ndarray, n: int) -> np.ndarray:
+    """Character classes and common words of each text in one row of WIDTH counts."""
+    kind = of_byte * np.int32(N_CLASSES)
+    kind += CLASS_OF[data]
+    classes = np.bincount(kind, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
+    del kind
     classes[:, 3] -= 1  # the newline that pack() puts after each text
     low = tb.LOWERED[data]
     a, b = tb.runs(tb.ALNUM[low])
@@ -183,13 +191,51 @@ def measure_histograms(raws: list[bytes]) -> np.ndarray:
     found = tb.Rolling(low).spans(a, b)
     slot = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
     word = np.where(hashes[slot] == found, order[slot], N_WORDS)
-    words = np.bincount(of_byte[a] * (N_WORDS + 1) + word, minlength=n * (N_WORDS + 1)).reshape(n, N_WORDS + 1)
+    words = np.bincount(of_byte[a] * np.int64(N_WORDS + 1) + word, minlength=n * (N_WORDS + 1)).reshape(n, N_WORDS + 1)
     return np.concatenate([classes, words], 1)
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = [*[f"{k} bigint" for k in COUNTS], "base_failed boolean", "class_distance double", "word_distance double", "kept boolean"]
+
+
+def verdict_of(docs: DataFrame) -> Column:
+    """A struct column with the counts, distances and verdict of each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(references(docs))
+
+    def run(batches):
+        refs = sent.value
+        for texts, langs in batches:
+            raws, names = tb.encode(texts.to_pylist()), langs.to_pylist()
+            found = [judge(raws[a:b], names[a:b], refs) for a, b in tb.groups(raws)] or [judge([], [], refs)]
+            whole = {k: np.concatenate([x[k] for x in found]) for k in found[0]}
+            yield struct_array({k: pa.array(x, mask=np.isnan(x) if x.dtype == float else None) for k, x in whole.items()})
+
+    columns = F.col("text").cast("string"), F.col("lang").cast("string")
+    return arrow_column(docs.sparkSession, run, f"struct<{', '.join(VERDICT)}>", *columns)
+
+
+def judge(raws: list[bytes], langs: list[str | None], refs: dict) -> dict[str, np.ndarray]:
+    """The fields of the verdict for a group of texts; NaN stands for null."""
+    m = measure(raws)
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    far = []
+    for k, name in enumerate(("classes", "words")):
+        d = np.full(len(raws), np.nan)
+        for lang in set(langs) & set(refs):
+            at = np.array([i for i, x in enumerate(langs) if x == lang])
+            d[at] = distance(m[name][at], refs[lang][k][None])
+        d[m["n_words"] < MIN_JUDGED_WORDS] = np.nan
+        far.append(d)
+    away = (far[0] > MAX_CLASS_DISTANCE) | (far[1] > MAX_WORD_DISTANCE)
+    counts = {k: m[k].astype(np.int64) for k in COUNTS}
+    return {**counts, "base_failed": failed, "class_distance": far[0], "word_distance": far[1], "kept": ~failed & ~away}
+
+
 def judge_quality(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, class_distance, word_distance and kept.
+    n_repeat_words, base_failed, class_distance, word_distance and kept; input
+    columns of these names give way to them.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. ``base_failed``: fewer than MIN_WORDS words,
     or over MAX_REPEAT_PERCENT of the words lie in 5-word windows found twice.
@@ -199,39 +245,13 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     short texts; such texts are judged by the base rules alone. Null texts have
     no words. Each input row gives one row.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(references(docs))
-    names = docs.columns
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    added = dict.fromkeys(longs, "long")
-    added |= {"base_failed": "boolean", "class_distance": "double", "word_distance": "double", "kept": "boolean"}
+    fields = [f.split()[0] for f in VERDICT]
+    others = [c for c in docs.columns if c not in fields]
+    held = fresh(docs.columns, "_verdict")
+    return docs.withColumn(held, verdict_of(docs)).select(*[F.col(f"`{c}`") for c in others], f"{held}.*")
 
-    def run(batches):
-        refs = sent.value
-        for batch in batches:
-            raws, langs = tb.encode(batch["text"].to_pylist()), batch["lang"].to_pylist()
-            found = [measure(raws[a:b]) for a, b in tb.groups(raws)]
-            if not found:
-                continue
-            m = {k: np.concatenate([x[k] for x in found]) for k in found[0]}
-            failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-            far = {}
-            for k, name in enumerate(("classes", "words")):
-                d = np.full(len(raws), np.nan)
-                for lang in set(langs) & set(refs):
-                    at = np.array([i for i, x in enumerate(langs) if x == lang])
-                    d[at] = distance(m[name][at], refs[lang][k][None])
-                d[m["n_words"] < MIN_JUDGED_WORDS] = np.nan
-                far[name] = d
-            away = (far["classes"] > MAX_CLASS_DISTANCE) | (far["words"] > MAX_WORD_DISTANCE)
-            columns = [pa.array(m[k], pa.int64()) for k in longs]
-            columns.append(pa.array(failed))
-            columns += [pa.array(far[k], mask=np.isnan(far[k])) for k in ("classes", "words")]
-            columns.append(pa.array(~failed & ~away))
-            own = [batch[c] for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*own, *columns], [*batch.schema.names, *[f"_{k}" for k in added]])
-
-    schema = ", ".join([docs.schema.simpleString()[7:-1], *[f"_{k}:{v}" for k, v in added.items()]])
-    return map_arrow(docs, run, schema).select(
-        *names, *[F.col(f"_{k}").alias(k) for k in added if k not in names]
-    )
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that judge_quality keeps, with their own columns."""
+    held = fresh(docs.columns, "_verdict")
+    return docs.withColumn(held, verdict_of(docs)).where(F.col(f"{held}.kept")).drop(held)

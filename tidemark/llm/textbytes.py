@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: UTF-8 bytes handled together; a longer text is handled alone.
-GROUP_BYTES = 2 << 20
+#: UTF-8 bytes handled together; a longer text is handled alone. The arrays of a
+#: group take about 60 times as much.
+GROUP_BYTES = 256 << 10
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -66,16 +67,25 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _POWERS: dict[str, np.ndarray] = {}
+#: Powers up to this many bytes are kept by a worker; more are made for one use.
+_KEPT_POWERS = 1 << 21
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (_BASE, _INVERSE):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x))
+    return out[0], out[1]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > _KEPT_POWERS:
+        return _make_powers(n)
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, GROUP_BYTES + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                out = np.full(size, base, np.uint64)
-                out[0] = 1
-                _POWERS[name] = np.cumprod(out)
+        _POWERS["up"], _POWERS["down"] = _make_powers(min(_KEPT_POWERS, 1 << n.bit_length()))
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
@@ -92,7 +102,9 @@ class Rolling:
         up, down = _powers(len(data) + 1)
         self.up = up
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * down[:-1], out=self.sums[1:])
+        values = _VALUES[data]
+        values *= down[:-1]
+        np.cumsum(values, out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         return mix((self.sums[stops] - self.sums[starts]) * self.up[starts] + (stops - starts).astype(np.uint64) * _ODD)
