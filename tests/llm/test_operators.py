@@ -282,14 +282,14 @@ def test_toxicity_without_labels(spark, docs, empty):
 def test_hits_equal_a_plain_search(spark, docs, empty):
     texts = [r[1] for r in data.documents() if r[1] and len(r[1].split()) > 40]
     items = [(i, " ".join(t.split()[3:30])) for i, t in enumerate(texts[:6])]
-    items += [(20, "x"), (21, ""), (22, None), (23, "one two"), (24, "zz not there"), (20, "x")]
+    items += [(20, "x"), (21, ""), (22, None), (23, "one two"), (24, "zz not there"), (20, "x"), (25, items[0][1]), (26, items[0][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     for per_pass in (10**6, 10):  # one block of phrases, and several
-        decontaminate.PHRASES_PER_PASS, was = per_pass, decontaminate.PHRASES_PER_PASS
+        decontaminate.PHRASES_PER_BLOCK, was = per_pass, decontaminate.PHRASES_PER_BLOCK
         try:
             got = decontaminate.judge_documents(docs, benchmark).collect()
         finally:
-            decontaminate.PHRASES_PER_PASS = was
+            decontaminate.PHRASES_PER_BLOCK = was
         by = {(i, t): data.hits(t, items) for i, t, *_ in data.documents()}
         expected = sorted(
             (str(i), n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0 and 20 * h >= n)

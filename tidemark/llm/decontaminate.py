@@ -8,26 +8,24 @@ suffix positions, and their word spans merge into removal spans.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import map_arrow
+from tidemark.llm.common import arrow_column, fresh, struct_array
 
 #: Words in a test phrase.
 WINDOW = 13
 #: A document is contaminated from one hit word in this many.
 SHARE = 20
 #: UTF-8 bytes of the texts of one index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2_000_000
 #: Every so many positions of a shard keep their place in the suffix array.
 SAMPLE = 8
-#: Test phrases searched in one pass over the documents; more take more passes.
-PHRASES_PER_PASS = 2_000_000
+#: Test phrases in a block at most.
+PHRASES_PER_BLOCK = 500_000
 
 
 def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,174 +161,174 @@ class FMIndex:
         return out, of
 
 
-class Phrases:
-    """The test phrases of benchmark items: distinct windows with their items."""
+class Vocabulary:
+    """The words of all test phrases, as symbols 1..n; 0 is any other word."""
 
-    def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.items = [str(i) for i, _ in items]
-        raws = tb.encode([t for _, t in items])
-        data, begins = tb.pack(raws)
-        starts, _, hashes = split_words(data)
-        self.words, symbols = np.unique(hashes, return_inverse=True)
-        item = np.searchsorted(begins, starts, "right") - 1
-        counts = np.bincount(item, minlength=len(items))
-        first = np.cumsum(counts) - counts
-        n_windows = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
-        self.item = np.repeat(np.arange(len(items)), n_windows)
-        k = np.arange(len(self.item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        self.sizes = np.minimum(counts, window)[self.item]
-        self.stops = first[self.item] + k + self.sizes
-        self.symbols = symbols.astype(np.int64) + 1
+    def __init__(self, hashes: np.ndarray):
+        self.words = np.unique(hashes)
 
     def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The symbol of each word; 0 for words that no phrase holds."""
         if not len(self.words):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at + 1, 0)
 
 
-def _shard_hits(raws: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[int], list[str]]]:
-    """For each text: its words, merged hit spans in bytes, hit words of each, items."""
+class Phrases:
+    """A block of benchmark items: its distinct windows, each with its items."""
+
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        self.items = [None if i is None else str(i) for i, _ in items]
+        data, begins = tb.pack(tb.encode([t for _, t in items]))
+        starts, _, self.hashes = split_words(data)
+        item = np.searchsorted(begins, starts, "right") - 1
+        counts = np.bincount(item, minlength=len(items))
+        first = np.cumsum(counts) - counts
+        n_windows = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+        of = np.repeat(np.arange(len(items)), n_windows)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+        sizes = np.minimum(counts, window)[of]
+        begin = first[of] + k
+        # equal windows are one phrase: their words' hashes, size by size
+        words = np.zeros((len(of), window), np.uint64)
+        for j in range(window):
+            there = j < sizes
+            words[there, j] = self.hashes[begin[there] + j]
+        _, one, phrase = np.unique(words, axis=0, return_index=True, return_inverse=True)
+        self.sizes, self.begins = sizes[one], begin[one]
+        pairs = np.unique(np.stack([phrase.reshape(-1), of], 1), axis=0)
+        self.item_of = pairs[:, 1]
+        self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))
+
+    def number(self, vocabulary: Vocabulary) -> Phrases:
+        self.symbols, self.hashes = vocabulary.symbols_of(self.hashes), None
+        return self
+
+    def items_of(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``phrases``, item) of all items of these phrases."""
+        sizes = self.item_from[phrases + 1] - self.item_from[phrases]
+        of = np.repeat(np.arange(len(phrases)), sizes)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.item_from[phrases][of]
+        return of, self.item_of[at]
+
+
+def shard_hits(raws: list[bytes], vocabulary: Vocabulary, blocks) -> dict[str, list]:
+    """n_words, n_hit, spans (merged, in bytes) and items of each text.
+
+    One index serves all blocks of phrases, which are met one after the other."""
     data, begins = tb.pack(raws)
     starts, stops, hashes = split_words(data)
     doc = np.searchsorted(begins, starts, "right") - 1
     counts = np.bincount(doc, minlength=len(raws))
     # one zero after the words of each text: no phrase reaches over it
-    place = np.arange(len(starts)) + doc
     s = np.zeros(len(starts) + len(raws), np.int64)
-    s[place] = phrases.symbols_of(hashes)
-    out = [(int(n), [], [], []) for n in counts]
-    if not s.any() or not len(phrases.stops):
+    s[np.arange(len(starts)) + doc] = vocabulary.symbols_of(hashes)
+    out = {"n_words": counts.tolist(), "n_hit": [0] * len(raws), "spans": [[] for _ in raws], "items": [set() for _ in raws]}
+    if not s.any():
         return out
-    index = FMIndex(s, len(phrases.words))
-    which, lo, hi = index.search(phrases.symbols, phrases.stops, phrases.sizes)
-    if not len(which):
-        return out
-    at, of = index.locate(lo, hi)
-    depth = np.zeros(len(s) + 1, np.int64)
-    np.add.at(depth, at, 1)
-    np.add.at(depth, at + phrases.sizes[which[of]], -1)
+    index = FMIndex(s, len(vocabulary.words))
+    ends = np.cumsum(counts + 1)
+    depth = np.zeros(len(s) + 1, np.int32)
+    for phrases in blocks:
+        which, lo, hi = index.search(phrases.symbols, phrases.begins + phrases.sizes, phrases.sizes)
+        if not len(which):
+            continue
+        at, of = index.locate(lo, hi)
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + phrases.sizes[which[of]], -1)
+        met = np.unique(np.searchsorted(ends, at, "right") * len(which) + of)
+        text, phrase = np.divmod(met, len(which))
+        place, item = phrases.items_of(which[phrase])
+        for d, i in np.unique(np.stack([text[place], item], 1), axis=0).tolist():
+            if phrases.items[i] is not None:
+                out["items"][d].add(phrases.items[i])
     hit = np.cumsum(depth) > 0
-    text_of = np.searchsorted(np.cumsum(counts + 1), at, "right")
-    pairs = np.unique(np.stack([text_of, phrases.item[which[of]]], 1), axis=0)
-    for d, i in pairs.tolist():
-        out[d][3].append(phrases.items[i])
+    out["n_hit"] = np.bincount(np.searchsorted(ends, np.flatnonzero(hit), "right"), minlength=len(raws)).tolist()
     lo, hi = tb.runs(hit)
-    d = np.searchsorted(np.cumsum(counts + 1), lo, "right")
-    word = lo - d
-    for k, a, b, n in zip(d.tolist(), starts[word].tolist(), stops[hi - d - 1].tolist(), (hi - lo).tolist(), strict=True):
-        out[k][1].append((a - int(begins[k]), b - int(begins[k])))
-        out[k][2].append(n)
-    return out
-
-
-def _merge_spans(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
+    d = np.searchsorted(ends, lo, "right")
+    spans = np.stack([starts[lo - d] - begins[d], stops[hi - d - 1] - begins[d]], 1)
+    for k, span in zip(d.tolist(), spans.tolist(), strict=True):
+        out["spans"][k].append(span)
     return out
 
 
-def _passes(benchmark: DataFrame, window: int) -> list[Phrases]:
-    """The test phrases, in blocks of a bounded number."""
+def _blocks(benchmark: DataFrame, window: int) -> tuple[Vocabulary, list[Phrases]]:
+    """All test phrases, in blocks of a bounded number."""
     rows = benchmark.select(F.col("item_id"), F.col("text").cast("string"))
     blocks, block, size = [], [], 0
     for row in rows.toLocalIterator():
         block.append((row["item_id"], row["text"]))
         size += len(row["text"] or "") // 2 + 1
-        if size >= PHRASES_PER_PASS:
+        if size >= PHRASES_PER_BLOCK:
             blocks.append(Phrases(block, window))
             block, size = [], 0
-    if block or not blocks:
+    if block:
         blocks.append(Phrases(block, window))
-    return blocks
+    vocabulary = Vocabulary(np.concatenate([np.zeros(0, np.uint64), *(b.hashes for b in blocks)]))
+    return vocabulary, [b.number(vocabulary) for b in blocks]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` with n_words, spans (merged removal spans, UTF-8
-    byte offsets) and items (item_ids as strings with an occurring window).
+HITS = "struct<n_words: bigint, n_hit: bigint, spans: array<array<int>>, items: array<string>, cut: string>"
+KINDS = {"n_words": pa.int64(), "n_hit": pa.int64(), "spans": pa.list_(pa.list_(pa.int32())), "items": pa.list_(pa.string())}
+
+
+def hits_of(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False) -> Column:
+    """A struct column with n_words, n_hit, spans (merged removal spans, UTF-8
+    byte offsets), items (item_ids as strings with an occurring window) and, if
+    asked for, cut: the text without its spans where it has some and stays.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased. A
     window is ``window`` words of an item in a row; a shorter item, if it has a
     word, is one window. Null or empty texts have no words and no hits; items
-    without words match nothing; repeated item rows count once by their id. An
-    empty benchmark leaves every text clean. The item list is searched in
-    blocks of bounded size, each sent to the executors as a broadcast.
+    without words match nothing; repeated item rows count once by their id, and
+    the words of an item without an id are hits of no listed item. An empty
+    benchmark leaves every text clean. Benchmarks are small beside a corpus;
+    their phrases go out as broadcast blocks of bounded size.
     """
-    spark = docs.sparkSession
-    names = docs.columns
-    found = docs.withColumns(
-        {
-            "_n_words": F.lit(0).cast("long"),
-            "_spans": F.array().cast("array<array<int>>"),
-            "_items": F.array().cast("array<string>"),
-        }
-    )
-    for phrases in _passes(benchmark, window):
-        found = map_arrow(found, _pass(spark.sparkContext.broadcast(phrases)), found.schema.simpleString()[7:-1])
-    return found.select(*names, *[F.col(c).alias(c[1:]) for c in ("_n_words", "_spans", "_items")])
+    context = docs.sparkSession.sparkContext
+    words, blocks = _blocks(benchmark, window)
+    vocabulary, sent = context.broadcast(words), [context.broadcast(b) for b in blocks]
 
-
-def _pass(sent):
     def run(batches):
-        phrases = sent.value
-        for batch in batches:
-            raws = tb.encode(batch["text"].to_pylist())
-            was_spans, was_items = batch["_spans"].to_pylist(), batch["_items"].to_pylist()
-            n_words, spans, items = [], [], []
+        for texts in batches:
+            raws = tb.encode(texts.to_pylist())
+            found: dict[str, list] = {"n_words": [], "n_hit": [], "spans": [], "items": []}
             for a, b in tb.groups(raws, SHARD_BYTES):
-                for k, (n, s, _, i) in enumerate(_shard_hits(raws[a:b], phrases), a):
-                    n_words.append(n)
-                    spans.append(_merge_spans([*was_spans[k], *map(list, s)]))
-                    items.append(sorted({*was_items[k], *i}))
-            out = dict(zip(batch.schema.names, batch.columns, strict=True)) | {
-                "_n_words": pa.array(n_words, pa.int64()),
-                "_spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                "_items": pa.array(items, pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+                for k, x in shard_hits(raws[a:b], vocabulary.value, (s.value for s in sent)).items():
+                    found[k] += x
+            found["items"] = [sorted(x) for x in found["items"]]
+            left: list[str | None] = [None] * len(raws)
+            for k, spans in enumerate(found["spans"] if cut else ()):
+                if spans and SHARE * found["n_hit"][k] < found["n_words"][k]:
+                    left[k] = _cut(raws[k], spans).decode()
+            columns = {k: pa.array(x, KINDS[k]) for k, x in found.items()}
+            yield struct_array(columns | {"cut": pa.array(left, pa.string())})
 
-    return run
+    return arrow_column(docs.sparkSession, run, HITS, F.col("text").cast("string"))
 
 
-def hit_words(raw: bytes, spans: list) -> int:
-    data = np.frombuffer(raw + b"\n", np.uint8)
-    starts, _ = tb.runs(tb.ALNUM[tb.LOWERED[data]])
-    return sum(int(((starts >= a) & (starts < b)).sum()) for a, b in spans)
+def is_contaminated(hits: str) -> Column:
+    return (F.col(f"{hits}.n_hit") > 0) & (SHARE * F.col(f"{hits}.n_hit") >= F.col(f"{hits}.n_words"))
 
 
-def is_contaminated(n_hit: int, n_words: int) -> bool:
-    return n_hit > 0 and SHARE * n_hit >= n_words
+def _cut(raw: bytes, spans: list[list[int]]) -> bytes:
+    at, out = 0, []
+    for a, b in spans:
+        out.append(raw[at:a])
+        at = b
+    return b"".join([*out, raw[at:]])
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents, and without the removal spans in
     the others: same columns, text cut, n_chars (if there) counted anew.
 
-    Spans begin and end at words, so no character is cut. Null texts stay null."""
-    found = find_hits(docs, benchmark)
-    names = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            texts, spans, n_words = (batch[c].to_pylist() for c in ("text", "spans", "n_words"))
-            keep, out = [], []
-            for text, cuts, n in zip(texts, spans, n_words, strict=True):
-                raw = (text or "").encode()
-                keep.append(not is_contaminated(hit_words(raw, cuts) if cuts else 0, n))
-                for a, b in reversed(cuts if keep[-1] else []):
-                    raw = raw[:a] + raw[b:]
-                out.append(None if text is None else raw.decode())
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(out, pa.string())}
-            whole = pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-            yield whole.filter(pa.array(keep, pa.bool_()))
-
-    clean = map_arrow(found, run, docs.schema.simpleString()[7:-1])
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    Spans begin and end at words, so no character is cut. Null texts stay null.
+    Other columns pass as they are, whatever their names."""
+    held = fresh(docs.columns, "_hits")
+    clean = docs.withColumn(held, hits_of(docs, benchmark, cut=True)).where(~is_contaminated(held))
+    whole = clean.withColumn("text", F.coalesce(f"{held}.cut", "text")).drop(held)
+    return whole.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else whole
 
 
 def judge_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -338,32 +336,18 @@ def judge_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``n_hit`` counts the words inside any occurrence of a window; a document is
     contaminated if there is one and ``SHARE * n_hit >= n_words``. Without
-    items, items_sha256 is that of the empty string. Each input row gives one.
+    items, items_sha256 is that of the empty string. Each input row gives one;
+    a null doc_id stays null.
     """
-    found = find_hits(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark)
-
-    def run(batches):
-        for batch in batches:
-            raws, spans = tb.encode(batch["text"].to_pylist()), batch["spans"].to_pylist()
-            n_hit = [hit_words(r, s) if s else 0 for r, s in zip(raws, spans, strict=True)]
-            items = batch["items"].to_pylist()
-            digests = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
-            n_words = batch["n_words"].to_pylist()
-            bad = [is_contaminated(h, n) for h, n in zip(n_hit, n_words, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    batch["n_words"],
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(i) for i in items], pa.int64()),
-                    pa.array(digests, pa.string()),
-                    pa.array(bad, pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return map_arrow(found, run, schema)
+    found = docs.select(F.col("doc_id").cast("long"), hits_of(docs, benchmark).alias("hits"))
+    return found.select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ",").cast("binary"), 256).alias("items_sha256"),
+        is_contaminated("hits").alias("contaminated"),
+    )
 
 
 ORACLE_SQL = """
@@ -387,7 +371,7 @@ hits AS (
   FROM (SELECT r, n, p, array_to_string(w[p : p + n - 1], ' ') AS phrase FROM grams) g JOIN phrases ph USING (n, phrase)),
 words AS (SELECT r, count(DISTINCT i) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS i FROM hits) GROUP BY r),
 items AS (
-  SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  SELECT r, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits) GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
