@@ -10,7 +10,8 @@ whose shorter rank is not unique go on to the next round:
 2. The bytes of all windows in a row that share an anchor. Where an anchor has
    one such extension, the smallest document with it settles all its windows.
 3. 50 bytes, for anchors with several extensions: the windows of the smallest
-   document of each extension.
+   document of each extension, each as the pair of the ranks of its 25-byte
+   halves.
 
 Every round is a Spark exchange by rank. A part (the documents of one hash of
 doc_id) sends its distinct ranks in ascending order, those of one bucket packed
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ PIECE_BYTES = 8 << 20
 #: from so many bytes of all parts.
 PART_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+PARTS_IN_TASK = 3
 #: Stands for a null doc_id: no document is larger.
 NO_ID = 2**63 - 1
 
@@ -51,6 +54,7 @@ NO_ID = 2**63 - 1
 GROUP_BYTES = 1 << 20
 
 _POS = np.uint64((1 << 24) - 1)
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 #: Answers by round: the bits of one part and bucket.
 SIDE = "part int, round int, bucket int, first binary, second binary"
@@ -85,7 +89,9 @@ class Scan:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(starts)) - 1
         self.lo, self.hi = starts[first], starts[last] if len(first) else starts[:0]
-        self.key = short[(least[first] & _POS).astype(np.int64)]
+        # mixed again: the least of many hashes are all small, and buckets are
+        # cut from the upper bits
+        self.key = tb.mix(short[(least[first] & _POS).astype(np.int64)])
         self.piece = piece[first]
         self.doc = docs[self.piece]
         #: what to take from a place to have its offset in the text
@@ -100,8 +106,11 @@ class Scan:
         of = np.repeat(at, sizes)
         return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.lo[of], of
 
-    def window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        return self.rolling.spans(starts, starts + LENGTH)
+    def window_ranks(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pair of ranks of a window's halves, as 128 bits: the first rank
+        is kept, the other one mixed with it, to deal pairs evenly."""
+        one, two = self.rolling.spans(starts, starts + HALF), self.rolling.spans(starts + HALF, starts + LENGTH)
+        return tb.mix(one * _PAIR + two), one
 
 
 def scans(raws: list[bytes]) -> Iterator[Scan]:
@@ -236,14 +245,16 @@ class Part:
 
     def windows(self, open_: np.ndarray) -> tuple[list, Ranks]:
         """(scan, starts, runs) of the open windows, and their ranks."""
-        found, hashes, docs = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        found, docs, ranks, more = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for s, a in zip(self.scans, self.begin, strict=False):
             mine = open_[(open_ >= a) & (open_ < a + len(s.key))] - a
             starts, of = s.window_starts(mine)
             found.append((s, starts, of))
-            hashes.append(s.window_hashes(starts))
+            pair = s.window_ranks(starts)
+            ranks.append(pair[0])
+            more.append(pair[1])
             docs.append(self.doc[a + of])
-        return found, Ranks(np.concatenate(docs), np.concatenate(hashes))
+        return found, Ranks(*map(np.concatenate, (docs, ranks, more)))
 
     def removed(self, n_texts: int) -> list[list[tuple[int, int]]]:
         """Merged removal spans of each text."""
@@ -345,9 +356,8 @@ def _answer(round_: int):
         ranks = np.concatenate(ranks)
         several = np.concatenate([_unbits(x, n) for x, n in zip(entries["several"].to_pylist(), sizes, strict=True)])
         keys, docs = [ranks], None
-        if round_ == 2:
-            keys.append(np.frombuffer(b"".join(entries["more"].to_pylist()), "<u8"))
         if round_ > 1:
+            keys.append(np.frombuffer(b"".join(entries["more"].to_pylist()), "<u8"))
             docs = np.concatenate([_unplanes(x) for x in entries["docs"].to_pylist()])
         order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(ranks, kind="stable")
         new = np.zeros(len(ranks), bool)
@@ -385,74 +395,94 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+
+
 def _finish(extra: list[str], n_buckets: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         raws = tb.encode(docs["text"].to_pylist())
         spans = _part(docs, side, n_buckets).removed(len(raws))
         kept = [_kept(r, s) for r, s in zip(raws, spans, strict=True)]
-        out = {
-            "n_bytes": pa.array([len(r) for r in raws], pa.int64()),
-            "n_removed": pa.array([len(r) - len(k) for r, k in zip(raws, kept, strict=True)], pa.int64()),
-            "n_spans": pa.array([len(s) for s in spans], pa.int64()),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+        out = (
+            pa.array([len(r) for r in raws], pa.int64()),
+            pa.array([len(r) - len(k) for r, k in zip(raws, kept, strict=True)], pa.int64()),
+            pa.array([len(s) for s in spans], pa.int64()),
+            pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             # a span may begin or end inside a character: what is left of it goes
-            "kept_text": pa.array(
-                [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(docs["text"].to_pylist(), kept, strict=True)],
-                pa.string(),
-            ),
-        }
-        columns = {c: docs[c] for c in ("doc_id", *extra)} | out
-        return pa.table(columns)
+            pa.array([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(docs["text"].to_pylist(), kept, strict=True)], pa.string()),
+        )
+        return pa.table({c: docs[c] for c in ("doc_id", *extra)} | dict(zip(RESULTS, out, strict=True)))
 
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but text, with n_bytes, n_removed, n_spans,
-    kept_sha256 and kept_text.
-
-    A byte of a text's UTF-8 form is removed if a LENGTH-byte string that covers
-    it also starts in a document with a smaller doc_id; strings are judged on
-    the input and never cross documents. ``n_spans`` counts the maximal removed
-    runs. Null texts have no bytes (``kept_text`` stays null) and texts under
-    LENGTH bytes lose none. Rows with one doc_id never take from each other; a
-    null doc_id is larger than any other. Further columns pass under any name
-    but those of the results.
-    """
+def _judged(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """doc_id, further columns under the names in the dict, and RESULTS."""
     spark = docs.sparkSession
     bound_batches(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    others = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = max(shuffles, -(-total // PART_BYTES))
-    n_tasks = max(shuffles, n_parts // 3)
+    n_tasks = max(shuffles, n_parts // PARTS_IN_TASK)
     n_buckets = max(shuffles, -(-total // BUCKET_BYTES))
-    extra = [f"_c{i}" for i in range(len(others))]
+    task = F.pmod(F.col("part"), F.lit(n_tasks)).cast("int")
     texts = docs.select(
-        F.col("doc_id").cast("long"),
-        F.col("text").cast("string"),
-        *[F.col(f"`{c}`").alias(e) for c, e in zip(others, extra, strict=True)],
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int").alias("part"),
-    ).repartition(n_tasks, "part").sortWithinPartitions("part")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        *[F.col(f"`{c}`").alias(e) for c, e in others.items()],
+        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n_parts)).cast("int").alias("part"),
+    )
+    # parts and buckets are dealt by their numbers, so that all tasks are alike
+    texts = texts.withColumn("task", task).repartitionById(n_tasks, F.col("task")).sortWithinPartitions("task", "part")
+
+    def dealt(side: DataFrame) -> DataFrame:
+        return side.repartitionById(n_tasks, F.col("task"))
 
-    def cogroup(side: DataFrame, fn, schema: str) -> DataFrame:
-        return texts.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(fn, schema)
+    def cogroup(sides: list[DataFrame], fn, schema: str) -> DataFrame:
+        # a union has no partitioning of its own, so its few bits are dealt again
+        side = sides[0] if len(sides) == 1 else dealt(reduce(DataFrame.unionAll, sides))
+        return texts.groupBy("task", "part").cogroup(side.groupBy("task", "part")).applyInArrow(fn, schema)
 
     def answer(entries: DataFrame, round_: int) -> DataFrame:
-        bits = entries.groupBy("bucket").applyInArrow(_answer(round_), SIDE)
-        return bits.repartition(n_tasks, "part")  # an exchange that later rounds reuse
+        by_bucket = entries.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket")
+        # an exchange that later rounds reuse
+        return dealt(by_bucket.applyInArrow(_answer(round_), SIDE).withColumn("task", task))
 
     one = answer(map_arrow(texts, _send_anchors(n_buckets), ENTRIES), 1)
-    two = answer(cogroup(one, _send_runs(n_buckets), ENTRIES), 2)
-    three = answer(cogroup(one.unionAll(two), _send_windows(n_buckets), ENTRIES), 3)
-    kinds = dict(docs.select(*others).dtypes) if others else {}
-    own = "".join(f", {e} {kinds[c]}" for c, e in zip(others, extra, strict=True))
+    two = answer(cogroup([one], _send_runs(n_buckets), ENTRIES), 2)
+    three = answer(cogroup([one, two], _send_windows(n_buckets), ENTRIES), 3)
+    kinds = dict(docs.select(*[F.col(f"`{c}`") for c in others]).dtypes) if others else {}
+    own = "".join(f", {e} {kinds[c]}" for c, e in others.items())
     schema = f"doc_id long{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    done = cogroup(one.unionAll(two).unionAll(three), _finish(extra, n_buckets), schema)
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    return done.select(
-        "doc_id", *[F.col(e).alias(c) for c, e in zip(others, extra, strict=True) if c not in added], *added
-    )
+    return cogroup([one, two, three], _finish(list(others.values()), n_buckets), schema), others
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` but text, with n_bytes, n_removed, n_spans,
+    kept_sha256 and kept_text; input columns of these names give way to them.
+
+    A byte of a text's UTF-8 form is removed if a LENGTH-byte string that covers
+    it also starts in a document with a smaller doc_id; strings are judged on
+    the input and never cross documents. ``n_spans`` counts the maximal removed
+    runs. Null texts have no bytes (``kept_text`` stays null) and texts under
+    LENGTH bytes lose none. Rows with one doc_id never take from each other; a
+    null doc_id is larger than any other.
+    """
+    done, others = _judged(docs)
+    return done.select("doc_id", *[F.col(e).alias(c) for c, e in others.items() if c not in RESULTS], *RESULTS)
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with its own columns, text without the bytes that remove_repeats
+    removes (and without what is left of a character that was cut), n_chars (if
+    there) counted anew."""
+    done, others = _judged(docs)
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")}
+    own |= {c: F.col(e) for c, e in others.items()}
+    if "n_chars" in others:
+        own["n_chars"] = F.length("kept_text").cast("long")
+    return done.select(*[own[c].alias(c) for c in docs.columns])
 
 
 #: Every 50-byte string as hexadecimal text: for small tables.
