@@ -22,16 +22,22 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import map_arrow
 
-#: Chunks (runs without white space) kept by a worker; then it starts anew.
-CACHE_CHUNKS = 400_000
-#: Distinct new chunks encoded together.
-MISS_BLOCK = 50_000
+#: What a worker keeps of chunks (runs without white space) that it has met, in
+#: bytes of each of two generations; longer chunks are not kept.
+KEPT_BYTES = 48 << 20
+KEPT_CHARS = 64
+#: New chunks encoded together, and their characters.
+MISS_BLOCK = 20_000
+MISS_CHARS = 200_000
+#: Bytes whose fragments are merged side by side.
+MERGE_BYTES = 256 << 10
 
 _NONE = np.int32(2**31 - 1)
 #: Latin letters, digits and marks that NFC and the case rules treat one by one.
 _PLAIN = re.compile(r"[\x21-\x7e¡-įı-ňŊ-ž]*")
 #: Python splits at these, the tokenizer's white space does not hold them.
 _PLAIN_LINES = re.compile(_PLAIN.pattern.replace("[", "[\\n", 1))
+_PLAIN_TEXT = re.compile(_PLAIN.pattern.replace("[", r"[ \t\n\r", 1))
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
@@ -114,14 +120,27 @@ class ForcedBoundaryBPE:
         ids = self.first[data]
         ends = np.cumsum(lengths) - 1
         ids[ends] = self.last[data[ends]]
-        piece = np.repeat(np.arange(len(pieces)), lengths)
         # A fragment ends with its piece and at every certain cut.
         cut = np.ones(len(data), bool)
-        cut[:-1] = (piece[1:] != piece[:-1]) | ~self.inside[data[:-1].astype(np.int32) << 8 | data[1:]]
-        frag = np.zeros(len(data), np.int64)
-        frag[1:] = np.cumsum(cut[:-1])
+        cut[:-1] = ~self.inside[data[:-1].astype(np.int32) << 8 | data[1:]]
+        cut[ends] = True
+        stops = np.flatnonzero(cut) + 1
+        out, left, a = [], np.zeros(len(data), bool), 0
+        while a < len(data):  # whole fragments, about MERGE_BYTES of them
+            b = int(stops[min(np.searchsorted(stops, a + MERGE_BYTES), len(stops) - 1)])
+            got, at = self._merge_fragments(ids[a:b], cut[a:b])
+            out.append(got)
+            left[at + a] = True
+            a = b
+        before = np.concatenate(([0], np.cumsum(left)))
+        return np.concatenate(out), before[ends + 1] - before[ends + 1 - lengths]
+
+    def _merge_fragments(self, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids after all merges, in order, and the place where each begins."""
+        frag = np.zeros(len(ids), np.int32)
+        np.cumsum(cut[:-1], out=frag[1:])
         rank = np.full(len(ids), _NONE, np.int32)
-        rank[:-1] = np.where(frag[1:] == frag[:-1], self._ranks(ids[:-1], ids[1:]), _NONE)
+        rank[:-1] = np.where(cut[:-1], _NONE, self._ranks(ids[:-1], ids[1:]))
         done_ids, done_at = [], []
         at = np.arange(len(ids))
         while len(ids):
@@ -129,18 +148,15 @@ class ForcedBoundaryBPE:
             sizes = np.diff(np.append(starts, len(ids)))
             least = np.minimum.reduceat(rank, starts)
             live = np.repeat(least != _NONE, sizes)
+            least = np.repeat(least, sizes)
             if not live.all():  # fragments without a merge are finished
                 done_ids.append(ids[~live])
                 done_at.append(at[~live])
-                ids, at, frag, rank = ids[live], at[live], frag[live], rank[live]
-                least = np.repeat(least, sizes)[live]
-            else:
-                least = np.repeat(least, sizes)
+                ids, at, frag, rank, least = ids[live], at[live], frag[live], rank[live], least[live]
             if not len(ids):
                 break
             hit = rank == least
-            again = np.flatnonzero(hit[1:] & hit[:-1]) + 1
-            if len(again):  # of overlapping places (aaa) the leftmost goes first
+            if (hit[1:] & hit[:-1]).any():  # of overlapping places (aaa) the leftmost goes first
                 run = np.arange(len(hit))
                 begin = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), run, 0))
                 hit &= (run - begin) % 2 == 0
@@ -148,19 +164,17 @@ class ForcedBoundaryBPE:
             ids[spots] = self.made[rank[spots]]
             keep = np.ones(len(ids), bool)
             keep[spots + 1] = False
-            moved = np.zeros(len(ids), bool)
-            moved[spots] = True
-            ids, at, frag, rank, moved = ids[keep], at[keep], frag[keep], rank[keep], moved[keep]
-            touched = moved.copy()
-            touched[:-1] |= moved[1:]
-            t = np.flatnonzero(touched)
+            moved = hit[keep]
+            ids, at, frag, rank = ids[keep], at[keep], frag[keep], rank[keep]
+            moved[:-1] |= moved[1:]
+            t = np.flatnonzero(moved)
             rank[t] = _NONE
             t = t[t + 1 < len(ids)]
             t = t[frag[t] == frag[t + 1]]
             rank[t] = self._ranks(ids[t], ids[t + 1])
         ids, at = np.concatenate(done_ids), np.concatenate(done_at)
         order = np.argsort(at, kind="stable")
-        return ids[order], np.bincount(piece[at], minlength=len(pieces))
+        return ids[order], at[order]
 
     def _pieces(self, chunk: str) -> list:
         """Byte pieces of one chunk of any script; an added token stands as its id."""
@@ -206,35 +220,17 @@ class ForcedBoundaryBPE:
             return np.zeros(0, np.int32), np.zeros(len(chunks), np.int64)
         owner = np.concatenate([owner, np.array(more, np.int64)])
         ids, counts = self.merge(pieces)
+        firsts = np.cumsum(counts) - counts
         for k, token in fixed:  # the stand-in is one byte, so one id
-            ids[counts[:k].sum()] = token
+            ids[firsts[k]] = token
         of = np.repeat(owner, counts)
         if odd:
             order = np.argsort(of, kind="stable")
             ids, of = ids[order], of[order]
         return ids, np.cumsum(np.bincount(of, minlength=len(chunks)))
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return [c for c in re.split(r"[ \t\n\r]+", text) if c]
-        return text.split()
-
-    def held(self, texts: list[list[str]], make) -> dict:
-        """The cache, with ``make(ids)`` of all chunks of these texts in it."""
-        new = set().union(*texts).difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > CACHE_CHUNKS:
-                self.cache.clear()
-                new = set().union(*texts)
-            ordered = list(new)
-            for i in range(0, len(ordered), MISS_BLOCK):
-                block = ordered[i : i + MISS_BLOCK]
-                self.cache.update(zip(block, make(*self.encode_block(block)), strict=True))
-        return self.cache
-
     def encode(self, text: str | None) -> np.ndarray:
-        words = self.chunks(text or "")
+        words = chunks_of(text)
         block = list(set(words))
         ids, stops = self.encode_block(block)
         got = dict(zip(block, np.split(ids, stops[:-1]), strict=True)) if block else {}
@@ -245,42 +241,104 @@ class ForcedBoundaryBPE:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ForcedBoundaryBPE] = {}
-
-
-def load(path: str, use: str = "") -> ForcedBoundaryBPE:
-    """One encoder for each worker, file and kind of cached value."""
+def chunks_of(text: str | None) -> list[str]:
+    """The runs without white space, which the tokenizer drops. Case is folded
+    where the tokenizer's own folding is sure to do the same."""
+    if not text:
+        return []
+    if _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+        return text.lower().split()
+    if _ODD_SPACE.search(text):
+        return [c for c in re.split(r"[ \t\n\r]+", text) if c]
+    return text.split()
+
+
+class Kept:
+    """What ``make`` gives for chunks, kept in two generations of bounded size.
+
+    Chunks of the older one that are met again move on to the younger; when that
+    is full, the older one goes. Chunks over KEPT_CHARS are made for one batch."""
+
+    def __init__(self, make, size):
+        self.make, self.size = make, size
+        self.young, self.old, self.bytes, self.brief = {}, {}, 0, []
+
+    def of(self, texts: list[list[str]]) -> dict:
+        """Values of all chunks of these texts, until the next call."""
+        for c in self.brief:
+            del self.young[c]
+        self.brief = []
+        if self.bytes > KEPT_BYTES:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        need = set().union(*texts).difference(self.young)
+        again = need & self.old.keys()
+        for c in again:
+            self.young[c] = self.old.pop(c)
+        self.bytes += sum(self.size(c, self.young[c]) for c in again)
+        for block in _blocks(sorted(need - again)):
+            for c, value in zip(block, self.make(block), strict=True):
+                self.young[c] = value
+                if len(c) > KEPT_CHARS:
+                    self.brief.append(c)
+                else:
+                    self.bytes += self.size(c, value)
+        return self.young
+
+
+def _blocks(chunks: list[str]):
+    block, size = [], 0
+    for c in chunks:
+        if block and (size + len(c) > MISS_CHARS or len(block) == MISS_BLOCK):
+            yield block
+            block, size = [], 0
+        block.append(c)
+        size += len(c)
+    if block:
+        yield block
+
+
+_LOADED: dict[tuple[str, str], Kept] = {}
+
+
+def kept(path: str, use: str, start) -> Kept:
+    """One store for each worker, file and kind of value; ``start`` makes it."""
     if (path, use) not in _LOADED:
-        _LOADED[path, use] = ForcedBoundaryBPE(path)
+        _LOADED[path, use] = start()
     return _LOADED[path, use]
 
 
+def _texts_of_ids(path: str) -> Kept:
+    bpe = ForcedBoundaryBPE(path)
+
+    def make(block: list[str]):
+        ids, stops = bpe.encode_block(block)
+        ids, a = ids.tolist(), 0
+        numbers, tokens = list(map(str, ids)), list(map(bpe.tokens.__getitem__, ids))
+        for b in stops.tolist():
+            yield " ".join(numbers[a:b]), " ".join(tokens[a:b])
+            a = b
+
+    # two strings, a tuple, the key and a place in a dictionary
+    return Kept(make, lambda c, value: 370 + 2 * len(c) + len(value[0]) + len(value[1]))
+
+
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
     """Encode and decode every whole text of ``docs`` (doc_id, text).
 
     Returns doc_id, n_tokens, ids_sha256 and decoded_sha256, and ids or decoded
-    themselves where asked for. A null text counts as
-    empty: no tokens, digests of the empty string. Repeated rows each give a
+    themselves where asked for. A null text counts as empty: no tokens, digests
+    of the empty string. A null doc_id stays null; repeated rows each give a
     row; other columns of ``docs`` are ignored.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
 
     def run(batches):
-        bpe = load(path, "text")
-
-        def make(ids, stops):
-            ids = ids.tolist()
-            numbers, tokens = list(map(str, ids)), list(map(bpe.tokens.__getitem__, ids))
-            a = 0
-            for b in stops.tolist():
-                yield " ".join(numbers[a:b]), " ".join(tokens[a:b])
-                a = b
-
+        store = kept(path, "text", lambda: _texts_of_ids(path))
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            texts = [bpe.chunks(x or "") for x in batch["text"].to_pylist()]
-            cache = bpe.held(texts, make)
+            texts = list(map(chunks_of, batch["text"].to_pylist()))
+            cache = store.of(texts)
             for words in texts:
                 got = [g for g in map(cache.__getitem__, words) if g[0]]
                 ids = " ".join([g[0] for g in got])

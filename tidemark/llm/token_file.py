@@ -9,13 +9,16 @@ every document's place from the shard totals alone.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from tokenizers import Tokenizer
 
 from tidemark.llm import bpe
 from tidemark.llm.common import map_arrow
@@ -34,8 +37,22 @@ SCHEMA = "doc_id long, ids array<int>, shard int, shard_start long, n_ids long"
 END_ID = 2
 
 
+def _packed_ids(vocabulary: str) -> bpe.Kept:
+    """The library's ids of chunks without white space, as bytes. The tokenizer
+    drops white space and never joins over it, so those of a text follow."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    library = Tokenizer.from_file(vocabulary)
+
+    def make(block: list[str]):
+        for found in library.encode_batch_fast(block, add_special_tokens=False):
+            yield array("i", found.ids).tobytes()
+
+    return bpe.Kept(make, lambda c, value: 200 + 2 * len(c) + len(value))
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
-    """Encode every whole text of ``docs`` (doc_id, text) into ORC files in ``path``.
+    """Encode every whole text of ``docs`` (doc_id, text) into ORC files in ``path``
+    with the tokenizers library.
 
     Rows: doc_id, ids (with ``end_id`` last), shard, shard_start (ids of the
     shard before this row), n_ids. Shards and the rows in them ascend by doc_id, null
@@ -51,21 +68,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     tail = np.array([end_id], "<i4").tobytes()
 
     def run(batches):
-        coder = bpe.load(vocabulary, "ids")
-
-        def make(ids, stops):
-            raw, a = ids.astype("<i4").tobytes(), 0
-            for b in (stops * 4).tolist():
-                yield raw[a:b]
-                a = b
-
+        store = bpe.kept(vocabulary, "ids", lambda: _packed_ids(vocabulary))
         before: dict[int, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             shard = batch["shard"][0].as_py()
-            texts = [coder.chunks(x or "") for x in batch["text"].to_pylist()]
-            cache = coder.held(texts, make)
+            texts = list(map(bpe.chunks_of, batch["text"].to_pylist()))
+            cache = store.of(texts)
             packed = [b"".join([*map(cache.__getitem__, words), tail]) for words in texts]
             sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
             stops = np.concatenate(([0], np.cumsum(sizes)))
