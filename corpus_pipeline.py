@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, minhash_join, quality, suffix_dedup
 from tidemark.llm.common import materialize, table
@@ -14,22 +13,17 @@ VOCABULARY = "word_bpe_49k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge_quality(docs).where("kept").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group.
-
-    Five words, similarity 0.8. Rows without a doc_id stay: nothing links them."""
-    judged = minhash_join.near_duplicates(docs.select("doc_id", "text"), size=5, percent=80)
-    gone = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group: five words, similarity 0.8."""
+    return minhash_join.one_of_each(docs, size=5, percent=80)
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings of documents with smaller ids."""
-    done = suffix_dedup.remove_repeats(docs).withColumn("text", F.col("kept_text"))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return suffix_dedup.cut_repeats(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
