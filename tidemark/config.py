@@ -8,9 +8,11 @@ from typing import Any
 
 import yaml
 
+#: The accepted names.
 FREQUENCIES = ("D", "B", "W", "M", "Q", "A")
 FORMATS = ("long", "wide")
 
+#: The defaults that a config file may leave out.
 DEFAULTS: dict[str, Any] = {
     "format": "long",
     "date_column": "Date",

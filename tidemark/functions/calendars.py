@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Argentine holidays of 2024 and 2025.
-AR_HOLIDAYS = (
-    "2024-01-01 2024-02-12 2024-02-13 2024-03-24 2024-03-28 2024-03-29 2024-04-02 2024-05-01 2024-05-25 "
-    "2024-06-17 2024-06-20 2024-07-09 2024-08-17 2024-10-12 2024-11-18 2024-12-08 2024-12-25 "
-    "2025-01-01 2025-03-03 2025-03-04 2025-03-24 2025-04-02 2025-04-17 2025-04-18 2025-05-01 2025-05-25 "
-    "2025-06-16 2025-06-20 2025-07-09 2025-08-17 2025-10-12 2025-11-20 2025-11-21 2025-12-08 2025-12-25"
-).split()
+AR_HOLIDAYS = [
+    "2024-01-01", "2024-02-12", "2024-02-13", "2024-03-24", "2024-03-28", "2024-03-29", "2024-04-02", "2024-05-01",
+    "2024-05-25", "2024-06-17", "2024-06-20", "2024-07-09", "2024-08-17", "2024-10-12", "2024-11-18", "2024-12-08",
+    "2024-12-25",
+    "2025-01-01", "2025-03-03", "2025-03-04", "2025-03-24", "2025-04-02", "2025-04-17", "2025-04-18", "2025-05-01",
+    "2025-05-25", "2025-06-16", "2025-06-20", "2025-07-09", "2025-08-17", "2025-10-12", "2025-11-20", "2025-11-21",
+    "2025-12-08", "2025-12-25",
+]
 
 
 def holidays(country: str | None) -> list[dt.date]:

@@ -9,9 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Month names by number, Spanish and English.
-MONTHS_ES = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
-MONTHS_EN = "january february march april may june july august september october november december".split()
+#: Month names in order, Spanish and English.
+MONTHS_ES = [
+    "enero", "febrero", "marzo", "abril", "mayo", "junio",
+    "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
+]
+MONTHS_EN = [
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+]
 
 SAMPLE = 100
 
@@ -23,13 +29,11 @@ def _names(months: list[str]) -> dict[str, int]:
 MONTH_OF = {"es": _names(MONTHS_ES), "en": _names(MONTHS_EN)}
 
 
-def _either(months: list[str]) -> str:
-    return "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in months)
-
-
-def _short(months: list[str]) -> str:
-    return "|".join(m[:3] for m in months)
-
+#: The accepted spellings of months in a date text.
+SHORT_ES = "ene|feb|mar|abr|may|jun|jul|ago|sep|oct|nov|dic"
+SHORT_EN = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+LONG_ES = "|".join([*MONTHS_ES, SHORT_ES])
+LONG_EN = "|".join([*MONTHS_EN, SHORT_EN])
 
 #: Formats in the order in which a text is tried; the first that fits has it.
 #: The accepted spellings.
@@ -44,10 +48,10 @@ FORMATS: dict[str, str] = {
     "quarterly_year_q": r"(?i)\d{4}[-_]Q[1-4]",
     "quarterly_t_year": r"(?i)[1-4]T\s?\d{4}",
     "quarterly_year_t": r"(?i)\d{4}[-_]T[1-4]",
-    "month_text_es_short": rf"(?i)(?:{_short(MONTHS_ES)})-\d{{2}}",
-    "month_text_es": rf"(?i)(?:{_either(MONTHS_ES)})\s+\d{{2,4}}",
-    "month_text_en_short": rf"(?i)(?:{_short(MONTHS_EN)})-\d{{2}}",
-    "month_text_en": rf"(?i)(?:{_either(MONTHS_EN)})\s+\d{{2,4}}",
+    "month_text_es_short": rf"(?i)(?:{SHORT_ES})-\d{{2}}",
+    "month_text_es": rf"(?i)(?:{LONG_ES})\s+\d{{2,4}}",
+    "month_text_en_short": rf"(?i)(?:{SHORT_EN})-\d{{2}}",
+    "month_text_en": rf"(?i)(?:{LONG_EN})\s+\d{{2,4}}",
     "dmy": r"\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}",
 }
 
