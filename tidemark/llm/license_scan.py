@@ -1,10 +1,10 @@
 """License scan by diagonal voting over rolling word k-gram hashes.
 
 The k-gram hashes of every document are Spark-joined to the positions of the
-same hashes in license templates. Votes are counted for each offset diagonal
-(document position less template position), neighbouring diagonals merge, and
-the merged spans are verified by the share of the template they cover. Native
-DataFrame operations only.
+same hashes in license templates and confirmed on their words. Each is a vote
+for an offset diagonal (document position less template position); neighbouring
+diagonals merge, and the merged spans are verified by the share of the template
+whose words they hold. Native DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, literal_rows
+from tidemark.llm.common import ascii_lower, literal_rows, materialize
+from tidemark.llm.license_texts import TEMPLATES
 
 #: Words in a gram.
 K = 3
@@ -22,6 +24,8 @@ K = 3
 MERGE_GAP = 3
 #: Share of a template's grams that a verified span holds at least.
 MIN_SHARE = 0.6
+#: Characters of all templates up to which their grams are broadcast.
+BROADCAST_CHARS = 1 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Fixed values of the query's contract: label by phrase.
@@ -31,46 +35,24 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Notices by label. Public wordings of well-known notices.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "either version 3 of the license or at your option any later version"),
-    ("bsd-3", "redistributions of source code must retain the above copyright notice"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    ("all-rights-reserved", "all rights reserved"),
-]
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def _grams(words: Column) -> Column:
-    """One hash for each position where K words begin; empty if there are fewer."""
+    """The K words from each position on as one text; empty if there are fewer."""
     n = F.size(words)
     parts = [F.slice(words, i + 1, n - (K - 1)) for i in range(K)]
-    return F.when(
-        n >= K,
-        reduce(
-            lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y)),
-            parts,
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    joined = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), parts)
+    return F.when(n >= K, joined).otherwise(F.array().cast("array<string>"))
 
 
 def template_grams(spark, templates=TEMPLATES) -> DataFrame:
-    numbered = [(i, label, notice) for i, (label, notice) in enumerate(templates)]
-    rows = literal_rows(spark, numbered, "template", "label", "notice")
-    words = F.split("notice", " ")
-    return rows.select(
-        "template",
-        "label",
-        F.size(_grams(words)).alias("n_grams"),
-        F.posexplode(_grams(words)).alias("t_pos", "gram"),
-    )
+    """(template, label, n_grams, t_pos, t_gram, hash) of all positions of templates."""
+    numbered = [(i, label, text) for i, (label, text) in enumerate(templates)]
+    rows = literal_rows(spark, numbered, "template", "label", "notice").withColumn("grams", _grams(words_of(F.col("notice"))))
+    found = rows.select("template", "label", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("t_pos", "t_gram"))
+    return found.withColumn("hash", F.xxhash64("t_gram"))
 
 
 def _starts(words: Column, text: Column, phrase: str) -> Column:
@@ -86,94 +68,67 @@ def _starts(words: Column, text: Column, phrase: str) -> Column:
     return F.when(may, found).otherwise(none)
 
 
+def _votes(docs: DataFrame, templates, base) -> DataFrame:
+    """One pass over the texts: a row for each confirmed gram (row, label,
+    template, n_grams, pos, t_pos), and at least one row for each document, with
+    pos 0 or null, that holds what is known of the whole text."""
+    spark = docs.sparkSession
+    text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    words = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    starts = {label: _starts(F.col("words"), F.col("text"), phrase) for phrase, label in base.items()}
+    rows = words.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        F.size("words").cast("long").alias("n_words"),
+        F.array_sort(F.flatten(F.array(*starts.values()))).alias("places"),
+        F.array_compact(F.array(*[F.when(F.size(s) > 0, F.lit(label)) for label, s in starts.items()])).alias("base"),
+        F.posexplode_outer(_grams(F.col("words"))).alias("pos", "gram"),
+    )
+    grams = template_grams(spark, templates)
+    if sum(len(text) for _, text in templates) <= BROADCAST_CHARS:
+        grams = F.broadcast(grams)
+    # a hash that another gram shares is no vote
+    met = rows.withColumn("hash", F.xxhash64("gram")).join(grams, "hash", "left").where(
+        (F.col("gram") == F.col("t_gram")) | F.col("pos").isNull() | (F.col("pos") == 0)
+    )
+    vote = F.col("gram") == F.col("t_gram")
+    kept = [F.when(vote, F.col(c)).alias(c) for c in ("label", "template", "n_grams", "t_pos")]
+    # numbers of rows are given and kept in this one pass
+    return materialize(met.select("row", "doc_id", "n_words", "places", "base", "pos", *kept), "license-votes")
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     """Licenses named in every whole text of ``docs`` (doc_id, text).
 
     Returns doc_id, n_words, n_base (places of base phrases), first_word and
     last_word (smallest and largest start of one, else null), base_labels,
     labels (the base labels and those of verified templates), score (1 where a
-    base phrase stands, else the best covered share of a template) and spans
+    base phrase stands, else the best verified share of a template) and spans
     (label, first and last word, share). Null or empty texts have no words, no
-    labels and score 0. Rows with the same doc_id and text share their votes;
-    each input row gives one row. Templates are a fixed list of notices, so
-    broadcasting their grams is bounded by that list.
+    labels and score 0. Each input row gives one row, repeated ones and those
+    without a doc_id too; other columns are ignored. Templates under K words
+    match nothing. Their grams are broadcast up to BROADCAST_CHARS of text.
     """
-    spark = docs.sparkSession
-    text = ascii_lower(F.coalesce("text", F.lit("")))
-    words = docs.select("doc_id", text.alias("text")).select(
-        "doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), "text"
+    votes = _votes(docs, templates, base)
+    near = W.partitionBy("row", "template").orderBy("diagonal", "pos")
+    sorted_votes = votes.where("t_pos is not null").withColumn("diagonal", F.col("pos") - F.col("t_pos"))
+    gap = F.col("diagonal") - F.lag("diagonal").over(near)
+    runs = sorted_votes.withColumn("run", F.when(gap > MERGE_GAP, 1).otherwise(0)).withColumn(
+        "run", F.sum("run").over(near.rowsBetween(W.unboundedPreceding, 0))
     )
-    rows = words.select("doc_id", F.xxhash64("text").alias("h"), "words", "text")
-
-    grams = template_grams(spark, templates)
-    votes = (
-        rows.select("doc_id", "h", F.posexplode(_grams(F.col("words"))).alias("pos", "gram"))
-        .join(F.broadcast(grams), "gram")
-        .withColumn("diagonal", F.col("pos") - F.col("t_pos"))
-        .groupBy("doc_id", "h", "label", "template", "n_grams", "diagonal")
-        .agg(F.collect_set("t_pos").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    )
-    # Neighbouring diagonals: a run goes on while the gap stays small. The state
-    # is (diagonal, first, last, template positions) of the run that is open.
-    run = "struct<d:int,lo:int,hi:int,at:array<int>>"
-    sorted_votes = F.array_sort(F.collect_list(F.struct(F.col("diagonal").alias("d"), "lo", "hi", "at")))
-
-    def step(state, x):
-        last = F.element_at(state, -1)
-        joined = F.struct(
-            x["d"].alias("d"),
-            F.least(last["lo"], x["lo"]).alias("lo"),
-            F.greatest(last["hi"], x["hi"]).alias("hi"),
-            F.array_union(last["at"], x["at"]).alias("at"),
-        )
-        near = (F.size(state) > 0) & (x["d"] - last["d"] <= MERGE_GAP)
-        return F.when(
-            F.size(state) == 0, F.array(x)
-        ).when(near, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(joined))).otherwise(
-            F.concat(state, F.array(x))
-        )
-
-    merged = votes.groupBy("doc_id", "h", "label", "template", "n_grams").agg(
-        F.aggregate(sorted_votes, F.array().cast(f"array<{run}>"), step).alias("runs")
-    )
-    share = lambda r: F.size(r["at"]) / F.col("n_grams")
-    spans = merged.select(
-        "doc_id",
-        "h",
-        F.explode(
-            F.transform(
-                F.filter("runs", lambda r: share(r) >= MIN_SHARE),
-                lambda r: F.struct(
-                    F.col("label"),
-                    r["lo"].cast("long").alias("first"),
-                    (r["hi"] + (K - 1)).cast("long").alias("last"),
-                    share(r).alias("share"),
-                ),
-            )
-        ).alias("span"),
-    )
-    found = spans.groupBy("doc_id", "h").agg(
-        F.collect_set("span.label").alias("voted"),
-        F.max("span.share").alias("best"),
-        F.array_sort(F.collect_list("span")).alias("spans"),
+    spans = (
+        runs.groupBy("row", "template", "label", "n_grams", "run")
+        .agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.size(F.collect_set("t_pos")).alias("covered"))
+        .withColumn("share", F.col("covered") / F.col("n_grams"))
+        .where(F.col("share") >= MIN_SHARE)
     )
-
-    starts = {label: _starts(F.col("words"), F.col("text"), phrase) for phrase, label in base.items()}
-    judged = rows.select(
-        "doc_id",
-        "h",
-        F.size("words").cast("long").alias("n_words"),
-        F.array_sort(F.flatten(F.array(*starts.values()))).alias("places"),
-        F.array_compact(
-            F.array(*[F.when(F.size(s) > 0, F.lit(label)) for label, s in starts.items()])
-        ).alias("base"),
+    span = F.struct("label", F.col("lo").cast("long").alias("first"), (F.col("hi") + (K - 1)).cast("long").alias("last"), "share")
+    found = spans.groupBy("row").agg(
+        F.collect_set("label").alias("voted"), F.max("share").alias("best"), F.array_sort(F.collect_list(span)).alias("spans")
     )
+    judged = votes.where("pos is null or pos = 0").dropDuplicates(["row"])
     none = F.array().cast("array<string>")
-    return judged.join(
-        found.withColumnsRenamed({"doc_id": "f_id", "h": "f_h"}),
-        F.expr("doc_id <=> f_id and h = f_h"),
-        "left",
-    ).select(
+    return judged.join(found, "row", "left").select(
         "doc_id",
         "n_words",
         F.size("places").cast("long").alias("n_base"),
@@ -182,7 +137,38 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("voted", none))), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
-        "spans",
+        F.coalesce("spans", F.array().cast("array<struct<label:string,first:bigint,last:bigint,share:double>>")).alias("spans"),
     )
 
 
+def _sql_words(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_GRAM = "w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]"
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in BASE.items())
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+t AS (SELECT template, label, {_sql_words('notice')} AS w FROM (VALUES {_NOTICES}) AS v(template, label, notice)),
+tg AS (SELECT template, label, n_grams, i AS t_pos, {_GRAM} AS gram FROM (
+  SELECT *, len(w) - 2 AS n_grams, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM t)),
+g AS (SELECT r, i AS pos, {_GRAM} AS gram FROM (SELECT r, w, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM d)),
+votes AS (SELECT r, pos, t_pos, template, label, n_grams, pos - t_pos AS diagonal FROM g JOIN tg USING (gram)),
+cuts AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER k > {MERGE_GAP} THEN 1 ELSE 0 END AS cut
+  FROM votes WINDOW k AS (PARTITION BY r, template ORDER BY diagonal, pos)),
+runs AS (SELECT *, sum(cut) OVER (PARTITION BY r, template ORDER BY diagonal, pos) AS run FROM cuts),
+spans AS (SELECT r, label, count(DISTINCT t_pos) / n_grams AS share FROM runs GROUP BY r, template, label, n_grams, run),
+best AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM spans WHERE share >= {MIN_SHARE} GROUP BY r),
+phrases AS (SELECT * FROM (VALUES {_PHRASES}) AS v(label, p)),
+places AS (SELECT r, label, i FROM (
+  SELECT r, label, w, p, unnest(range(0, greatest(len(w) - len(p) + 1, 0))) AS i FROM d, phrases) WHERE w[i + 1 : i + len(p)] = p),
+base AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN best USING (r)
+"""

@@ -77,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.ORACLE_SQL,
         "op3_minhash": minhash_join.ORACLE_SQL,
+        "op4_license_scan": license_scan.ORACLE_SQL,
         "op8_decontaminate": decontaminate.ORACLE_SQL,
         "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
     }
