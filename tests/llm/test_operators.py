@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tests.llm import data
 from tests.oracle import SF, connect, rows
 from tidemark.llm import (
-    bpe, decontaminate, language, license_scan, minhash_join, quality, queries, suffix_dedup, token_file, toxicity,
+    bpe, decontaminate, language, license_scan, license_texts, minhash_join, quality, queries, suffix_dedup, token_file, toxicity,
     url_filter,
 )
 from tidemark.llm.common import scratch
@@ -181,6 +181,7 @@ def test_base_phrases_and_templates(spark):
         "foo Under the MIT-License! bar under the mit license", "apache license, version 2; cc by nc", None, "", "all rights reserved",
         "This work is licensed under the GNU General Public License, version 3.", "this work is really licensed under the gnu lesser general public license version 3",
         "under the mit", "cc cc by nc by nc", "word " * 5000 + "cc by nc",
+        "All rights reserved. " * 3000 + license_texts.MIT, license_texts.MIT.replace("merge", "blend"), license_texts.MIT[:400],
     ]
     frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y")], "doc_id long, text string, label string")
     got = license_scan.scan_licenses(frame).collect()
@@ -200,6 +201,31 @@ def test_base_phrases_and_templates(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[4]["labels"] == "all-rights-reserved" and by[5]["labels"] == "gpl-3" and by[6]["labels"] == "gpl-3"
     assert by[7]["labels"] == "" and by[2]["score"] == 0
+    assert by[10]["labels"] == "all-rights-reserved,mit" and by[11]["labels"] == by[12]["labels"] == "mit"
+    shares = {x["first"]: x["share"] for x in by[11]["spans"]}
+    assert len(by[10]["spans"]) == 3 and by[10]["score"] == 1 and 0.6 < min(shares.values()) < 1
+    assert license_scan.scan_licenses(frame.limit(0)).count() == 0
+
+
+def test_license_scan_equals_its_sql_on_odd_texts(spark, docs):
+    """Templates cut, moved, doubled and mixed into other words."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            w = rnd.choice(license_texts.TEMPLATES)[1].split()
+            for _ in range(rnd.randint(0, 6)):
+                w[rnd.randrange(len(w))] = rnd.choice(["", "the", "added words here", w[0]])
+            parts += w[rnd.choice([0, 0, 3]) :] * rnd.choice([1, 1, 2])
+        texts.append(" ".join(parts))
+    frame = docs.select("doc_id", "text").unionAll(spark.createDataFrame(list(enumerate(texts, 1000)), "doc_id long, text string"))
+    con = connect()
+    con.register("given", frame.toPandas())
+    con.execute("create or replace view documents as select * from given")
+    expected = con.sql(license_scan.ORACLE_SQL).df()
+    got = license_scan.scan_licenses(frame).toPandas()
+    assert rows(got[list(expected.columns)]) == rows(expected) and (expected.score > 0).sum() > 30
 
 
 # 6: quality.

@@ -75,15 +75,24 @@ def _votes(docs: DataFrame, templates, base) -> DataFrame:
     spark = docs.sparkSession
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words_of(F.col("text")).alias("words"))
-    starts = {label: _starts(F.col("words"), F.col("text"), phrase) for phrase, label in base.items()}
-    rows = words.select(
+    labels = list(base.values())
+    starts = F.array(*[_starts(F.col("words"), F.col("text"), phrase) for phrase in base]).cast("array<array<int>>")
+    placed = words.withColumn("starts", starts).withColumn("places", F.flatten("starts")).select(
+        # numbers are given before the texts are cut into grams, which each carry
+        # a few values of the whole text and no list of its places
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
+        "words",
         F.size("words").cast("long").alias("n_words"),
-        F.array_sort(F.flatten(F.array(*starts.values()))).alias("places"),
-        F.array_compact(F.array(*[F.when(F.size(s) > 0, F.lit(label)) for label, s in starts.items()])).alias("base"),
-        F.posexplode_outer(_grams(F.col("words"))).alias("pos", "gram"),
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"),
+        F.array_compact(F.array(*[F.when(F.size(F.get("starts", F.lit(k))) > 0, F.lit(x)) for k, x in enumerate(labels)]))
+        .cast("array<string>")
+        .alias("base"),
     )
+    of_text = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
+    rows = placed.select(*of_text, F.posexplode_outer(_grams(F.col("words"))).alias("pos", "gram"))
     grams = template_grams(spark, templates)
     if sum(len(text) for _, text in templates) <= BROADCAST_CHARS:
         grams = F.broadcast(grams)
@@ -94,7 +103,7 @@ def _votes(docs: DataFrame, templates, base) -> DataFrame:
     vote = F.col("gram") == F.col("t_gram")
     kept = [F.when(vote, F.col(c)).alias(c) for c in ("label", "template", "n_grams", "t_pos")]
     # numbers of rows are given and kept in this one pass
-    return materialize(met.select("row", "doc_id", "n_words", "places", "base", "pos", *kept), "license-votes")
+    return materialize(met.select(*of_text, "pos", *kept), "license-votes")
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
@@ -131,9 +140,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     return judged.join(found, "row", "left").select(
         "doc_id",
         "n_words",
-        F.size("places").cast("long").alias("n_base"),
-        F.get("places", F.lit(0)).cast("long").alias("first_word"),
-        F.get("places", F.size("places") - 1).cast("long").alias("last_word"),
+        "n_base",
+        "first_word",
+        "last_word",
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("voted", none))), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
