@@ -259,8 +259,8 @@ class Kept:
     Chunks of the older one that are met again move on to the younger; when that
     is full, the older one goes. Chunks over KEPT_CHARS are made for one batch."""
 
-    def __init__(self, make, size):
-        self.make, self.size = make, size
+    def __init__(self, make, size, most: int = KEPT_BYTES):
+        self.make, self.size, self.most = make, size, most
         self.young, self.old, self.bytes, self.brief = {}, {}, 0, []
 
     def of(self, texts: list[list[str]]) -> dict:
@@ -268,7 +268,7 @@ class Kept:
         for c in self.brief:
             del self.young[c]
         self.brief = []
-        if self.bytes > KEPT_BYTES:
+        if self.bytes > self.most:
             self.old, self.young, self.bytes = self.young, {}, 0
         need = set().union(*texts).difference(self.young)
         again = need & self.old.keys()

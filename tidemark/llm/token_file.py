@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +36,46 @@ ORC_OPTIONS = {
 SCHEMA = "doc_id long, ids array<int>, shard int, shard_start long, n_ids long"
 #: Closes every document.
 END_ID = 2
+#: New chunks that the library encodes as one text.
+CHUNKS_IN_TEXT = 200
+#: Bytes of each generation of kept chunks: their ids are small.
+KEPT_BYTES = 96 << 20
 
 
 def _packed_ids(vocabulary: str) -> bpe.Kept:
     """The library's ids of chunks without white space, as bytes. The tokenizer
-    drops white space and never joins over it, so those of a text follow."""
+    drops white space and never joins over it, so those of a text follow.
+
+    Many chunks are encoded as one text, with an added token of the vocabulary
+    between them that shows where the ids of each end; a chunk that may hold
+    that token itself is encoded alone, as are all where there is none."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     library = Tokenizer.from_file(vocabulary)
+    added = library.get_added_tokens_decoder()
+    mark, mark_id = min(((t.content, i) for i, t in added.items() if len(t.content) > 2), default=("", None), key=lambda x: x[1])
 
-    def make(block: list[str]):
-        for found in library.encode_batch_fast(block, add_special_tokens=False):
-            yield array("i", found.ids).tobytes()
+    def alone(chunk: str) -> bytes:
+        return array("i", library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    return bpe.Kept(make, lambda c, value: 200 + 2 * len(c) + len(value))
+    def make(block: list[str]):
+        mixed = [not mark or mark[:2].lower() in c.lower() for c in block]
+        plain = [c for c, odd in zip(block, mixed, strict=True) if not odd]
+        found = iter(())
+        if plain:
+            rows = [f" {mark} ".join(plain[i : i + CHUNKS_IN_TEXT]) for i in range(0, len(plain), CHUNKS_IN_TEXT)]
+            found = chain.from_iterable(split(e.ids) for e in library.encode_batch_fast(rows, add_special_tokens=False))
+        for c, odd in zip(block, mixed, strict=True):
+            yield alone(c) if odd else next(found)
+
+    def split(ids: list[int]):
+        ids = np.array(ids, "<i4")
+        stops = np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
+        raw, a = ids.tobytes(), 0
+        for b in stops:
+            yield raw[4 * a : 4 * b]
+            a = b + 1
+
+    return bpe.Kept(make, lambda c, value: 200 + 2 * len(c) + len(value), KEPT_BYTES)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
