@@ -23,6 +23,8 @@ N_BUCKETS = 1 << BUCKET_BITS
 DIMENSION = 12
 #: About so many labelled rows of each language are drawn, by a hash of doc_id.
 TRAIN_ROWS_PER_LANGUAGE = 500
+#: Languages that are learned at most: those of most rows.
+MAX_LANGUAGES = 400
 EPOCHS = 6
 MINIBATCH = 16
 RATE = 4.0
@@ -39,7 +41,10 @@ _FOLDED[123:128] = 32
 
 
 def ngrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the 3- and 4-byte n-grams within words, and where they begin."""
+    """Buckets of the 3- and 4-byte n-grams within words, and the place of each
+    one's second byte, which is never white space. Every text ends with a newline
+    and one stands before the first, so a text's grams don't depend on others."""
+    data = np.concatenate((np.array([10], np.uint8), data))
     low = _FOLDED[data]
     accented = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
     low[1:][accented] += 32  # Latin capitals with accents
@@ -86,18 +91,21 @@ def _sample(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(language, draw 0-99, buckets, counts) of a bounded sample of labelled rows.
 
     The rate of each language follows from its row count, so about
-    TRAIN_ROWS_PER_LANGUAGE rows of each are drawn; a text reaches the driver
-    as its bucket counts, at most N_BUCKETS of them."""
-    known = docs.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().toLocalIterator()}
-    if not sizes:
-        return []
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
-    rate = F.create_map(
-        *[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1, TRAIN_ROWS_PER_LANGUAGE / n) * (1 << 30)))]
+    TRAIN_ROWS_PER_LANGUAGE rows of each are drawn, of the MAX_LANGUAGES most
+    frequent; rows that repeat a doc_id count once. A text reaches the driver as
+    its bucket counts, at most N_BUCKETS of them."""
+    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
+        (fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    drawn = known.where(draw < rate[F.col("lang")]).select(
-        "lang", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(100)).cast("int").alias("part"), "text"
+    most = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
+    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
+    part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(100)).cast("int")
+    drawn = (
+        known.join(F.broadcast(most), "lang")  # MAX_LANGUAGES rows at most
+        .where(draw * F.col("rows") < F.lit(float(TRAIN_ROWS_PER_LANGUAGE << 30)))
+        .groupBy("lang", "doc_id")
+        .agg(F.min("text").alias("text"))
+        .select("lang", part.alias("part"), "text")
     )
 
     def run(batches):
@@ -173,7 +181,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every whole text.
 
     ``held_out``: crc32 of doc_id as text is 2 modulo 4; such rows are never
-    learned from. ``lang_pred`` is the likeliest learned language, or ``und``
+    learned from, nor are those without a doc_id, where it is null. ``lang_pred`` is the likeliest learned language, or ``und``
     with score 0 where the text is null or has no letter, or where nothing
     could be learned. ``rejected`` marks ``und`` and scores under the model's
     calibrated floor. Each input row gives one row; ties go to the language
