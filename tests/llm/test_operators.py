@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -71,6 +73,39 @@ def test_token_files_of_no_documents(spark, empty):
     assert token_file.describe_token_files(spark, path).count() == 0
 
 
+def test_chunks_encoded_together_have_their_own_ids(library):
+    rnd = random.Random(1)
+    marks = "aAbBß'strélΣ\u0085\x1c<|endoftext>12!?́Åİ日本🎉-_.,"
+    chunks = sorted({"".join(rnd.choice(marks) for _ in range(rnd.randint(1, 9))) for _ in range(3000)} | {"<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>b"})
+    got = list(token_file._packed_ids(VOCABULARY).make(chunks))
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == [library.encode(c, add_special_tokens=False).ids for c in chunks]
+
+
+def test_token_files_have_bloom_filters_and_indexes(spark):
+    """A reader that looks for one id skips files and row groups by them."""
+    frame = spark.range(0, 40000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    path = scratch(spark, "test-tokens")
+    token_file.write_token_files(frame.coalesce(1), path, VOCABULARY)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    strides, kinds = set(), set()
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        strides.add(reader.getRowIndexStride())
+        rows_ = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows_.readStripeFooter(stripe)
+            kinds |= {(s.getColumn(), s.getKind().name()) for s in footer.getStreamsList()}
+            assert footer.getColumns(3).getKind().name() == "DIRECT_V2"  # the elements of ids
+        rows_.close()
+    assert strides == {1000}
+    assert (1, "BLOOM_FILTER_UTF8") in kinds and {(c, "ROW_INDEX") for c in (1, 2, 3)} <= kinds
+    read = token_file.read_token_files(spark, path, F.col("doc_id") == 20001)  # between ids that are there
+    assert read.count() == 0 and token_file.read_token_files(spark, path, F.col("doc_id") == 20002).count() == 1
+
+
 def test_bpe_equals_the_library(docs, empty, library):
     got = bpe.encode_documents(docs, VOCABULARY, keep_ids=True, keep_decoded=True).collect()
     by = {(r["doc_id"], r["decoded"]) for r in got}
@@ -243,6 +278,77 @@ def test_quality_counts_equal_a_plain_version(docs, empty):
     assert quality.judge_quality(empty).count() == 0
 
 
+def plain_histograms(text):
+    """Character classes by byte, and common words, of one text."""
+    raw = text.encode()
+    classes = [0] * 11
+    for b in raw:
+        c = chr(b)
+        if b in b"#*$%&|<>":
+            k = 6
+        elif 0x80 <= b < 0xC0:
+            k = 10
+        elif b >= 0xE0:
+            k = 9
+        elif b >= 0xC0:
+            k = 8
+        elif c in " \t\n\v\f\r":
+            k = 3
+        elif b < 32 or b == 127:
+            k = 7
+        elif c.isdigit():
+            k = 2
+        elif c.isupper():
+            k = 1
+        elif c.islower():
+            k = 0
+        else:
+            k = 4 if c in ".,;:!?'\"()-" else 5
+        classes[k] += 1
+    common = sorted(set(quality.COMMON_WORDS))
+    counts = [0] * (len(common) + 1)
+    for w in data.words(text):
+        counts[common.index(w) if w in common else -1] += 1
+    return classes, counts
+
+
+def plain_distance(a, b):
+    p, q = ([x / max(1, sum(v)) for x in v] for v in (a, b))
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    kl = lambda v: sum(x * math.log2(x / y) for x, y in zip(v, m, strict=True) if x > 0)
+    return math.sqrt(min(1, max(0, (kl(p) + kl(q)) / 2)))
+
+
+def test_distances_and_verdicts_equal_a_plain_version(spark):
+    rnd = random.Random(6)
+    say = lambda words_, n: " ".join(rnd.choice(words_) + rnd.choice(["", ",", ".", " 7"]) for _ in range(n))
+    en, de = "the of and cat walked seven THE Tree".split(), "der die und Straße läuft ist Haus".split()
+    rows_ = [(i, say(en, rnd.randint(5, 200)), "en") for i in range(40)] + [(50 + i, say(de, rnd.randint(5, 200)), "de") for i in range(40)]
+    rows_ += [(100, say(de, 90), "en"), (101, say("@@ ## %% 123 $x".split(), 90), "de"), (102, say(en, 90), None), (103, say(en, 90), "zz"), (104, None, "en"), (105, "", "de")]
+    rows_ += [(106, say(["日本", "語x", "~^"], 120), "en")]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    sums = {}
+    for _, text, lang in rows_:
+        if text is not None and lang is not None:
+            mine = sums.setdefault(lang, [[0] * 11, [0] * (quality.N_WORDS + 1)])
+            for total, part in zip(mine, plain_histograms(text), strict=True):
+                total[:] = map(sum, zip(total, part, strict=True))
+    sums = {k: v for k, v in sums.items() if sum(v[1]) >= quality.MIN_REFERENCE_WORDS}
+    assert set(sums) == {"en", "de"}
+    verdicts = set()
+    for r in quality.judge_quality(frame).collect():
+        n, _, _, _, again = data.quality(r["text"])
+        failed, far = n < 10 or 100 * again > 20 * n, [None, None]
+        if n >= quality.MIN_JUDGED_WORDS and r["lang"] in sums:
+            far = [plain_distance(a, b) for a, b in zip(plain_histograms(r["text"]), sums[r["lang"]], strict=True)]
+        for got, expected in zip((r["class_distance"], r["word_distance"]), far, strict=True):
+            assert got == expected or abs(got - expected) < 1e-9
+        away = far[0] is not None and (far[0] > quality.MAX_CLASS_DISTANCE or far[1] > quality.MAX_WORD_DISTANCE)
+        assert r["kept"] == (not failed and not away)
+        verdicts.add((failed, away))
+    assert {(False, True), (False, False), (True, False)} <= verdicts
+
+
 def test_odd_histograms_go_and_plain_prose_stays(spark):
     rnd = random.Random(2)
     clean = [" ".join(rnd.choice("the of and cat dog house walked seven trees river".split()) + rnd.choice(["", "", "."]) for _ in range(80)) for _ in range(60)]
@@ -285,6 +391,58 @@ def test_contexts_of_matches():
     assert dict(zip(doc.tolist(), (cell % 3).tolist(), strict=True)) == {0: toxicity.PLAIN, 1: toxicity.REPORTED, 2: toxicity.QUOTED, 3: toxicity.PLAIN}
 
 
+def plain_score(text, words, stems, chance, base):
+    """The highest chance of a match, word by word."""
+    low_text = "".join(c.lower() if ord(c) < 0x530 and len(c.lower()) == 1 else c for c in text)
+    found = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F«»\u2000-\u206F]+", low_text)]
+    tokens, best = [low_text[a:b] for a, b in found], None
+    for k, (a, b) in enumerate(found):
+        w = tokens[k]
+        if w in words:
+            number = words.index(w) + 1
+        elif any(w.startswith(s) for s in stems):
+            number = min(len(words) + 1 + i for i, s in enumerate(stems) if w.startswith(s))
+        elif any(len(t) >= 5 and data.distance_one(w, t) for t in words):
+            number = len(words) + len(stems) + 1
+        elif any(len(t) >= 5 and any(data.distance_one(w[:n], t) for n in range(len(w) + 1)) for t in stems):
+            number = len(words) + len(stems) + 2
+        else:
+            continue
+        before, after = (low_text[a - 1] if a else "\n"), (low_text + "\n")[b]
+        context = toxicity.PLAIN
+        if before in toxicity.QUOTES or after in toxicity.QUOTES:
+            context = toxicity.QUOTED
+        elif set(tokens[max(0, k - 5) : k]) & set(toxicity.REPORTING):
+            context = toxicity.REPORTED
+        value = chance[number * 3 + context]
+        best = value if best is None else max(best, value)
+    return base if best is None else best
+
+
+def test_scores_equal_a_plain_version(spark):
+    words, stems = ["idiot", "moron", "scum"], ["loweix", "veq"]
+    chance = np.random.default_rng(3).random((len(words) + len(stems) + 3) * 3)
+    model = toxicity.Model(toxicity.Automaton(words, stems), chance, 0.05)
+    rnd = random.Random(9)
+    pool = "idiot idiots idoit moron m0ron scum scums Loweixen loewix veqs said quote tree HOUSE told".split()
+    ends = ["", "", ",", '"', "”", "\n", "'"]
+    texts = ["".join(rnd.choice(["", "", '"', "«"]) + rnd.choice(pool) + rnd.choice(ends) + " " for _ in range(rnd.randint(1, 6))) for _ in range(200)]
+    texts += [r[1] for r in data.documents()] + ["", None, '"idiot"', "plain " * 20000 + "idiot"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score_documents(frame, model).collect():
+        assert r["score"] == plain_score(texts[r["doc_id"]] or "", words, stems, chance, 0.05), texts[r["doc_id"]]
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_repeated_ids_count_once_in_training(spark):
+    rows_ = [(i, f"clean words number {i} {i + 1}") for i in range(40)] + [(100 + i, f"zorgle bad text {i} w{i}") for i in range(8)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows_] + [(None, 1)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows_, "doc_id long, text string")
+    often = once.unionAll(once.where("doc_id = 3")).unionAll(once)
+    a, b = toxicity.train(once, labels), toxicity.train(often, labels)
+    assert np.array_equal(a.chance, b.chance) and a.base == b.base
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_documents(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
@@ -344,6 +502,48 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_language(text, model):
+    """Mean score of the byte 3- and 4-grams inside words, gram by gram."""
+    raw = bytearray(f"\n{text}\n".encode())
+    low_raw = bytearray(32 if b < 65 or 91 <= b < 97 or 123 <= b < 128 else b + 32 if b < 91 else b for b in raw)
+    for i in range(len(raw) - 1):
+        if raw[i] == 0xC3 and 0x80 <= raw[i + 1] <= 0x9E:
+            low_raw[i + 1] += 32
+    buckets = []
+    for i in range(len(low_raw) - 2):
+        g = low_raw[i : i + 3]
+        if g[1] != 32 and not (g[0] == 32 and g[2] == 32):
+            buckets.append((int.from_bytes(g, "little") * 0x9E3779B1 & 0xFFFFFFFF) >> 17)
+        g = low_raw[i : i + 4]
+        if len(g) == 4 and g[1] != 32 and g[2] != 32:
+            four = int.from_bytes(g, "little")
+            buckets.append(((four ^ four >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 17)
+    z = sum((model.scores[b].astype(float) for b in buckets), np.zeros(len(model.languages))) / max(1, len(buckets)) / model.temperature
+    e = np.exp(z - z.max())
+    return model.languages[int(e.argmax())], float(e.max() / e.sum())
+
+
+def test_predictions_equal_a_plain_version(spark, docs):
+    rng = np.random.default_rng(5)
+    model = language.Model(["de", "en", "fr"], rng.normal(0, 1, (language.N_BUCKETS, 3)).astype(np.float32), 0.3, 0.6)
+    texts = [r[1] for r in data.documents()] + ["ÀÉ Übung", "a", "ab", "abc", "日本語 text", "12 34", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language.identify(frame, model).collect():
+        text = texts[r["doc_id"]]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        name, score = plain_language(text, model)
+        assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-6 and r["rejected"] == (r["score"] < 0.6)
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows_ = [(i, f"{name}word other {name}text {i}", name) for i, name in enumerate(["aa"] * 12 + ["bb"] * 9 + ["cc"] * 3)]
+    frame = spark.createDataFrame(rows_ + rows_[:5], "doc_id long, text string, lang string")
+    assert language.train(frame).languages == ["aa", "bb"]
+
+
 def test_texts_without_letters_are_undetermined(spark, docs, empty):
     model = language.train(docs)
     frame = spark.createDataFrame([(1, None), (2, "12 34 !"), (3, ""), (4, "日本"), (5, "the")], "doc_id long, text string")

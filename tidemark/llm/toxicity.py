@@ -64,8 +64,10 @@ def _lowered() -> np.ndarray:
 _LOW = _lowered()
 _WORD = np.ones(_CODES, bool)
 _WORD[:128] = tb.ALNUM[:128]
+_WORD[0x2000:0x2070] = False  # dashes and other general punctuation
 _QUOTE = np.zeros(_CODES, bool)
 _QUOTE[[ord(c) for c in QUOTES]] = True
+_WORD &= ~_QUOTE
 
 
 class Text:
@@ -222,14 +224,13 @@ def cells(texts: list[str], automaton: Automaton) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Model:
-    words: list[str]
-    stems: list[str]
+    automaton: Automaton
     chance: np.ndarray  # that a match of this number in this context is abuse
     base: float  # that a text without a match is toxic
 
-    def score(self, texts: list[str], automaton: Automaton) -> np.ndarray:
+    def score(self, texts: list[str]) -> np.ndarray:
         """The chance of the most telling match; without one, the base chance."""
-        doc, cell = cells(texts, automaton)
+        doc, cell = cells(texts, self.automaton)
         best = np.full(len(texts), -1.0)
         np.maximum.at(best, doc, self.chance[cell])
         return np.where(best < 0, self.base, best)
@@ -322,7 +323,9 @@ def _lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) ->
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows outside fold 2, a bounded sample of each label.
 
-    Without toxic rows, the lexicon is empty and every score is 0."""
+    Of several texts under one doc_id, the smallest counts; an id with both
+    labels counts for both. Without toxic rows, the lexicon is empty and every
+    score is 0."""
     usable = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").distinct()
     usable = usable.where(fold(F.col("doc_id")) != 2)
     sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
@@ -330,14 +333,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rate = [int(min(1, most / max(1, sizes.get(k, 0))) * (1 << 30)) for k, most in ((0, TRAIN_CLEAN), (1, TRAIN_TOXIC))]
     drawn = usable.where(draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
     # a bounded number of ids, whatever the size of the tables
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
     sample = materialize(
-        docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"),
+        texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"),
         "toxicity-sample",
     )
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     words, stems = _lexicon(toxic, clean, n_toxic, n_clean) if n_toxic and n_clean else ([], [])
-    sent = docs.sparkSession.sparkContext.broadcast(Automaton(words, stems))
+    automaton = Automaton(words, stems)
+    sent = docs.sparkSession.sparkContext.broadcast(automaton)
     width = (len(words) + len(stems) + 3) * N_CONTEXTS
 
     def run(batches):
@@ -370,7 +375,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     plain = rate(p[:, PLAIN], q[:, PLAIN])
     less = np.array([min(1.0, rate(p[:, c].sum(), q[:, c].sum()) / rate(p[:, 0].sum(), q[:, 0].sum())) for c in range(N_CONTEXTS)])
     chance = (plain[:, None] * less[None]).reshape(-1)
-    return Model(words, stems, chance, float(rate(pos[-1], neg[-1]) if n_toxic else 0.0))
+    return Model(automaton, chance, float(rate(pos[-1], neg[-1]) if n_toxic else 0.0))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -378,18 +383,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the chance of the text's most telling match; a text without a
     match, as a null or empty one, has the base chance of such texts.
-    ``predicted`` is 1 from THRESHOLD on. Each input row gives one row; other
-    columns are ignored.
+    ``predicted`` is 1 from THRESHOLD on. ``held_out`` is null without a doc_id.
+    Each input row gives one row; other columns are ignored.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model, Automaton(model.words, model.stems)))
-    rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id")) == 2).alias("held_out"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(
+        F.col("doc_id").cast("long"), (fold(F.col("doc_id")) == 2).alias("held_out"), F.col("text").cast("string").alias("text")
+    )
 
     def run(batches):
-        fitted, automaton = sent.value
+        fitted = sent.value
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
-            scores = [fitted.score(texts[a:b], automaton) for a, b in _groups(texts)]
+            scores = [fitted.score(texts[a:b]) for a, b in _groups(texts)]
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [
