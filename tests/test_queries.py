@@ -3,7 +3,7 @@
 import pytest
 
 from tests.oracle import SF, connect, rows
-from tidemark.plans.queries import ORACLES, QUERIES
+from tidemark.plans.workflows import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -17,7 +17,6 @@ from tidemark.functions.calendars import calendar
 from tidemark.functions.names import series_name_column
 from tidemark.operators import checks as K
 from tidemark.operators import compare, series, shape
-from tidemark.operators.audit import audit_dataset
 from tidemark.operators.canonical import canonicalize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,28 +53,6 @@ def _r(c, places: int = 4):
     return F.round(c, places)
 
 
-ORDERS_CONFIG = {
-    "dataset_name": "orders",
-    "date_column": "o_orderdate",
-    "dimension_columns": ["o_orderpriority"],
-    "value_column": "o_totalprice",
-    "expected_frequency": "D",
-    "value_range": {"min": 1000.0, "max": 400000.0},
-    "allow_zero_values": False,
-    "expected_dimensions": {"o_orderpriority": ["1-URGENT", "2-HIGH", "9-NEVER"]},
-}
-
-
-def audit_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """All nineteen checks of ``orders``, one row each."""
-    orders = _t(spark, sf, "orders")
-    report = audit_dataset(orders, ORDERS_CONFIG, as_of=dt.date(2001, 8, 10), order="o_orderkey")
-    return report.to_frame(spark)
-
-
-QUERIES["audit_orders"] = audit_orders
-
-
 # Integrity.
 
 WITH_NULLS = """SELECT o_orderkey, CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE o_totalprice END AS price,
