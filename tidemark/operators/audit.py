@@ -19,6 +19,7 @@ from tidemark.functions.numbers import is_numeric
 from tidemark.model import BLOCKER, INFO, WARNING, AuditReport, CheckResult
 from tidemark.operators import checks as K
 from tidemark.operators import shape
+from tidemark.operators.quantiles import exact_percentiles
 from tidemark.sources.readers import nan_to_null, with_order
 
 ORDER = "_ord"
@@ -282,7 +283,7 @@ class Audit:
             out.append(CheckResult("A2", "abrupt_pct_change", "statistical", WARNING, not got["n"], f"{got['n']} abrupt changes", details))
         details = {}
         if n:
-            p = facts["quartiles"]
+            p = exact_percentiles(self.rows, K.q(v), [0.25, 0.5, 0.75])
             skew = facts["skew_pop"] * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 and facts["skew_pop"] is not None else None
             numbers = {"mean": facts["mean"], "std": facts["std"], "min": facts["min"], "p25": p[0], "median": p[1], "p75": p[2], "max": facts["max"], "skew": skew}
             details = {v: {"count": n, **{k: None if x is None else round(x, 4) for k, x in numbers.items()}}}

@@ -42,7 +42,6 @@ def table_aggregates(df: DataFrame, value: str, date: str | None, bounds: dict |
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.skewness(v).alias("skew_pop"),
-        F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("quartiles"),
         F.count_if(v < F.lit(bounds.get("min"))).alias("below"),
         F.count_if(v > F.lit(bounds.get("max"))).alias("above"),
     ]
@@ -57,11 +56,21 @@ def corrected_skew(skew: Column, n: Column) -> Column:
 
 
 def exact_duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """I3: rows beyond the first of each set of equal ones."""
-    names = [q(c) for c in columns or df.columns]
-    return df.groupBy(*names).agg(F.count("*").alias("c")).agg(
-        F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("exact_duplicate_count")
-    )
+    """I3: rows beyond the first of each set of equal ones.
+
+    Rows are grouped by a 128-bit hash of 16 bytes, so whole rows don't travel;
+    only those whose hash comes again are compared column by column."""
+    kinds = dict(df.dtypes)
+    given = columns or df.columns
+    rows = df.select(*[q(c).alias(f"v{i}") for i, c in enumerate(given)])  # no name clashes with ours
+    names = [F.col(c) for c in rows.columns]
+    # zero has two signs that are equal; a null and its place count too
+    parts = [x + 0.0 if kinds[c] in ("double", "float") else x for x, c in zip(names, given, strict=True)]
+    nulls = F.concat(*[F.when(x.isNull(), "0").otherwise("1") for x in names])
+    hashed = rows.withColumns({"h1": F.xxhash64(nulls, *parts), "h2": F.xxhash64(F.lit("row"), *reversed(parts), nulls)})
+    again = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    same = hashed.join(again, ["h1", "h2"], "left_semi").groupBy("h1", "h2", *names).agg(F.count("*").alias("n"))
+    return same.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("exact_duplicate_count"))
 
 
 def null_percentages(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -149,17 +158,30 @@ def pct_changes(df: DataFrame, value: str, dims: list[str], date: str, order: st
     """A2: rows with ``change``, the absolute change from the row before.
 
     Missing values take the last one's first (unless ``fill_nulls`` is off); a
-    change from zero is infinite, from zero to zero null."""
-    w = W.partitionBy(*map(q, dims)).orderBy(q(date).asc_nulls_last(), q(order))
-    known = df.dropna(subset=dims) if dims else df
-    v = q(value).cast("double")
-    filled = F.last(v, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)) if fill_nulls else v
-    rows = known.withColumn("_now", filled)
-    rows = rows.withColumn("_before", F.lag("_now").over(w))
+    change from zero is infinite, from zero to zero null.
+
+    Rows are in order within months, so no group has to fit one task; the last
+    value of each month, one row, is carried on to the next."""
+    known = (df.dropna(subset=dims) if dims else df).withColumns(
+        {"_v": q(value).cast("double"), "_month": F.coalesce(F.trunc(q(date).cast("date"), "MONTH"), F.lit("9999-12-31").cast("date"))}
+    )
+    keys = [*map(q, dims), F.col("_month")]
+    place = F.struct(q(date), q(order))
+    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), place) if fill_nulls else place)
+    months = W.partitionBy(*map(q, dims)).orderBy("_month")
+    earlier = F.last("_last", ignorenulls=True).over(months.rowsBetween(W.unboundedPreceding, -1)) if fill_nulls else F.lag("_last").over(months)
+    carried = known.groupBy(*keys).agg(last.alias("_last")).withColumn("_carry", earlier).drop("_last")
+    rows = known.join(carried, [*dims, "_month"])
+    w = W.partitionBy(*keys).orderBy(q(date), q(order))
+    now = F.col("_v")
+    if fill_nulls:
+        now = F.coalesce(F.last("_v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_carry")
+    rows = rows.withColumn("_now", now)
+    rows = rows.withColumn("_before", F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag("_now").over(w)))
     change = F.when((F.col("_before") == 0) & (F.col("_now") != 0), F.lit(float("inf"))).otherwise(
         F.abs(F.try_divide(F.col("_now"), F.col("_before")) - 1)
     )
-    return rows.withColumn("change", change).drop("_now", "_before")
+    return rows.select(*[q(c) for c in df.columns], change.alias("change"))
 
 
 # Consistency with a snapshot.

@@ -12,6 +12,7 @@ from tidemark.model import DiffReport
 from tidemark.operators import autodetect
 from tidemark.operators.canonical import canonicalize
 from tidemark.operators.checks import exact_duplicates
+from tidemark.operators.quantiles import exact_percentiles
 
 #: Scale factors that are looked for.
 FACTORS = [1e-9, 1e-6, 1e-3, 1e-2, 1e-1, 1.0, 1e1, 1e2, 1e3, 1e6, 1e9]
@@ -70,13 +71,12 @@ def scale_facts(joined: DataFrame) -> dict[str, Any]:
     """Count and median of all ratios; the same and the spread of those within
     a fifth and five times the median. All pairs count, none are sampled."""
     r = ratios(joined)
-    first = r.agg(F.count("*").alias("n"), F.percentile("ratio", F.lit(0.5)).alias("median")).first()
-    if not first["n"] or first["median"] <= 0:
-        return {"n": first["n"], "median": first["median"], "near_n": 0, "near_median": None, "near_std": None}
-    near = r.where((F.col("ratio") / first["median"]).between(0.2, 5.0)).agg(
-        F.count("*").alias("near_n"), F.percentile("ratio", F.lit(0.5)).alias("near_median"), F.stddev_pop("ratio").alias("near_std")
-    )
-    return {"n": first["n"], "median": first["median"], **near.first().asDict()}
+    n, median = r.count(), exact_percentiles(r, F.col("ratio"), [0.5])[0]
+    if not n or median <= 0:
+        return {"n": n, "median": median, "near_n": 0, "near_median": None, "near_std": None}
+    near = r.where((F.col("ratio") / median).between(0.2, 5.0))
+    spread = near.agg(F.count("*").alias("near_n"), F.stddev_pop("ratio").alias("near_std")).first().asDict()
+    return {"n": n, "median": median, "near_median": exact_percentiles(near, F.col("ratio"), [0.5])[0], **spread}
 
 
 def judge_scale(facts: dict[str, Any]) -> dict[str, Any]:

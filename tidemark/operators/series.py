@@ -194,12 +194,17 @@ def _by_correlation(pairs: list[tuple[str, str, float]], sources: list[str], pla
     """The platform with the best open correlation takes its source, and so on."""
     place = {s: i for i, s in enumerate(sources)}
     rank = {p: i for i, p in enumerate(platforms)}
-    open_ = [(round(r, 12), s, p) for s, p, r in pairs if r is not None and r >= LEAST_R]
+    strong = [(round(r, 12), s, p) for s, p, r in pairs if r is not None and r >= LEAST_R]
+    of_platform: dict[str, list[tuple[float, str]]] = {}
+    for r, s, p in strong:
+        of_platform.setdefault(p, []).append((r, s))
+    taken, done = set(), set()
     out = []
-    while open_:
-        best = max(open_, key=lambda x: (x[0], -rank[x[2]]))
+    for best in sorted(strong, key=lambda x: (-x[0], rank[x[2]])):
         platform = best[2]
-        near = [(r, s) for r, s, p in open_ if p == platform and r >= best[0] - CLOSE]
+        if platform in done or best[1] in taken:
+            continue
+        near = [(r, s) for r, s in of_platform[platform] if s not in taken and r >= best[0] - CLOSE]
         if best[0] >= threshold and len(near) == 1:
             r, s = near[0]
             detail = f"r={r:.4f}"
@@ -207,7 +212,8 @@ def _by_correlation(pairs: list[tuple[str, str, float]], sources: list[str], pla
             r, s = max(near, key=lambda x: (x[0] + name_boost(x[1], platform), x[0], place[x[1]]))
             detail = f"r={r:.4f}" + (" (by name among equals)" if name_boost(s, platform) else "")
         out.append(Match(s, platform, "correlation", r, detail))
-        open_ = [x for x in open_ if x[1] != s and x[2] != platform]
+        taken.add(s)
+        done.add(platform)
     return out
 
 

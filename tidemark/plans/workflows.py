@@ -43,6 +43,12 @@ ORDERS_CONFIG = {
 }
 
 
+def _frequency_sql(gap: str, weekend: str) -> str:
+    """The frequency of days by their median gap and whether weekends are among them."""
+    return f"""CASE WHEN {gap} <= 1.5 THEN CASE WHEN {weekend} THEN 'D' ELSE 'B' END WHEN {gap} <= 5 THEN 'B' WHEN {gap} <= 10 THEN 'W'
+  WHEN {gap} <= 40 THEN 'M' WHEN {gap} <= 100 THEN 'Q' ELSE 'A' END"""
+
+
 def _json_list(values: str, order: str) -> str:
     return f"'[' || coalesce(string_agg('\"' || {values} || '\"', ', ' ORDER BY {order}), '') || ']'"
 
@@ -101,7 +107,7 @@ span AS (SELECT min(day) AS a, max(day) AS b FROM o),
 dims AS (SELECT
   (SELECT {_json_list('x', 'x')} FROM (SELECT unnest(['1-URGENT', '2-HIGH', '9-NEVER']) AS x EXCEPT SELECT p FROM o)) AS lost,
   (SELECT {_json_list('p', 'p')} FROM (SELECT DISTINCT p FROM o WHERE p NOT IN ('1-URGENT', '2-HIGH', '9-NEVER'))) AS fresh),
-frequency AS (SELECT count(*) AS n, CASE WHEN median(gap) <= 1.5 THEN CASE WHEN bool_or(isodow(day) > 5) THEN 'D' ELSE 'B' END ELSE 'W' END AS f
+frequency AS (SELECT count(*) AS n, {_frequency_sql('median(gap)', 'bool_or(isodow(day) > 5)')} AS f
   FROM (SELECT day, day - lag(day) OVER (ORDER BY day) AS gap FROM days)),
 lost_days AS (SELECT unnest(generate_series((SELECT a FROM span), (SELECT b FROM span), INTERVAL 1 DAY))::DATE AS day EXCEPT SELECT day FROM days),
 gaps AS (SELECT (SELECT count(*) FROM lost_days) AS n, {_json_list('day', 'day')} AS sample FROM (SELECT * FROM lost_days ORDER BY day LIMIT 20)),
@@ -174,9 +180,9 @@ def _inferred_sql(table: str, date: str | None, whole: list[str], reals: list[st
         ("value_range.max", "NULL", "round(max(hi) + 0.1 * (max(hi) - min(lo)), 2)", "medium", numeric),
     ]
     if date:
-        gap = f"(SELECT median(g) AS g FROM (SELECT day - lag(day) OVER (ORDER BY day) AS g FROM (SELECT DISTINCT {date}::DATE AS day FROM {table})))"
+        gap = f"(SELECT median(g) AS g, bool_or(isodow(day) > 5) AS w FROM (SELECT day, day - lag(day) OVER (ORDER BY day) AS g FROM (SELECT DISTINCT {date}::DATE AS day FROM {table})))"
         lag = f"(SELECT DATE '2001-08-10' - max({date})::DATE AS l FROM {table})"
-        rows.append(("expected_frequency", "CASE WHEN g <= 1.5 THEN 'D' ELSE '?' END", "NULL", "high", gap))
+        rows.append(("expected_frequency", _frequency_sql("g", "w"), "NULL", "high", gap))
         rows.append(("acceptable_lag_days", "NULL", "CASE WHEN l BETWEEN 0 AND 3 THEN 2 WHEN l BETWEEN 4 AND 3650 THEN l + 1 ELSE 3 END", "medium", lag))
         rows.append(("expected_start", f"strftime(min({date}), '%Y-%m-%d')", "NULL", None, table))
     else:
