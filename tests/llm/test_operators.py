@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from tests.llm import data
 from tests.oracle import SF, connect, rows
 from tidemark.llm import (
-    bpe, decontaminate, language, license_scan, license_texts, minhash_join, quality, queries, suffix_dedup, token_file, toxicity,
+    bpe, common, decontaminate, language, license_scan, license_texts, minhash_join, quality, queries, suffix_dedup, token_file, toxicity,
     url_filter,
 )
 from tidemark.llm.common import scratch
@@ -194,6 +194,7 @@ def test_large_groups_go_through_hubs_and_blocks(spark, monkeypatch):
     """A ring of texts, each near to the next alone, and one group around a hub."""
     monkeypatch.setattr(minhash_join, "SMALL", 2)
     monkeypatch.setattr(minhash_join, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(common, "HEAVY", 16)  # so few rows: frequent and rare keys both occur
     w = [f"w{i}" for i in range(400)]
     ring = [" ".join(w[i * 6 : i * 6 + 90]) for i in range(30)]
     star = [" ".join(["s", *[f"v{k}" for k in range(60) if k != i]]) for i in range(25)]

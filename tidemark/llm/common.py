@@ -15,6 +15,9 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 BATCH_ROWS = 1000
 BATCH_BYTES = "4m"
 
+#: Keys with more than one in so many rows are joined without a shuffle.
+HEAVY = 4096
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -49,6 +52,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def meet(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined with ``facts``, narrow and one row of
+    each key, whose column ``count`` tells how many ``rows`` have it.
+
+    Keys with more than 1/HEAVY of all rows are fewer than HEAVY: their facts are
+    broadcast, so their rows need not meet in one task. The others are shuffled."""
+    heavy = F.col(count) * HEAVY > total
+    hot = facts.where(heavy)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(facts.where(~heavy), key))
+
+
+def look_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``meet`` for facts that don't tell how many ``rows`` have their key."""
+    count = fresh([*rows.columns, *facts.columns], "_count")
+    counted = rows.groupBy(key).agg(F.count("*").alias(count)).join(facts, key)
+    return meet(rows, counted, key, count, total).drop(count)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name like ``name`` that none of these has, in any case."""
     low = {c.lower() for c in taken}
