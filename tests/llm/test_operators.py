@@ -194,6 +194,7 @@ def test_large_groups_go_through_hubs_and_blocks(spark, monkeypatch):
     """A ring of texts, each near to the next alone, and one group around a hub."""
     monkeypatch.setattr(minhash_join, "SMALL", 2)
     monkeypatch.setattr(minhash_join, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "HEAVY", 16)  # so few rows: frequent and rare keys both occur
     w = [f"w{i}" for i in range(400)]
     ring = [" ".join(w[i * 6 : i * 6 + 90]) for i in range(30)]

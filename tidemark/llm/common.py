@@ -17,6 +17,8 @@ BATCH_BYTES = "4m"
 
 #: Keys with more than one in so many rows are joined without a shuffle.
 HEAVY = 4096
+#: Narrow facts of so many rows (16 MB at 250 bytes) may be broadcast whole.
+BROADCAST_ROWS = 1 << 16
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -56,8 +58,12 @@ def meet(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) ->
     """``rows`` (``total`` of them) joined with ``facts``, narrow and one row of
     each key, whose column ``count`` tells how many ``rows`` have it.
 
-    Keys with more than 1/HEAVY of all rows are fewer than HEAVY: their facts are
-    broadcast, so their rows need not meet in one task. The others are shuffled."""
+    ``total`` may be an upper bound. Facts are no more than the rows, so up to
+    BROADCAST_ROWS of these they are broadcast. Beyond, the keys with more than
+    1/HEAVY of all rows are fewer than HEAVY: their facts are broadcast, so their
+    rows need not meet in one task; the others are shuffled."""
+    if total <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), key)
     heavy = F.col(count) * HEAVY > total
     hot = facts.where(heavy)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
