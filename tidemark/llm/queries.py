@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_file, toxicity, url_filter
-from tidemark.llm.common import scratch, table
+from tidemark.llm import bpe, chat_format, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_file, toxicity, url_filter
+from tidemark.llm.common import materialize, scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -58,6 +58,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).drop("kept_text")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    written = materialize(chat_format.format_conversations(turns.unionByName(chat_format.example(spark))), "chats")
+    return chat_format.describe(written)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_language": op9_language,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_chat_format": op11_chat_format,
     }
 
 
@@ -80,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": license_scan.ORACLE_SQL,
         "op8_decontaminate": decontaminate.ORACLE_SQL,
         "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op11_chat_format": chat_format.ORACLE_SQL,
     }
