@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat_format, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_file, toxicity, url_filter
+from tidemark.llm import bpe, chat_format, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_align, token_file, toxicity, treap_search, url_filter
 from tidemark.llm.common import materialize, scratch, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,6 +64,15 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.describe(written)
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_align.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -77,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language": op9_language,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_chat_format": op11_chat_format,
+        "op12_token_align": op12_token_align,
+        "op13_treap_search": op13_treap_search,
     }
 
 
@@ -88,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontaminate": decontaminate.ORACLE_SQL,
         "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op11_chat_format": chat_format.ORACLE_SQL,
+        "op13_treap_search": treap_search.ORACLE_SQL,
     }
