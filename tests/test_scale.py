@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,24 +12,51 @@ COLUMNS = {
     "few values": [random.randint(0, 9) for _ in range(3000)],
     "hot values": [1.0] * 2000 + [2.0] * 5 + [5.0] * 2000,
     "heavy tail": [-(random.random() ** 9) * 1e9 for _ in range(2000)],
+    "half infinite": [0.0] * 500 + [float("inf")] * 500,
+    "both infinities": [float("-inf")] * 300 + [-1.0, 2.0] + [float("inf")] * 300,
+    "two values far apart": [1e-300] * 700 + [1e300] * 700,
     "one": [3.0],
     "none": [],
 }
 
 
+def percentile(values, share):
+    values, at = sorted(values), share * (len(values) - 1)
+    a, b, part = values[int(at)], values[-int(-at // 1)], at - int(at)
+    return a if a == b else (1 - part) * a + part * b
+
+
 @pytest.mark.parametrize("name", COLUMNS)
 def test_percentiles_narrow_to_the_exact_ones(spark, monkeypatch, name):
     monkeypatch.setattr(quantiles, "FEW_ROWS", 50)
-    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    monkeypatch.setattr(quantiles, "STEPS", 20)
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
     values, shares = COLUMNS[name], [0.25, 0.5, 0.987]
     frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
     got = quantiles.exact_percentiles(frame, F.col("v"), shares)
     if values:
-        assert got == pytest.approx([float(np.quantile(values, s)) for s in shares], rel=1e-12)
+        assert got == pytest.approx([percentile(values, s) for s in shares], rel=1e-12)
     else:
         assert got == [None] * 3
 
 
+def test_percentiles_of_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW_ROWS", 100)
+    monkeypatch.setattr(quantiles, "STEPS", 20)
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    groups = {(k if k != "one" else None, i % 2): v for i, (k, v) in enumerate(COLUMNS.items())}
+    groups["small", 1] = [random.random() for _ in range(90)]
+    rows = [(*g, float(v)) for g, values in groups.items() for v in values] + [("none", 0, None), ("small", 1, float("nan"))]
+    frame = spark.createDataFrame(rows, "`x` string, k0 int, n double").repartition(5)
+    for limit in (20_000, 2):  # brackets broadcast or shuffled
+        monkeypatch.setattr(quantiles, "FEW_BRACKETS", limit)
+        found = quantiles.grouped_percentiles(frame, ["x", "k0"], F.col("n"), [0.0, 0.37, 1.0]).collect()
+        got = {(r["x"], r["k0"]): [r["p0"], r["p1"], r["p2"]] for r in found}
+        assert got.keys() == {g for g, values in groups.items() if values}
+        for g, p in got.items():
+            assert p == pytest.approx([percentile(groups[g], s) for s in (0.0, 0.37, 1.0)], rel=1e-12), g
+
+
 def test_repeated_rows_are_told_apart_by_their_columns(spark):
     nan = float("nan")
     rows = [(None, "a", 0.0), ("a", None, 0.0), (None, "a", -0.0), ("x", "y", None), ("x", "y", None), ("x", "y", nan), ("x", "y", nan)]

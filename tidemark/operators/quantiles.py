@@ -1,8 +1,9 @@
-"""Exact percentiles of a column of any size.
+"""Exact percentiles of columns and of groups of any size.
 
-A sketch brackets each wanted place of the order, counts say how many values lie
-below and inside the bracket, and the bracket narrows until its values are few
-or all alike. No task ever holds the distinct values of the whole column.
+Groups of few values are counted value by value. For the others a sketch brackets
+each wanted place of the order, for all groups together; counts say how many
+values lie below, inside and on the ends of the bracket, and brackets narrow
+until few values lie strictly inside. No task ever holds the values of a group.
 """
 
 from __future__ import annotations
@@ -10,91 +11,168 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of one bracket that are sorted as they are.
+from tidemark.shared import scratch_tables, written
+
+#: Values of a group, or of the inside of a bracket, that are counted one by one.
 FEW_ROWS = 100_000
-#: Accuracy of the sketch, and the places beside a wanted one that it allows for.
+#: Sketched places of the order and the sketch's accuracy.
+STEPS = 1000
 ACCURACY = 10_000
-SLACK = 4
+#: Rounds after which a bracket is counted value by value in any case: each round
+#: leaves about 2 / STEPS of what lies inside it.
+MOST_ROUNDS = 6
+#: Brackets up to this number are broadcast.
+FEW_BRACKETS = 20_000
+
+
+def grouped_percentiles(df: DataFrame, keys: list[str], value: Column, shares: list[float]) -> DataFrame:
+    """``keys`` and p0, p1, ...: the interpolated percentile of ``value`` at each
+    share, for every group with a value.
+
+    Nulls and NaN don't count; infinities are values like others; null keys are
+    equal. Between two places the result is ``(1 - part) * lower + part * upper``.
+    If some group has over FEW_ROWS values, the result is a written table of a row
+    for each group; else it is a plan."""
+    names = [f"k{i}" for i in range(len(keys))]
+    x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], x.alias("x")).where("x is not null")
+    large = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("n") > FEW_ROWS)
+    wanted = [*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *[f"p{i}" for i in range(len(shares))]]
+    with scratch_tables() as keep:
+        large = keep(large, "large-groups")
+        if large.isEmpty():
+            return _few(rows, names, shares).select(*wanted)
+        many = _many(rows, large, names, shares, keep)
+        few = _few(_meet(rows, large.select(*names), names, "left_anti"), names, shares)
+        return written(few.unionByName(many).select(*wanted), "percentiles")
 
 
 def exact_percentiles(df: DataFrame, value: Column, shares: list[float]) -> list[float | None]:
-    """The interpolated percentile of ``value`` at each share; nulls don't count.
-
-    Every round costs two scans for all shares together and divides a bracket's
-    rows by about ACCURACY / SLACK; one round does up to 10**8 rows."""
-    rows = df.select(value.cast("double").alias("x")).where("x is not null")
-    first = rows.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n = first["n"]
-    if not n:
-        return [None] * len(shares)
-    places = sorted({k for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))})
-    found: dict[int, float] = {}
-    # place: (smallest, largest value it may have, rows below, rows inside)
-    brackets = {k: (first["lo"], first["hi"], 0, n) for k in places}
-    while brackets:
-        for k, (lo, hi, _, _) in list(brackets.items()):
-            if lo == hi:
-                found[k] = lo
-                del brackets[k]
-        few = {k: b for k, b in brackets.items() if b[3] <= FEW_ROWS}
-        for lo, hi, below, inside in {b for b in few.values()}:
-            mine = [k for k in few if few[k] == (lo, hi, below, inside)]
-            # FEW_ROWS values at most
-            ordered = rows.where(F.col("x").between(lo, hi)).agg(F.sort_array(F.collect_list("x")).alias("v"))
-            got = ordered.select(*[F.get("v", F.lit(k - below)).alias(f"p{k}") for k in mine]).first()
-            for k in mine:
-                found[k] = got[f"p{k}"]
-                del brackets[k]
-        if brackets:
-            brackets = _narrowed(rows, brackets)
-    return [_between(found, s * (n - 1)) for s in shares]
-
-
-def _narrowed(rows: DataFrame, brackets: dict[int, tuple]) -> dict[int, tuple]:
-    wanted = list(brackets.items())
-    ends = []
-    for i, (k, (lo, hi, below, inside)) in enumerate(wanted):
-        part = F.when(F.col("x").between(lo, hi), F.col("x"))
-        at, slack = (k - below) / inside, SLACK / ACCURACY
-        ends += [F.percentile_approx(part, max(0.0, at - slack), ACCURACY).alias(f"a{i}")]
-        ends += [F.percentile_approx(part, min(1.0, at + slack), ACCURACY).alias(f"b{i}")]
-    cuts = rows.agg(*ends).first()
+    """The interpolated percentile of a column at each share; nulls don't count."""
+    row = grouped_percentiles(df, [], value, shares).first()
+    return [None] * len(shares) if row is None else [row[f"p{i}"] for i in range(len(shares))]
+
+
+def _meet(rows: DataFrame, groups: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a row of each group. Large groups are few beside the
+    rows; up to FEW_BRACKETS they are broadcast, beyond that the shuffled join is
+    split where a group is large."""
+    few = groups.limit(FEW_BRACKETS + 1).count() <= FEW_BRACKETS
+    right = groups.withColumnsRenamed({n: f"_{n}" for n in names})
+    if not names:
+        return rows.join(F.broadcast(right), how=how) if how != "inner" else rows.crossJoin(F.broadcast(right))  # one row
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    return rows.join(F.broadcast(right) if few else right, on, how).drop(*[f"_{n}" for n in names])
+
+
+def _place(share: float, n: Column) -> tuple[Column, Column, Column]:
+    """The places before and after a share, and the part of the way between."""
+    at = F.lit(share) * (n - 1)
+    return F.floor(at), F.ceil(at), at - F.floor(at)
+
+
+def _picked(counted: DataFrame, names: list[str], shares: list[float], under: list[Column], total: Column) -> DataFrame:
+    """Percentiles from values with, for each share, the rows up to each value."""
+    picks = [total.alias("n")]
+    for i, s in enumerate(shares):
+        for side, place in zip("ab", _place(s, F.col("_n")), strict=False):
+            picks.append(F.min(F.when(under[i] > place, F.col("x"))).alias(f"{side}{i}"))
+    found = counted.groupBy(*names).agg(*picks).where("n is not null")  # without keys, no rows give one
+    out = []
+    for i, s in enumerate(shares):
+        a, b, part = F.col(f"a{i}"), F.col(f"b{i}"), _place(s, F.col("n"))[2]
+        out.append(F.when(a == b, a).otherwise((1 - part) * a + part * b).alias(f"p{i}"))
+    return found.select(*names, *out)
+
+
+def _few(rows: DataFrame, names: list[str], shares: list[float]) -> DataFrame:
+    """Groups of at most FEW_ROWS values."""
+    held = rows.groupBy(*names, "x").agg(F.count("*").alias("c"))
+    mine = W.partitionBy(*names)
+    counted = held.withColumns({"_up": F.sum("c").over(mine.orderBy("x").rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("c").over(mine)})
+    return _picked(counted, names, shares, [F.col("_up")] * len(shares), F.max("_n"))
+
+
+def _inside(i: int, low: str = "lo", high: str = "hi") -> Column:
+    return F.col("x").between(F.col(f"{low}{i}"), F.col(f"{high}{i}"))
+
+
+def _strictly(a: Column, b: Column) -> Column:
+    return F.count_if((F.col("x") > a) & (F.col("x") < b))
+
+
+def _many(rows: DataFrame, large: DataFrame, names: list[str], shares: list[float], keep) -> DataFrame:
+    """Large groups: a bracket (lo, hi) for each share, with the rows below it."""
+    first = {}
+    for i in range(len(shares)):
+        first |= {f"lo{i}": F.col("lo"), f"hi{i}": F.col("hi"), f"below{i}": F.lit(0).cast("long"), f"in{i}": F.col("n")}
+    state = keep(large.withColumns(first).drop("lo", "hi"), "brackets")
+    for _ in range(MOST_ROUNDS):
+        wide = F.lit(False)
+        for i in range(len(shares)):
+            wide = wide | ((F.col(f"in{i}") > FEW_ROWS) & (F.col(f"lo{i}") < F.col(f"hi{i}")))
+        open_ = state.where(wide)
+        if open_.isEmpty():
+            break
+        state = keep(state.where(~wide).unionByName(_narrowed(rows, open_, names, shares).select(*state.columns)), "brackets")
+    met = _meet(rows, state, names)
+    some = F.lit(False)
+    for i in range(len(shares)):
+        some = some | _inside(i)
+    facts = [c for c in state.columns if c not in names]
+    held = met.where(some).groupBy(*names, "x", *facts).agg(F.count("*").alias("c"))
+    running = W.partitionBy(*names).orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    up = {f"_up{i}": F.col(f"below{i}") + F.sum(F.when(_inside(i), F.col("c")).otherwise(0)).over(running) for i in range(len(shares))}
+    counted = held.withColumns(up | {"_n": F.col("n")})
+    return _picked(counted, names, shares, [F.when(_inside(i), F.col(f"_up{i}")) for i in range(len(shares))], F.max("_n"))
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, names: list[str], shares: list[float]) -> DataFrame:
+    steps = F.array(*[F.lit(k / STEPS) for k in range(STEPS + 1)])
+    met = _meet(rows, state, names)
+    sketches = []
+    for i in range(len(shares)):
+        part = F.when(_inside(i), F.col("x"))
+        sketches += [F.percentile_approx(part, steps, F.lit(ACCURACY)).alias(f"q{i}"), F.count(part).alias(f"c{i}")]
+    sketched = _meet(state, met.groupBy(*names).agg(*sketches), names)
+    for i, s in enumerate(shares):
+        low, high, _ = _place(s, F.col("n"))
+        at = [(k - F.col(f"below{i}")) / F.col(f"c{i}") * STEPS for k in (low, high)]
+        cut = [F.greatest(F.lit(0), F.floor(at[0]) - 1), F.least(F.lit(STEPS), F.ceil(at[1]) + 1)]
+        sketched = sketched.withColumns({f"{x}{i}": F.get(f"q{i}", k.cast("int")) for x, k in zip("ab", cut, strict=True)}).drop(f"q{i}", f"c{i}")
     counts = []
-    for i in range(len(wanted)):
-        a, b = cuts[f"a{i}"], cuts[f"b{i}"]
-        counts += [F.count_if(F.col("x") < a).alias(f"below{i}"), F.count_if(F.col("x").between(a, b)).alias(f"in{i}")]
-    found = rows.agg(*counts).first()
-    out = {}
-    for i, (k, (lo, hi, below, inside)) in enumerate(wanted):
-        under, within = found[f"below{i}"], found[f"in{i}"]
-        a, b = cuts[f"a{i}"], cuts[f"b{i}"]
-        if k < under:  # the sketch was off: what lies before its cut remains
-            out[k] = (lo, math.nextafter(a, -math.inf), below, under - below)
-        elif k >= under + within:
-            out[k] = (math.nextafter(b, math.inf), hi, under + within, below + inside - under - within)
-        elif (a, b) == (lo, hi):  # few values with many rows each: halve between them
-            out[k] = _halved(rows, k, (lo, hi, below, inside))
-        else:
-            out[k] = (a, b, under, within)
-    return out
-
-
-def _halved(rows: DataFrame, k: int, bracket: tuple) -> tuple:
-    lo, hi, below, inside = bracket
-    middle = lo + (hi - lo) / 2
-    x = F.col("x")
-    r = rows.where(x.between(lo, hi)).agg(
-        F.count_if(x <= middle).alias("n"), F.max(F.when(x <= middle, x)).alias("left"), F.min(F.when(x > middle, x)).alias("right")
-    ).first()
-    if k < below + r["n"]:
-        return lo, r["left"], below, r["n"]
-    return r["right"], hi, below + r["n"], inside - r["n"]
-
-
-def _between(found: dict[int, float], place: float) -> float:
-    a, b = found[math.floor(place)], found[math.ceil(place)]
-    # the same formula as for small columns: equal values stay as they are
-    share = place - math.floor(place)
-    return a if a == b else (1 - share) * a + share * b
+    for i in range(len(shares)):
+        lo, hi, a, b = (F.col(f"{x}{i}") for x in ("lo", "hi", "a", "b"))
+        counts += [
+            F.count_if((F.col("x") >= lo) & (F.col("x") < a)).alias(f"under{i}"),
+            F.count_if(_inside(i, "a", "b")).alias(f"within{i}"),
+            _strictly(a, b).alias(f"strict{i}"),
+            F.count_if((F.col("x") >= lo) & (F.col("x") < b)).alias(f"upto{i}"),
+            _strictly(lo, a).alias(f"left{i}"),
+            _strictly(b, hi).alias(f"right{i}"),
+        ]
+    counted = _meet(sketched, _meet(rows, sketched, names).groupBy(*names).agg(*counts), names)
+    new = {}
+    for i, s in enumerate(shares):
+        low, high, _ = _place(s, F.col("n"))
+        v = {x: F.col(f"{x}{i}") for x in ("lo", "hi", "below", "in", "a", "b", "under", "within", "strict", "upto", "left", "right")}
+        start = v["below"] + v["under"]
+        hit, left, right = (low >= start) & (high < start + v["within"]), high < start, low >= start + v["within"]
+
+        def choose(inner, before, after, old, hit=hit, left=left, right=right):
+            """By where the places are; where they stand on both sides of an end of
+            the sketch's cut, the bracket stays."""
+            return F.when(hit, inner).when(left, before).when(right, after).otherwise(old)
+
+        new |= {
+            f"lo{i}": choose(v["a"], v["lo"], v["b"], v["lo"]),
+            f"hi{i}": choose(v["b"], v["a"], v["hi"], v["hi"]),
+            f"below{i}": choose(start, v["below"], v["below"] + v["upto"], v["below"]),
+            f"in{i}": choose(v["strict"], v["left"], v["right"], v["in"]),
+        }
+    return counted.select(*names, "n", *[c.alias(k) for k, c in new.items()])

@@ -17,6 +17,8 @@ from tidemark.functions import dates, numbers
 from tidemark.functions.names import series_name, series_name_column
 from tidemark.model import DiffReport
 from tidemark.operators import autodetect, compare, shape
+from tidemark.operators.pairing import correlations, greedy_pairs
+from tidemark.operators.quantiles import grouped_percentiles
 from tidemark.sources.readers import nan_to_null, with_order
 
 ORDER = "_ord"
@@ -130,25 +132,6 @@ def discard_reasons(points: DataFrame) -> DataFrame:
 # Matching.
 
 
-def correlations(source: DataFrame, platform: DataFrame, min_overlap: int = MIN_OVERLAP) -> DataFrame:
-    """(source, platform, r, overlap) of all pairs, from one join on dates.
-
-    r is null for a constant series; pairs with less overlap are not there."""
-    a = source.select("date", F.col("series_name").alias("source"), F.col("value").alias("x"))
-    b = platform.select("date", F.col("series_name").alias("platform"), F.col("value").alias("y"))
-    grouped = a.join(b, "date").groupBy("source", "platform").agg(
-        F.count("*").alias("overlap"), F.covar_pop("x", "y").alias("_c"), F.stddev_pop("x").alias("_x"), F.stddev_pop("y").alias("_y")
-    )
-    r = F.try_divide(F.col("_c"), F.col("_x") * F.col("_y"))
-    return grouped.where(F.col("overlap") >= min_overlap).select("source", "platform", r.alias("r"), "overlap")
-
-
-def name_boost(source: str, platform: str) -> float:
-    a, b = source.strip().lower(), platform.strip().lower()
-    na, nb = series_name(source), series_name(platform)
-    return 0.010 if a == b else 0.005 if na == nb else 0.002 if na and nb and (na in nb or nb in na) else 0.0
-
-
 @dataclass
 class Match:
     source: str
@@ -190,30 +173,16 @@ class Matching:
         return spark.createDataFrame(rows, "source string, platform string, match_type string, confidence double, detail string")
 
 
-def _by_correlation(pairs: list[tuple[str, str, float]], sources: list[str], platforms: list[str], threshold: float) -> list[Match]:
-    """The platform with the best open correlation takes its source, and so on."""
-    place = {s: i for i, s in enumerate(sources)}
-    rank = {p: i for i, p in enumerate(platforms)}
-    strong = [(round(r, 12), s, p) for s, p, r in pairs if r is not None and r >= LEAST_R]
-    of_platform: dict[str, list[tuple[float, str]]] = {}
-    for r, s, p in strong:
-        of_platform.setdefault(p, []).append((r, s))
-    taken, done = set(), set()
+def match_correlated(source: DataFrame, platform: DataFrame, threshold: float, min_overlap: int = MIN_OVERLAP) -> list[Match]:
+    """The platform with the best open correlation takes its source, and so on.
+
+    Only the matching itself reaches the driver."""
+    strong = correlations(source, platform, min_overlap, LEAST_R - 1e-9).withColumn("r", F.round("r", 12)).where(F.col("r") >= LEAST_R)
     out = []
-    for best in sorted(strong, key=lambda x: (-x[0], rank[x[2]])):
-        platform = best[2]
-        if platform in done or best[1] in taken:
-            continue
-        near = [(r, s) for r, s in of_platform[platform] if s not in taken and r >= best[0] - CLOSE]
-        if best[0] >= threshold and len(near) == 1:
-            r, s = near[0]
-            detail = f"r={r:.4f}"
-        else:
-            r, s = max(near, key=lambda x: (x[0] + name_boost(x[1], platform), x[0], place[x[1]]))
-            detail = f"r={r:.4f}" + (" (by name among equals)" if name_boost(s, platform) else "")
-        out.append(Match(s, platform, "correlation", r, detail))
-        taken.add(s)
-        done.add(platform)
+    for row in greedy_pairs(strong, CLOSE).orderBy(F.desc("best"), "platform").collect():
+        alone = row["best"] >= threshold and row["near"] == 1
+        detail = f"r={row['r']:.4f}" + (" (by name among equals)" if row["boost"] and not alone else "")
+        out.append(Match(row["source"], row["platform"], "correlation", row["r"], detail))
     return out
 
 
@@ -235,23 +204,22 @@ def match_names(sources: list[str], platforms: list[str]) -> list[Match]:
     return out
 
 
+def _open_names(points: DataFrame, taken: list[str]) -> list[str]:
+    """Names of series that have no partner."""
+    names = points.select("series_name").where("series_name is not null").distinct()
+    used = points.sparkSession.createDataFrame([(t,) for t in taken], "series_name string")
+    return [r[0] for r in names.join(used, "series_name", "left_anti").orderBy("series_name").collect()]
+
+
 def match_series(source: DataFrame, platform: DataFrame, threshold: float = 0.95, min_overlap: int = MIN_OVERLAP) -> Matching:
-    """Correlation first, names for what is left.
-
-    Only pairs from LEAST_R on reach the driver, where the greedy choice, which
-    has an order, is made over names."""
-    names = [[r[0] for r in x.select("series_name").distinct().orderBy("series_name").collect()] for x in (source, platform)]
-    strong = correlations(source, platform, min_overlap).where(F.col("r") >= LEAST_R - 1e-9)
-    pairs = [(r["source"], r["platform"], r["r"]) for r in strong.collect()]
-    matches = _by_correlation(pairs, *names, threshold)
+    """Correlation first, names for what is left."""
+    matches = match_correlated(source, platform, threshold, min_overlap)
     log = [f"{len(matches)} by correlation"]
-    used = {m.source for m in matches}, {m.platform for m in matches}
-    left = [[x for x in ns if x not in u] for ns, u in zip(names, used, strict=True)]
+    left = _open_names(source, [m.source for m in matches]), _open_names(platform, [m.platform for m in matches])
     more = match_names(*left)
     log.append(f"{len(more)} by name")
-    matches += more
-    used = {m.source for m in matches}, {m.platform for m in matches}
-    return Matching(matches, *[[x for x in ns if x not in u] for ns, u in zip(names, used, strict=True)], log)
+    used = {m.source for m in more}, {m.platform for m in more}
+    return Matching(matches + more, *[[x for x in ns if x not in u] for ns, u in zip(left, used, strict=True)], log)
 
 
 def apply_manual(matching: Matching, pairs: list[tuple[str, str]]) -> Matching:
@@ -306,9 +274,13 @@ def compare_matched(source: DataFrame, platform: DataFrame, matching: Matching,
     spark = source.sparkSession
     pairs = matched_pairs(source, platform, matching.to_frame(spark)).dropna(subset=["value_src", "value_plat"])
     ratio = F.when((F.abs("value_src") > compare.TINY) & (F.abs("value_plat") > compare.TINY), F.col("value_plat") / F.col("value_src"))
-    medians = pairs.withColumn("ratio", ratio).groupBy("source", "platform").agg(F.percentile("ratio", F.lit(0.5)).alias("median"), F.count("ratio").alias("n"))
-    near = pairs.withColumn("ratio", ratio).join(medians, ["source", "platform"]).where((F.col("ratio") / F.nullif("median", F.lit(0.0))).between(0.2, 5.0))
-    spread = near.groupBy("source", "platform").agg(F.percentile("ratio", F.lit(0.5)).alias("near_median"), F.stddev_pop("ratio").alias("near_std"), F.count("*").alias("near_n"))
+    by = ["source", "platform"]
+    pairs_ = pairs.withColumn("ratio", ratio)
+    counts = pairs_.groupBy(*by).agg(F.count("ratio").alias("n"))
+    medians = counts.join(grouped_percentiles(pairs_, by, F.col("ratio"), [0.5]).withColumnRenamed("p0", "median"), by, "left")
+    near = pairs_.join(medians.select(*by, "median"), by).where((F.col("ratio") / F.nullif("median", F.lit(0.0))).between(0.2, 5.0))
+    spread = near.groupBy(*by).agg(F.stddev_pop("ratio").alias("near_std"), F.count("*").alias("near_n"))
+    spread = spread.join(grouped_percentiles(near, by, F.col("ratio"), [0.5]).withColumnRenamed("p0", "near_median"), by)
     scales = {}
     for r in medians.join(spread, ["source", "platform"], "left").collect():  # one row a match
         facts = {"n": r["n"], "median": r["median"] or 0.0, "near_n": r["near_n"] or 0, "near_median": r["near_median"], "near_std": r["near_std"]}
