@@ -10,6 +10,7 @@ marks, after a reporting word), stand in toxic texts.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,7 +34,6 @@ CHANCE_TERMS = 8
 STEM_SIZES = (4, 5, 6, 7, 8)
 #: Words a stem must begin.
 STEM_WORDS = 3
-MAX_TERMS = 2000
 #: Terms that a task counts before it sends them on.
 COUNTED_TERMS = 100_000
 #: Shorter terms must be met exactly.
@@ -62,9 +62,10 @@ def _lowered() -> np.ndarray:
 
 
 _LOW = _lowered()
-_WORD = np.ones(_CODES, bool)
+#: Words are of letters, their marks and digits in any script; no other space,
+#: sign or punctuation joins them.
+_WORD = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(_CODES)), bool, _CODES)
 _WORD[:128] = tb.ALNUM[:128]
-_WORD[0x2000:0x2070] = False  # dashes and other general punctuation
 _QUOTE = np.zeros(_CODES, bool)
 _QUOTE[[ord(c) for c in QUOTES]] = True
 _WORD &= ~_QUOTE
@@ -201,8 +202,8 @@ def contexts(text: Text, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(at), np.int64)
     quoted = _QUOTE[text.code[np.maximum(text.starts[at] - 1, 0)]] | _QUOTE[text.code[text.stops[at]]]
     for back in range(1, CONTEXT_WORDS + 1):
-        w = at - back
-        ok = (w >= 0) & (text.doc[w] == text.doc[at])
+        w = np.maximum(at - back, 0)
+        ok = (at >= back) & (text.doc[w] == text.doc[at])
         h = hashes[w]
         k = np.minimum(np.searchsorted(_REPORTING_HASHES, h), len(_REPORTING_HASHES) - 1)
         out[ok & (_REPORTING_HASHES[k] == h)] = REPORTED
@@ -313,10 +314,9 @@ def _lexicon(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) ->
     stems: list[str] = []
     for term in sorted((t[:-1] for t in good if t.endswith("*")), key=lambda t: (-good[t + "*"], -len(t), t)):
         related = any(term.startswith(x) or x.startswith(term) for x in stems)
-        if forms[term + "*"] >= STEM_WORDS and not related and len(stems) < MAX_TERMS // 4:
+        if forms[term + "*"] >= STEM_WORDS and not related:
             stems.append(term)
     words = [t for t in good if not t.endswith("*") and not t.startswith(tuple(stems))]
-    words = sorted(words, key=lambda t: (-good[t], t))[:MAX_TERMS]
     return sorted(words), sorted(stems)
 
 
