@@ -1,10 +1,12 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import ConfigError, config_from_dict, load_config, save_config, validate
+from tidemark.operators import autodetect
 from tidemark.operators.audit import audit_dataset
 from tidemark.operators.autodetect import apply_profile, auto_detect_config, map_columns, strip_internal
 from tidemark.report import exit_code, filter_checks, render_console, write_json
@@ -176,3 +178,55 @@ def test_stream_is_audited_by_batch(spark, tmp_path):
     stream = spark.readStream.schema("Date string, Region string, Value double").parquet(str(tmp_path / "in"))
     audit_stream(stream, CONFIG, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 19
+
+
+def test_the_table_is_read_once(spark):
+    """And once more only where rows repeat."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    for extra, times in ([], 1), ([("2024-01-10", "N", 101.0)] * 2, 2):
+        rows = [*clean(), *extra]
+        before = read.value
+        source = frame(spark, rows).mapInArrow(count, "Date string, Region string, Value double")
+        audit_dataset(source, CONFIG, frame(spark, clean()), AS_OF)
+        assert read.value - before == times * len(rows)
+
+
+def test_scratch_tables_go_with_the_report(spark, tmp_path):
+    from tidemark import shared
+
+    folder = shared.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    audit_dataset(frame(spark, clean()), CONFIG, as_of=AS_OF)
+    assert set(os.listdir(folder)) <= before
+
+
+@pytest.mark.parametrize("n", [49, 50, 51, 999, 1000, 1001])
+def test_limits_of_distinct_values_are_exact(spark, n):
+    rows = [(i, f"v{i % n}", i if i else 1) for i in range(1500)]
+    table = spark.createDataFrame(rows, "row_id long, t string, code long")
+    facts = autodetect.column_facts(table)
+    assert facts["t"]["distinct"] == n
+    assert autodetect.is_id_column("row_id", facts["row_id"]) and not autodetect.is_id_column("code", facts["code"])
+    assert autodetect.classify_columns(table)["t"] == ("dimension" if n <= 50 else "ignore")
+    found = auto_detect_config(table, "x")
+    assert ("t" in found["dimension_columns"]) == (n <= 1000)
+    assert found["expected_dimensions"].get("t") == (sorted(f"v{i}" for i in range(n)) if n <= 50 else None)
+
+
+@pytest.mark.parametrize("nulls, limit", [(4, 0.02), (5, 0.03), (25, 0.07), (26, 0.10)])
+def test_null_limits_hold_at_their_bounds(spark, nulls, limit):
+    table = spark.createDataFrame([(float(i) if i >= nulls else None,) for i in range(500)], "v double")
+    assert auto_detect_config(table, "x")["max_null_pct"] == limit
+
+
+def test_labels_say_what_columns_hold(spark):
+    rows = [("2024-01-01", "a", 1, dt.date(2024, 1, 1), f"t{i}") for i in range(60)]
+    table = spark.createDataFrame(rows, "d string, c string, n int, day date, t string")
+    assert autodetect.type_labels(table) == {"d": "date (text)", "c": "category (1 values)", "n": "number", "day": "date", "t": "text (60 values)"}
+    assert autodetect.type_labels(table.limit(0))["c"] == "category (0 values)"

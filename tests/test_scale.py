@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, quantiles
+from tidemark.operators import checks, compare, quantiles
 
 random.seed(5)
 COLUMNS = {
@@ -89,3 +89,44 @@ def test_changes_cross_months(spark, fill, dims):
         else:
             expected = abs(now / before - 1)
         assert got[i] == expected, (i, d, g, v)
+
+
+def test_one_dense_month_spreads_over_ranges(spark):
+    rows = [("2024-01-05", "a", float(i % 97), i) for i in range(4000)]
+    table = spark.createDataFrame(rows, "d string, _value string, v double, i long").withColumn("d", F.to_date("d"))
+    ranged = checks.in_ranges(table, ["_value"], "d", "i", "r")
+    sizes = [r["count"] for r in ranged.groupBy("r").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * len(rows) / 4
+    got = {r["i"]: (r["change"], r["_value"]) for r in checks.pct_changes(table, "v", ["_value"], "d", "i").collect()}
+    for i in range(1, 4000):
+        a, b = float((i - 1) % 97), float(i % 97)
+        assert got[i] == (float("inf") if a == 0 else abs(b / a - 1), "a")
+
+
+def plain_shift(source, platform, tolerance):
+    out = {}
+    for s in (-1, 0, 1):
+        hits = [
+            p is not None and v is not None and (abs(p - v) <= tolerance * max(abs(v), 1e-10) or abs(p - v) <= tolerance)
+            for d, k, v in source for e, q, p in platform if q == k and e + s == d
+        ]
+        if hits:
+            out[s] = sum(hits) / len(hits)
+    return out
+
+
+def test_shifts_look_over_the_edges_of_windows(spark):
+    rnd = random.Random(8)
+    day0 = 19_700  # days since 1970; windows of 64 days end in between
+
+    def rows(n, keys):
+        return [(day0 + rnd.randint(0, 200), rnd.choice(keys), rnd.choice([1.0, 2.0, 2.01, None])) for _ in range(n)]
+
+    source, platform = rows(300, "aab"), rows(300, "aabc")
+    frames = [
+        spark.createDataFrame(x, "day int, Key string, Value double").selectExpr("timestamp_seconds(day * 86400L)::timestamp_ntz AS Date", "Key", "Value")
+        for x in (source, platform)
+    ]
+    got = {r["shift"]: r["match_pct"] for r in compare.shift_matches(*frames, 0.01).collect()}
+    assert got == pytest.approx(plain_shift(source, platform, 0.01))
+    assert compare.shift_matches(frames[0], frames[1].limit(0), 0.01).count() == 0

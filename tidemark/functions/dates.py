@@ -66,13 +66,36 @@ class DateFormat:
     frequency_hint: str = "D"
 
 
+#: What formats of a fixed width look like with a 9 for each digit.
+SHAPES = {
+    "iso": ["9999-99-99", "9999/99/99", "9999-99/99", "9999/99-99"],
+    "iso_week": ["9999-W99"],
+    "year_month": ["9999-99", "9999/99"],
+    "campaign_year_span": ["9999-99", "9999/99", "9999-9999", "9999/9999"],
+    "year_only": ["9999"],
+}
+
+
+def _shape(text: Column) -> Column:
+    """A text with a 9 for each digit: what a format of a fixed width is told by."""
+    return F.translate(text, "012345678", "9" * 9)
+
+
 def format_votes(text: Column) -> Column:
-    """Name of the first format that a trimmed text fits; null if none does."""
+    """Name of the first format that a trimmed text fits; null if none does.
+
+    The shape of the text settles formats of a fixed width; only texts of another
+    shape are matched, form by form."""
     t = F.trim(text)
-    first = reduce(
-        lambda when, f: when.when(t.rlike(f"^(?:{f[1]})$"), F.lit(f[0])), FORMATS.items(), F.when(F.lit(False), None)
-    )
-    return first.cast("string")
+    shape = _shape(t)
+    found = F.when(F.lit(False), None)
+    for name, shapes in SHAPES.items():
+        fits = shape.isin(shapes)
+        if name == "year_month":
+            fits = fits & F.substring(t, 6, 2).between("01", "12")
+        found = found.when(fits, F.lit(name))
+    others = ((name, form) for name, form in FORMATS.items() if name not in SHAPES)
+    return reduce(lambda when, f: when.when(t.rlike(f"^(?:{f[1]})$"), F.lit(f[0])), others, found).cast("string")
 
 
 def detect_date_format(df: DataFrame, column: str, sample: int = SAMPLE, strict: bool = False) -> DateFormat:
@@ -119,17 +142,22 @@ def _first_of(year: Column, month: Column, day=1) -> Column:
     return F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("timestamp_ntz")
 
 
+#: Begins a text that was read by its form; no text to be read begins so.
+_READ = "\x01"
+
+
+def _reading(text: Column, form: str, order: str) -> tuple[Column, Column]:
+    """(reading, fits) of a text in one match: its groups in the given order if it
+    has the form. Their parts are then cut out by place, not matched again."""
+    got = F.regexp_replace(text, f"^(?:{form})$", _READ + order)
+    return F.substring(got, 2, 100), got.startswith(_READ) & ~text.startswith(_READ)
+
+
 def parse_quarter(text: Column) -> Column:
     """Q1 2025, 2025-Q1, 1T2025, 2025-T1: the first day of the quarter."""
-    t = F.upper(F.trim(text))
-    ahead = r"^(?:Q([1-4])|([1-4])T)\s*(\d{4})$"
-    after = r"^(\d{4})[-_][QT]([1-4])$"
-    first = t.rlike(ahead)
-    year = F.when(first, F.regexp_extract(t, ahead, 3)).when(t.rlike(after), F.regexp_extract(t, after, 1))
-    quarter = F.when(first, F.concat(F.regexp_extract(t, ahead, 1), F.regexp_extract(t, ahead, 2))).when(
-        t.rlike(after), F.regexp_extract(t, after, 2)
-    )
-    return _first_of(_int(year), _int(quarter) * 3 - 2)
+    form = r"Q([1-4])\s*(\d{4})|([1-4])T\s*(\d{4})|(\d{4})[-_][QT]([1-4])"
+    got, fits = _reading(F.upper(F.trim(text)), form, "$2$4$5$1$3$6")  # year, quarter
+    return F.when(fits, _first_of(_int(F.substring(got, 1, 4)), _int(F.substring(got, 5, 1)) * 3 - 2))
 
 
 def month_number(text: Column, language: str) -> Column:
@@ -141,41 +169,37 @@ def month_number(text: Column, language: str) -> Column:
 
 def parse_month_text(text: Column, language: str) -> Column:
     """Enero 2025, Jan-25: the first of the month; two digits are of this century."""
-    t = F.trim(text)
-    form = r"^([A-Za-z]+)[-\s]+(\d{2}|\d{4})$"
-    year = _int(F.when(t.rlike(form), F.regexp_extract(t, form, 2)))
-    return _first_of(F.when(year < 100, year + 2000).otherwise(year), month_number(F.regexp_extract(t, form, 1), language))
+    got, fits = _reading(F.trim(text), r"([A-Za-z]+)[-\s]+(?:(\d{2})|(\d{4}))", "20$2$3 $1")
+    year = F.substring_index(got, " ", 1)  # 20 before two digits, or before all four
+    return F.when(fits, _first_of(_int(F.right(year, F.lit(4))), month_number(F.substring_index(got, " ", -1), language)))
 
 
 def parse_year_span(text: Column) -> Column:
     """2024/2025, 2024-25: the first day of the first year; the years must follow."""
     t = F.trim(text)
-    form = r"^(\d{4})[/-](\d{2}|\d{4})$"
-    start = _int(F.when(t.rlike(form), F.regexp_extract(t, form, 1)))
-    end = _int(F.when(t.rlike(form), F.regexp_extract(t, form, 2)))
-    follows = F.when(end < 100, (start + 1) % 100 == end).otherwise(start + 1 == end)
-    return F.when(follows, _first_of(start, F.lit(1)))
+    start, end = _int(F.substring(t, 1, 4)), F.substring(t, 6, 4)
+    follows = F.right((start + 1).cast("string"), F.length(end)) == end
+    return F.when(_shape(t).isin(SHAPES["campaign_year_span"]) & follows, _first_of(start, F.lit(1)))
 
 
 def parse_iso_week(text: Column) -> Column:
     """2025-W03: that week's Monday. Week 53 only in years that have one."""
     t = F.trim(text)
-    form = r"^(\d{4})-W(\d{2})$"
-    year = _int(F.when(t.rlike(form), F.regexp_extract(t, form, 1)))
-    week = _int(F.when(t.rlike(form), F.regexp_extract(t, form, 2)))
+    year, week = _int(F.substring(t, 1, 4)), _int(F.substring(t, 7, 2))
     fourth = _first_of(year, F.lit(1), 4).cast("date")  # always in week 1
     monday = F.date_add(F.trunc(fourth, "WEEK"), (week - 1) * 7)
-    return F.when(week.between(1, 53) & (F.year(F.date_add(monday, 3)) == year), monday.cast("timestamp_ntz"))
+    fits = _shape(t).isin(SHAPES["iso_week"]) & week.between(1, 53)
+    return F.when(fits & (F.year(F.date_add(monday, 3)) == year), monday.cast("timestamp_ntz"))
 
 
 def parse_year_month(text: Column) -> Column:
     t = F.trim(text)
-    return _first_of(_int(F.regexp_extract(t, r"^(\d{4})[-/](\d{2})$", 1)), _int(F.regexp_extract(t, r"^(\d{4})[-/](\d{2})$", 2)))
+    return F.when(_shape(t).isin(SHAPES["year_month"]), _first_of(_int(F.substring(t, 1, 4)), _int(F.substring(t, 6, 2))))
 
 
 def parse_year(text: Column) -> Column:
     t = F.trim(text)
-    return _first_of(_int(F.when(t.rlike(r"^\d{4}$"), t)), F.lit(1))
+    return F.when(_shape(t).isin(SHAPES["year_only"]), _first_of(_int(t), F.lit(1)))
 
 
 def parse_iso(text: Column) -> Column:
@@ -185,10 +209,9 @@ def parse_iso(text: Column) -> Column:
 
 
 def parse_dmy(text: Column, dayfirst: bool = True) -> Column:
-    t = F.trim(text)
-    form = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$"
-    a, b, y = (_int(F.when(t.rlike(form), F.regexp_extract(t, form, i))) for i in (1, 2, 3))
-    return _first_of(y, b, a) if dayfirst else _first_of(y, a, b)
+    got, fits = _reading(F.trim(text), r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})", "$3-$1-$2")
+    y, a, b = (_int(F.split_part(got, F.lit("-"), F.lit(i))) for i in (1, 2, 3))
+    return F.when(fits, _first_of(y, b, a) if dayfirst else _first_of(y, a, b))
 
 
 #: strptime codes and the pattern letters of the same meaning.

@@ -1,8 +1,11 @@
 """The audit: facts of a table turned into a severity-ranked report.
 
-All scalar facts come from one aggregation; date facts from the distinct dates;
-duplicates, outliers, changes and revisions have one job each. Only aggregates
-and the few rows of samples reach the driver.
+The table is read once: that pass writes the date, the dimensions, the value, the
+order and a 128-bit hash of each row as a slim table in the shared folder, and all
+scalar facts are observed on the way. Every further check reads columns of the
+slim table; the table itself is read again only to confirm rows whose hash
+repeats. The slim table is deleted with the report's end. Only aggregates and the
+few rows of samples reach the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +13,8 @@ from __future__ import annotations
 import datetime as dt
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import config_from_dict
@@ -20,6 +24,7 @@ from tidemark.model import BLOCKER, INFO, WARNING, AuditReport, CheckResult
 from tidemark.operators import checks as K
 from tidemark.operators import shape
 from tidemark.operators.quantiles import exact_percentiles
+from tidemark.shared import scratch_tables
 from tidemark.sources.readers import nan_to_null, with_order
 
 ORDER = "_ord"
@@ -70,23 +75,33 @@ class Audit:
                 return df, config
         return shape.to_long(df, config)
 
-    # The facts of one aggregation.
+    # The one pass over the table.
 
-    def _facts(self) -> dict[str, Any]:
-        frame = self.rows.select(*[K.q(c) for c in self.columns])
+    def _wanted(self, frame: DataFrame) -> list:
         if self.value and is_numeric(dict(frame.dtypes)[self.value]):
-            wanted = K.table_aggregates(frame, self.value, self.date, self.config["value_range"])
-        else:
-            kinds = dict(frame.dtypes)
-            wanted = [F.count("*").alias("n_rows")]
-            wanted += [F.count_if(K.missing(K.q(c), kinds[c])).alias(f"null:{c}") for c in self.columns]
-            if self.date:
-                wanted += [F.min(K.q(self.date)).alias("first_date"), F.max(K.q(self.date)).alias("last_date")]
-        return frame.agg(*wanted).first().asDict()
+            return K.table_aggregates(frame, self.value, self.date, self.config["value_range"])
+        kinds = dict(frame.dtypes)
+        wanted = [F.count("*").alias("n_rows")]
+        wanted += [F.count_if(K.missing(K.q(c), kinds[c])).alias(f"null:{c}") for c in self.columns]
+        if self.date:
+            wanted += [F.min(K.q(self.date)).alias("first_date"), F.max(K.q(self.date)).alias("last_date")]
+        return wanted
+
+    def _read(self, keep) -> dict[str, Any]:
+        """Write the slim table and give the facts observed meanwhile."""
+        seen = Observation()
+        frame = self.rows.select(*[K.q(c) for c in self.columns], ORDER)
+        h1, h2 = K.row_hashes(frame, self.columns)
+        slim = dict.fromkeys(c for c in (self.date, *self.dims, self.value) if c)
+        observed = frame.observe(seen, *self._wanted(frame.drop(ORDER)))
+        self.slim = keep(observed.select(*map(K.q, slim), ORDER, h1.alias("h1"), h2.alias("h2")), "audited")
+        return seen.get
 
     def run(self) -> AuditReport:
-        facts = self._facts()
-        results = [*self.schema(), *self.temporal(facts), *self.integrity(facts), *self.statistics(facts), *self.consistency()]
+        with scratch_tables() as keep:
+            self.keep = keep
+            facts = self._read(keep)
+            results = [*self.schema(), *self.temporal(facts), *self.integrity(facts), *self.statistics(facts), *self.consistency()]
         for r in results:
             r.severity = self._severity(r)
         return self._report(results)
@@ -130,7 +145,7 @@ class Audit:
         ]
         wrong = {}
         if self.date and not self.raw_kinds[s["date_column"]].startswith(("date", "timestamp")):
-            sample = self.rows.select(K.q(self.date)).limit(5).collect()
+            sample = self.slim.select(K.q(self.date)).limit(5).collect()
             if sample and all(r[0] is None for r in sample):
                 wrong[self.date] = self.raw_kinds[s["date_column"]]
         for c in s["value_columns"] if wide else [s["value_column"]]:
@@ -147,11 +162,10 @@ class Audit:
         for c, expected in (self.config["expected_dimensions"] or {}).items():
             if expected is None or c not in self.columns:
                 continue
-            for status in ("new", "missing"):
-                diff = K.dimension_diff(self.rows, c, expected).where(F.col("status") == status)
-                found = [r["value"] for r in diff.orderBy("value").limit(SAMPLE_DIMS).collect()]
-                if found:
-                    details[f"{c}_{status}"] = found
+            place = F.row_number().over(W.partitionBy("status").orderBy("value"))
+            diff = K.dimension_diff(self.slim, c, expected).withColumn("place", place).where(F.col("place") <= SAMPLE_DIMS)
+            for r in diff.orderBy(F.desc("status"), "place").collect():
+                details.setdefault(f"{c}_{r['status']}", []).append(r["value"])
         out.append(
             CheckResult(
                 "S3", "dimension_values", "schema", WARNING, not details,
@@ -166,7 +180,7 @@ class Audit:
         if not self.date or facts.get("last_date") is None:
             return []
         c = self.config
-        days = K.date_index(self.rows, self.date).persist()
+        days = K.date_index(self.slim, self.date).persist()
         try:
             return self._temporal(facts, c, days)
         finally:
@@ -193,9 +207,10 @@ class Audit:
                 CheckResult("T2", "gap_detection", "temporal", BLOCKER, n == 0, f"{n} expected dates are missing", {"gap_count": n, "gaps_sample": sample})
             )
         keys = [self.date, *self.dims]
-        double = K.duplicate_keys(self.rows, keys)
-        n = double.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
-        sample = [{k: str(_plain(r[k])) for k in keys} for r in double.orderBy(*keys).limit(SAMPLE_KEYS).collect()] if n else []
+        seen = Observation()
+        double = K.duplicate_keys(self.slim, keys).observe(seen, F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+        sample = [{k: str(_plain(r[k])) for k in keys} for r in double.orderBy(*map(K.q, keys)).limit(SAMPLE_KEYS).collect()]
+        n = seen.get["n"]
         out.append(
             CheckResult("T3", "duplicate_date_dimension_keys", "temporal", BLOCKER, n == 0, f"{n} rows share a key", {"duplicate_rows": n, "sample": sample})
         )
@@ -245,7 +260,8 @@ class Audit:
         else:
             counts = {self.value: zeros} if zeros else {}
             out.append(CheckResult("I2", "suspicious_zeros", "integrity", WARNING, not zeros, f"{zeros} zeros", {"zero_counts": counts}))
-        again = K.exact_duplicates(self.rows, self.columns).first()["exact_duplicate_count"]
+        hashes = self.keep(K.repeated_hashes(self.slim), "repeated-hashes")
+        again = 0 if hashes.isEmpty() else K.exact_duplicates(self.rows, self.columns, hashes).first()["exact_duplicate_count"]
         out.append(
             CheckResult("I3", "exact_duplicate_rows", "integrity", BLOCKER, again == 0, f"{again} repeated rows", {"exact_duplicate_count": again})
         )
@@ -267,23 +283,25 @@ class Audit:
         if n < K.Z_MIN_VALUES:
             out.append(CheckResult("A1", "zscore_outliers", "statistical", WARNING, True, "too few values", {"skipped": True}))
         else:
-            wild = K.zscores(self.rows, v, self.dims).where(F.abs("z") > c["outlier_zscore_threshold"])
-            count = wild.count()
+            seen = Observation()
+            wild = K.zscores(self.slim, v, self.dims).where(F.abs("z") > c["outlier_zscore_threshold"]).observe(seen, F.count("*").alias("n"))
+            worst = wild.select("z").orderBy(F.desc(F.abs("z"))).limit(SAMPLE_Z).collect()
+            count = seen.get["n"]
             details = {}
             if count:
-                worst = wild.select("z").orderBy(F.desc(F.abs("z"))).limit(SAMPLE_Z).collect()
                 details = {v: {"count": count, "pct": round(count / facts["n_rows"], 4)}, f"{v}_worst_z": [round(r["z"], 2) for r in worst]}
             out.append(CheckResult("A1", "zscore_outliers", "statistical", WARNING, not count, f"{count} outliers", details))
         if not self.date or not n:
             out.append(CheckResult("A2", "abrupt_pct_change", "statistical", WARNING, True, "no dated values", {"skipped": True}))
         else:
-            jumps = K.pct_changes(self.rows, v, self.dims, self.date, ORDER)
+            narrow = self.slim.select(*map(K.q, dict.fromkeys([self.date, *self.dims, v])), ORDER)
+            jumps = K.pct_changes(narrow, v, self.dims, self.date, ORDER, keep=self.keep)
             got = jumps.where(F.col("change") > c["pct_change_threshold"]).agg(F.count("*").alias("n"), F.max("change").alias("m")).first()
             details = {v: {"count": got["n"], "max_pct_change": got["m"]}} if got["n"] else {}
             out.append(CheckResult("A2", "abrupt_pct_change", "statistical", WARNING, not got["n"], f"{got['n']} abrupt changes", details))
         details = {}
         if n:
-            p = exact_percentiles(self.rows, K.q(v), [0.25, 0.5, 0.75])
+            p = exact_percentiles(self.slim, K.q(v), [0.25, 0.5, 0.75])
             skew = facts["skew_pop"] * (n * (n - 1)) ** 0.5 / (n - 2) if n > 2 and facts["skew_pop"] is not None else None
             numbers = {"mean": facts["mean"], "std": facts["std"], "min": facts["min"], "p25": p[0], "median": p[1], "p75": p[2], "max": facts["max"], "skew": skew}
             details = {v: {"count": n, **{k: None if x is None else round(x, 4) for k, x in numbers.items()}}}
@@ -302,7 +320,7 @@ class Audit:
         cutoff = self.as_of - dt.timedelta(days=whitelist["max_revision_age_days"])
         f = None
         if self.date and values and self.date in self.before.columns:
-            index = [K.key_index(x, self.date, dims, values, ORDER) for x in (self.rows, self.before)]
+            index = [K.key_index(x, self.date, dims, values, ORDER) for x in (self.slim, self.before)]
             f = K.revision_facts(*index, dims, values, str(cutoff)).first()
         if f is None or not f["common_rows"]:
             return [CheckResult(i, n, "consistency", INFO, True, "nothing in common with the snapshot") for i, n in names]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers
 from tidemark.operators import shape
-from tidemark.sources.readers import nan_to_null, with_order
+from tidemark.sources.readers import nan_to_null, with_order, with_ordinals
 
 ORDER = "_ord"
 
@@ -35,7 +35,10 @@ def canonicalize(df: DataFrame, side: dict[str, Any], order: str | None = None)
     number_format, scale, custom_null_values."""
     log: list[str] = []
     df = nan_to_null(df)
-    df = df.withColumn(ORDER, F.col(order)) if order and order != ORDER else (df if order else with_order(df, ORDER))
+    # a footer is cut off by place, so rows need places without gaps
+    dense = not order and bool(side.get("skip_rows_bottom"))
+    number_rows = with_ordinals if dense else with_order
+    df = df.withColumn(ORDER, F.col(order)) if order and order != ORDER else (df if order else number_rows(df, ORDER))
     header = side.get("header_row")
     if header is None:
         header = shape.detect_header_row(df, ORDER)
@@ -45,7 +48,7 @@ def canonicalize(df: DataFrame, side: dict[str, Any], order: str | None = None)
         df = shape.reheader(df, header, ORDER)
         log.append(f"row {header} gave the column names")
     if side.get("skip_rows_bottom"):
-        df = shape.drop_footer(df, side["skip_rows_bottom"], ORDER)
+        df = shape.drop_footer(df, side["skip_rows_bottom"], ORDER, dense)
         log.append(f"dropped {side['skip_rows_bottom']} rows at the end")
     df = numbers.null_texts_to_null(df, side.get("custom_null_values"))
 

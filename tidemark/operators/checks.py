@@ -6,11 +6,14 @@ facts into results. Facts that scan the whole table share one aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendars
+from tidemark.shared import fresh, written
 
 Z_MIN_VALUES = 10
 
@@ -55,21 +58,38 @@ def corrected_skew(skew: Column, n: Column) -> Column:
     return F.when(n > 2, skew * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def exact_duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def row_hashes(df: DataFrame, columns: list[str]) -> tuple[Column, Column]:
+    """128 bits of the given columns of a row, as two longs."""
+    kinds = dict(df.dtypes)
+    # zero has two signs that are equal; a null and its place count too
+    parts = [q(c) + 0.0 if kinds[c] in ("double", "float") else q(c) for c in columns]
+    nulls = F.concat(*[F.when(q(c).isNull(), "0").otherwise("1") for c in columns])
+    return F.xxhash64(nulls, *parts), F.xxhash64(F.lit("row"), *reversed(parts), nulls)
+
+
+#: Hashes of repeated rows that are broadcast: 16 bytes each.
+BROADCAST_HASHES = 1_000_000
+
+
+def repeated_hashes(hashed: DataFrame) -> DataFrame:
+    """(h1, h2) that more than one row has."""
+    return hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+
+
+def exact_duplicates(df: DataFrame, columns: list[str] | None = None, again: DataFrame | None = None) -> DataFrame:
     """I3: rows beyond the first of each set of equal ones.
 
     Rows are grouped by a 128-bit hash of 16 bytes, so whole rows don't travel;
-    only those whose hash comes again are compared column by column."""
-    kinds = dict(df.dtypes)
+    only those whose hash comes again are compared column by column, summed up
+    where they are read before they travel. ``again`` are these hashes, if known."""
     given = columns or df.columns
-    rows = df.select(*[q(c).alias(f"v{i}") for i, c in enumerate(given)])  # no name clashes with ours
-    names = [F.col(c) for c in rows.columns]
-    # zero has two signs that are equal; a null and its place count too
-    parts = [x + 0.0 if kinds[c] in ("double", "float") else x for x, c in zip(names, given, strict=True)]
-    nulls = F.concat(*[F.when(x.isNull(), "0").otherwise("1") for x in names])
-    hashed = rows.withColumns({"h1": F.xxhash64(nulls, *parts), "h2": F.xxhash64(F.lit("row"), *reversed(parts), nulls)})
-    again = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    same = hashed.join(again, ["h1", "h2"], "left_semi").groupBy("h1", "h2", *names).agg(F.count("*").alias("n"))
+    h1, h2 = row_hashes(df, given)
+    hashed = df.select(*[q(c).alias(f"v{i}") for i, c in enumerate(given)], h1.alias("h1"), h2.alias("h2"))  # no name clashes with ours
+    names = [c for c in hashed.columns if c[0] == "v"]
+    again = repeated_hashes(hashed) if again is None else again
+    few = again.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+    some = hashed.join(F.broadcast(again) if few else again, ["h1", "h2"], "left_semi")
+    same = some.groupBy("h1", "h2", *names).agg(F.count("*").alias("n"))
     return same.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("exact_duplicate_count"))
 
 
@@ -154,34 +174,52 @@ def zscores(df: DataFrame, value: str, dims: list[str]) -> DataFrame:
     return joined.withColumn("z", z).drop("_mean", "_std")
 
 
-def pct_changes(df: DataFrame, value: str, dims: list[str], date: str, order: str, fill_nulls: bool = True) -> DataFrame:
+def in_ranges(df: DataFrame, dims: list[str], date: str, order: str, name: str, keep: Callable = written) -> DataFrame:
+    """``df`` as a written table whose rows are dealt into even ranges of
+    (dimensions, date, order); ``name`` is the column that numbers the ranges.
+
+    A range is bounded by the rows, not by a group or a month: one group of one
+    day is spread over as many ranges as it has rows for."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *map(q, dims), q(date).asc_nulls_last(), q(order))
+    return keep(dealt.withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def pct_changes(
+    df: DataFrame, value: str, dims: list[str], date: str, order: str, fill_nulls: bool = True, ranges: str | None = None, keep: Callable = written
+) -> DataFrame:
     """A2: rows with ``change``, the absolute change from the row before.
 
     Missing values take the last one's first (unless ``fill_nulls`` is off); a
-    change from zero is infinite, from zero to zero null.
-
-    Rows are in order within months, so no group has to fit one task; the last
-    value of each month, one row, is carried on to the next."""
-    known = (df.dropna(subset=dims) if dims else df).withColumns(
-        {"_v": q(value).cast("double"), "_month": F.coalesce(F.trunc(q(date).cast("date"), "MONTH"), F.lit("9999-12-31").cast("date"))}
-    )
-    keys = [*map(q, dims), F.col("_month")]
-    place = F.struct(q(date), q(order))
-    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), place) if fill_nulls else place)
-    months = W.partitionBy(*map(q, dims)).orderBy("_month")
-    earlier = F.last("_last", ignorenulls=True).over(months.rowsBetween(W.unboundedPreceding, -1)) if fill_nulls else F.lag("_last").over(months)
-    carried = known.groupBy(*keys).agg(last.alias("_last")).withColumn("_carry", earlier).drop("_last")
-    rows = known.join(carried, [*dims, "_month"])
-    w = W.partitionBy(*keys).orderBy(q(date), q(order))
-    now = F.col("_v")
+    change from zero is infinite, from zero to zero null. Rows without a date come
+    last; rows with a null dimension go.
+
+    Rows are in order within ranges (``in_ranges``, or the column ``ranges`` if
+    ``df`` is dealt already), so no group has to fit one task. The last value of
+    each range is carried on to those after it: a row for each group and range."""
+    names, given = [], [*df.columns]
+    for x in ("_value", "_last", "_carry", "_now", "_before", "_range"):
+        names.append(fresh([*given, *names], x))
+    v, last, carry, now, before, at = names
+    known = df.dropna(subset=dims) if dims else df
+    if ranges is None:
+        known, ranges = in_ranges(known, dims, date, order, at, keep), at
+    known = known.withColumn(v, q(value).cast("double"))
+    groups = [*map(q, dims)]
+    place = F.struct(q(date).isNull(), q(date), q(order))
+    ends = F.max_by(v, F.when(F.col(v).isNotNull(), place) if fill_nulls else place)
+    earlier = W.partitionBy(*groups).orderBy(ranges)
+    carried = F.last(last, ignorenulls=True).over(earlier.rowsBetween(W.unboundedPreceding, -1)) if fill_nulls else F.lag(last).over(earlier)
+    starts = known.groupBy(*groups, ranges).agg(ends.alias(last)).withColumn(carry, carried).drop(last)
+    rows = known.join(starts, [*dims, ranges])
+    w = W.partitionBy(*groups, ranges).orderBy(q(date).asc_nulls_last(), q(order))
+    value_now = F.col(v)
     if fill_nulls:
-        now = F.coalesce(F.last("_v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_carry")
-    rows = rows.withColumn("_now", now)
-    rows = rows.withColumn("_before", F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag("_now").over(w)))
-    change = F.when((F.col("_before") == 0) & (F.col("_now") != 0), F.lit(float("inf"))).otherwise(
-        F.abs(F.try_divide(F.col("_now"), F.col("_before")) - 1)
-    )
-    return rows.select(*[q(c) for c in df.columns], change.alias("change"))
+        value_now = F.coalesce(F.last(v, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), carry)
+    rows = rows.withColumn(now, value_now)
+    rows = rows.withColumn(before, F.when(F.row_number().over(w) == 1, F.col(carry)).otherwise(F.lag(now).over(w)))
+    change = F.when((F.col(before) == 0) & (F.col(now) != 0), F.lit(float("inf"))).otherwise(F.abs(F.try_divide(now, before) - 1))
+    return rows.select(*map(q, given), change.alias("change"))
 
 
 # Consistency with a snapshot.

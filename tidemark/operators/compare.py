@@ -6,6 +6,7 @@ import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.model import DiffReport
@@ -70,13 +71,17 @@ def ratios(joined: DataFrame) -> DataFrame:
 def scale_facts(joined: DataFrame) -> dict[str, Any]:
     """Count and median of all ratios; the same and the spread of those within
     a fifth and five times the median. All pairs count, none are sampled."""
-    r = ratios(joined)
-    n, median = r.count(), exact_percentiles(r, F.col("ratio"), [0.5])[0]
-    if not n or median <= 0:
-        return {"n": n, "median": median, "near_n": 0, "near_median": None, "near_std": None}
-    near = r.where((F.col("ratio") / median).between(0.2, 5.0))
-    spread = near.agg(F.count("*").alias("near_n"), F.stddev_pop("ratio").alias("near_std")).first().asDict()
-    return {"n": n, "median": median, "near_median": exact_percentiles(near, F.col("ratio"), [0.5])[0], **spread}
+    r = ratios(joined).persist()  # one narrow column, read by each round
+    try:
+        median = exact_percentiles(r, F.col("ratio"), [0.5])[0]
+        if median is None or median <= 0:
+            return {"n": r.count(), "median": median, "near_n": 0, "near_median": None, "near_std": None}
+        close = (F.col("ratio") / median).between(0.2, 5.0)
+        near = F.when(close, F.col("ratio"))
+        spread = r.agg(F.count("*").alias("n"), F.count(near).alias("near_n"), F.stddev_pop(near).alias("near_std")).first().asDict()
+        return {"median": median, "near_median": exact_percentiles(r.where(close), F.col("ratio"), [0.5])[0], **spread}
+    finally:
+        r.unpersist()
 
 
 def judge_scale(facts: dict[str, Any]) -> dict[str, Any]:
@@ -108,15 +113,37 @@ def detect_scale(joined: DataFrame) -> dict[str, Any]:
 # Shift by a day.
 
 
+#: Days of one window of dates; the days at its edges are sent to two windows.
+SHIFT_WINDOW = 64
+_DAY = 86_400_000_000
+
+
 def shift_matches(source: DataFrame, platform: DataFrame, tolerance: float) -> DataFrame:
-    """(shift, match_pct) with the platform's dates moved by -1, 0 and 1 days:
-    one join, as each platform row stands under its three dates."""
-    moved = platform.select("Key", F.col("Value").alias("value_plat"), "Date", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("shift"))
-    moved = moved.withColumn("Date", F.col("Date") + F.make_dt_interval(F.col("shift")))
-    joined = source.select("Date", "Key", F.col("Value").alias("value_src")).join(moved, ["Date", "Key"])
+    """(shift, match_pct) with the platform's dates moved by -1, 0 and 1 days.
+
+    Both tables are dealt by key and window of dates and merged in the order of
+    time: a source row looks at the platform's values a day before, at, and a day
+    after its own time. So the platform is shuffled once (and the first and last
+    day of each window twice), and a key's rows are spread over its windows."""
+    t = F.unix_micros(F.col("Date").cast("timestamp")).alias("t")
+    window = F.floor(F.col("t") / F.lit(SHIFT_WINDOW * _DAY))
+    src = source.select("Key", t, F.col("Value").alias("value_src")).withColumn("window", window)
+    src = src.withColumns({"is_src": F.lit(True), "values": F.lit(None).cast("array<double>")})
+    held = platform.groupBy("Key", "Date").agg(F.collect_list(F.col("Value").cast("double")).alias("values"), F.count_if(F.col("Value").isNull()).alias("nulls"))
+    held = held.select("Key", t, F.concat("values", F.array_repeat(F.lit(None).cast("double"), F.col("nulls").cast("int"))).alias("values"))
+    near = [F.floor((F.col("t") + F.lit(d * _DAY)) / F.lit(SHIFT_WINDOW * _DAY)) for d in (-1, 0, 1)]
+    held = held.withColumn("window", F.explode(F.array_distinct(F.array(*near))))
+    held = held.withColumns({"is_src": F.lit(False), "value_src": F.lit(None).cast("double")})
+    rows = src.withColumn("value_src", F.col("value_src").cast("double")).unionByName(held).where("t is not null and Key is not null")
+    w = W.partitionBy("Key", "window").orderBy("t")
+    # moved by a shift, the platform's date is the source's
+    at = {s: F.first("values", ignorenulls=True).over(w.rangeBetween(-s * _DAY, -s * _DAY)) for s in (-1, 0, 1)}
+    met = rows.withColumns({f"at{s}": c for s, c in at.items()}).where("is_src")
+    shifts = F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"at{s}").alias("values")) for s in at])
+    pairs = met.select("value_src", F.inline(shifts)).select("shift", "value_src", F.explode("values").alias("value_plat"))
     gap = F.abs(F.col("value_plat") - F.col("value_src"))
-    near = (gap <= tolerance * F.greatest(F.abs("value_src"), F.lit(TINY))) | (gap <= tolerance)
-    return joined.groupBy("shift").agg(F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("match_pct"))
+    fits = (gap <= tolerance * F.greatest(F.abs("value_src"), F.lit(TINY))) | (gap <= tolerance)
+    return pairs.groupBy("shift").agg(F.avg(F.coalesce(fits, F.lit(False)).cast("double")).alias("match_pct"))
 
 
 def judge_shift(found: dict[int, float]) -> int | None:

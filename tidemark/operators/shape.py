@@ -85,9 +85,17 @@ def detect_header_row(df: DataFrame, order: str, scan: int = 20) -> int | None:
     return at
 
 
-def drop_footer(df: DataFrame, n: int, order: str) -> DataFrame:
-    """Without the last ``n`` rows, if there are more than that."""
-    if n <= 0 or df.count() <= n:
+def drop_footer(df: DataFrame, n: int, order: str, dense: bool = False) -> DataFrame:
+    """Without the last ``n`` rows, if there are more than that.
+
+    ``dense``: ``order`` has no gaps, so the last rows are told by their number
+    alone; otherwise the last ``n`` are looked for."""
+    if n <= 0:
+        return df
+    if dense:
+        ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+        return df if ends["a"] is None or ends["b"] - ends["a"] < n else df.where(F.col(order) <= F.lit(ends["b"] - n))
+    if df.count() <= n:
         return df
     last = df.select(order).orderBy(F.desc(order)).limit(n).agg(F.min(order).alias("cut")).first()["cut"]
     return df.where(F.col(order) < F.lit(last))

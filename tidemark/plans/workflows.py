@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, numbers
-from tidemark.operators import autodetect, compare, series
+from tidemark.operators import autodetect, compare, quantiles, series
 from tidemark.operators import checks as K
 from tidemark.operators.audit import audit_dataset
 from tidemark.operators.canonical import canonicalize
@@ -239,14 +239,49 @@ def column_roles(spark, sf):
     return spark.createDataFrame(rows, "table string, side string, column string, role string")
 
 
-@query("""SELECT * FROM (VALUES ('o_orderdate', 'o_orderdate', 'exact', 1.0::DOUBLE), ('o_custkey', 'O_CUSTKEY', 'exact', 0.95),
-  ('o_totalprice', 'o.totalprice', 'normalized', 0.8), ('o_orderstatus', NULL, 'none', 0.0), ('o_orderkey', NULL, 'none', 0.0),
-  ('o_orderpriority', 'O_Orderpriority', 'exact', 0.95)) AS v(source, platform, confidence, score)""")
+_MAPPED = [
+    ("o_orderdate", "o_orderdate", "exact", 1.0), ("o_custkey", "O_CUSTKEY", "exact", 0.95), ("o_totalprice", "o.totalprice", "normalized", 0.8),
+    ("o_orderstatus", None, "none", 0.0), ("o_orderkey", None, "none", 0.0), ("o_orderpriority", "O_Orderpriority", "exact", 0.95),
+]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{s}' AS source, {repr(p) if p else 'NULL'} AS platform, '{c}' AS confidence, {x}::DOUBLE AS score, "
+    f"{f'count({s})' if p else '0'} AS filled, {f'count(DISTINCT {s})' if p else '0'} AS differ FROM orders WHERE o_orderkey % 7 <> 0 HAVING count(*) > 0"
+    for s, p, c, x in _MAPPED
+))
 def mapped_columns(spark, sf):
-    """Columns of ``orders`` mapped to those of a renamed copy."""
-    names = ["O_CUSTKEY", "o.totalprice", "O_Orderpriority", "o_orderdate", "status"]
-    found = autodetect.map_columns(_t(spark, sf, "orders").columns, names)
-    return spark.createDataFrame([(m.source, m.platform, m.confidence, m.score) for m in found], "source string, platform string, confidence string, score double")
+    """Columns of ``orders`` mapped to those of a renamed copy, and what the copy's
+    columns hold under the source's names."""
+    orders = _t(spark, sf, "orders")
+    names = {"o_custkey": "O_CUSTKEY", "o_totalprice": "o.totalprice", "o_orderpriority": "O_Orderpriority", "o_orderstatus": "status"}
+    copy = orders.where("o_orderkey % 7 <> 0").drop("o_orderkey").withColumnsRenamed(names)
+    found = autodetect.map_columns(orders.columns, copy.columns)
+    renamed = copy.withColumnsRenamed(autodetect.renames(found))
+    facts = [F.struct(F.lit(m.source).alias("source"), F.lit(m.platform).alias("platform"), F.lit(m.confidence).alias("confidence"), F.lit(m.score).alias("score"),
+                      (F.count(m.source) if m.platform else F.lit(0)).cast("long").alias("filled"),
+                      (F.count_distinct(m.source) if m.platform else F.lit(0)).cast("long").alias("differ")) for m in found]
+    return renamed.agg(F.array(*facts).alias("rows")).select(F.inline("rows"))
+
+
+LABELLED = {"orders": (["o_orderstatus", "o_orderpriority"], ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderdate"]),
+            "customer": (["c_name", "c_mktsegment"], ["c_custkey", "c_nationkey", "c_acctbal"], []),
+            "events": (["event_type", "props"], ["event_id", "user_id", "value"], ["ts"])}
+
+
+def _labels_sql(table: str) -> str:
+    texts, numbers_, days = LABELLED[table]
+    n = "count(DISTINCT {})"
+    rows = [f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", CASE WHEN {n.format(c)} <= 50 THEN 'category (' ELSE 'text (' END || {n.format(c)} || ' values)' AS label FROM {table}" for c in texts]
+    rows += [f"SELECT '{table}', '{c}', '{label}' FROM {table} HAVING count(*) > 0" for label, cs in (("number", numbers_), ("date", days)) for c in cs]
+    return " UNION ALL ".join(rows)
+
+
+@query(" UNION ALL ".join(map(_labels_sql, LABELLED)))
+def column_labels(spark, sf):
+    """What the columns of three tables hold, in words."""
+    rows = [(t, c, x) for t in LABELLED for c, x in autodetect.type_labels(_t(spark, sf, t)).items()]
+    return spark.createDataFrame(rows, "table string, column string, label string")
 
 
 # A whole comparison.
@@ -459,3 +494,57 @@ def series_manual_match(spark, sf):
     rows += [(s, None, "unmatched") for s in changed.unmatched_source] + [(None, p, "unmatched") for p in changed.unmatched_platform]
     rows.append((None, None, f"rate {round(changed.summary()['match_rate_source'], 4)}"))
     return spark.createDataFrame(rows, "source string, platform string, kind string")
+
+
+@query(f"SELECT n AS source, 'pub_' || n AS platform, CASE WHEN n < '3' THEN 'first' ELSE 'second' END AS file FROM (SELECT DISTINCT o_orderpriority AS n FROM orders)")
+def series_merged_match(spark, sf):
+    """Series of two source files matched with one publication, one after the other."""
+    points = (
+        _t(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("date"), F.col("o_orderpriority").alias("series_name"))
+        .agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("value"))
+    )
+    other = points.withColumns({"series_name": F.concat(F.lit("pub_"), "series_name"), "value": F.col("value") * 3 + 1})
+    low = F.col("series_name") < "3"
+    first = series.match_series(points.where(low), other)
+    left = other.where(F.col("series_name").isin(first.unmatched_platform))
+    merged = series.merge_matchings(first, series.match_series(points.where(~low), left))
+    done = {m.platform for m in first.matches}
+    rows = [(m.source, m.platform, "first" if m.platform in done else "second") for m in merged.matches]
+    return spark.createDataFrame(rows, "source string, platform string, file string")
+
+
+@query("""SELECT event_type AS series_name, count(*) AS row_count, round(min(value), 4) AS min, round(max(value), 4) AS max, min(ts::DATE)::TIMESTAMP AS min_date
+FROM events WHERE value IS NOT NULL GROUP BY 1""", "min_date")
+def extract_auto_series(spark, sf):
+    """Series of a table whose columns tell their own roles."""
+    events = _t(spark, sf, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type", "value")
+    meta = series.extract_auto(events).meta()
+    return meta.select("series_name", "row_count", _r("min").alias("min"), _r("max").alias("max"), "min_date")
+
+
+@query("""WITH d AS (SELECT l_shipdate::DATE AS day, l_returnflag AS f, sum(l_quantity::DECIMAL(20,2))::DOUBLE AS q, sum(l_tax::DECIMAL(20,4))::DOUBLE AS t FROM lineitem GROUP BY 1, 2)
+SELECT day::TIMESTAMP AS "Date", lower(f) || '|quantity' AS "Key", round(q * 10, 4) AS "Value" FROM d UNION ALL SELECT day::TIMESTAMP, lower(f) || '|tax', round(t * 10, 4) FROM d""", "Date")
+def canonicalize_wide(spark, sf):
+    """A wide table with a dimension, melted to dates, keys and scaled values."""
+    daily = _t(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day"), "l_returnflag").agg(
+        F.sum(F.col("l_quantity").cast("decimal(20,2)")).cast("double").alias("quantity"), F.sum(F.col("l_tax").cast("decimal(20,4)")).cast("double").alias("tax")
+    )
+    side = {"date_column": "day", "key_columns": ["l_returnflag"], "value_columns": ["quantity", "tax"], "format": "wide", "scale": 10}
+    return canonicalize(daily, side).df.withColumn("Value", _r("Value"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_totalprice AS v, lag(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey) AS b FROM orders)
+SELECT o_orderkey, round(abs(v / b - 1), 4) AS change FROM c WHERE b IS NOT NULL AND abs(v / b - 1) > 5""")
+def a2_pct_change_all(spark, sf):
+    """Changes from order to order, over the whole table as one group."""
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    changed = K.pct_changes(orders, "o_totalprice", [], "o_orderdate", "o_orderkey")
+    return changed.where("change > 5").select("o_orderkey", _r("change").alias("change"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(median(l_extendedprice), 4) AS p50,
+  round(quantile_cont(l_extendedprice, 0.999), 4) AS p999 FROM lineitem GROUP BY 1, 2""")
+def grouped_medians(spark, sf):
+    """Exact percentiles of groups that hold most of a table."""
+    found = quantiles.grouped_percentiles(_t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), [0.1, 0.5, 0.999])
+    return found.select("l_returnflag", "l_linestatus", *[_r(f"p{i}").alias(n) for i, n in enumerate(("p10", "p50", "p999"))])

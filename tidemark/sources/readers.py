@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import csv
+import io
+import json
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 SEPARATORS = {"Comma": ",", "Semicolon": ";", "Tab": "\t", "Pipe": "|"}
 
@@ -25,13 +34,58 @@ def read_csv(spark: SparkSession, path: str, sep: str = "Auto", infer: bool = Tr
     return spark.read.csv(path, sep=sign, header=header, inferSchema=infer, multiLine=False)
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A sheet of a workbook, read on the driver (a workbook has a bounded size)."""
+def _sheet(content: bytes, sheet: str | int):
+    """A sheet of a workbook as a pandas table; needs a workbook library."""
     import pandas as pd
 
-    frame = pd.read_excel(path, sheet_name=sheet)
-    frame.columns = [str(c) for c in frame.columns]
-    return spark.createDataFrame(frame)
+    return pd.read_excel(io.BytesIO(content), sheet_name=sheet)
+
+
+SheetReader = Callable[[bytes, str | int], Any]
+
+
+def read_sheets(spark: SparkSession, path: str, sheets: list[str | int], schema: str | None = None, parse: SheetReader = _sheet) -> DataFrame:
+    """Sheets of a workbook, one task a sheet, under a column ``sheet``.
+
+    A task reads the workbook's bytes and parses its sheet; only the columns of
+    the first sheet, which count for all if no ``schema`` is given, reach the
+    driver. Columns are matched by name; what a sheet lacks is null."""
+    import pandas as pd
+
+    names = spark.createDataFrame([(str(x), isinstance(x, int)) for x in sheets], "sheet string, by_number boolean")
+    books = spark.read.format("binaryFile").load(path).select("content")
+    each = books.crossJoin(F.broadcast(names)).repartition(len(sheets), "sheet")  # the few sheets that were asked for
+
+    def one(content: bytes, sheet: str, by_number: bool) -> pd.DataFrame:
+        frame = parse(content, int(sheet) if by_number else sheet)
+        frame.columns = [str(c) for c in frame.columns]
+        return frame
+
+    def kinds(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                told = pa.Schema.from_pandas(one(row.content, row.sheet, row.by_number), preserve_index=False)
+                yield pd.DataFrame({"told": [from_arrow_schema(told).json()]})
+
+    if schema is None:
+        first = each.where((F.col("sheet") == str(sheets[0])) & (F.col("by_number") == isinstance(sheets[0], int)))
+        wanted = StructType.fromJson(json.loads(first.mapInPandas(kinds, "told string").first()["told"]))
+    else:
+        wanted = StructType.fromDDL(schema)
+
+    def rows(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                frame = one(row.content, row.sheet, row.by_number).reindex(columns=wanted.names)
+                frame.insert(0, "sheet", row.sheet)
+                yield frame
+
+    return each.mapInPandas(rows, StructType([StructField("sheet", StringType()), *wanted.fields]))
+
+
+def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """One sheet of a workbook, read by a task."""
+    return read_sheets(spark, path, [sheet]).drop("sheet")
 
 
 def read_table(spark: SparkSession, path: str, sep: str = "Auto") -> DataFrame:
@@ -57,6 +111,28 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def with_order(df: DataFrame, column: str = "_ord") -> DataFrame:
-    """The order in which rows were read, as a column: file order for one file,
-    partition order beyond. It is an ordinal, not a count."""
-    return df.withColumn(column, F.monotonically_increasing_id())
+    """The order in which rows stand, as a column: of several files, by their
+    paths and by the place in each; of one file or none, as they are read. It is
+    an ordinal, not a count, where no file order has to be set up."""
+    if len(df.inputFiles()) < 2:
+        return df.withColumn(column, F.monotonically_increasing_id())
+    return with_ordinals(df, column)
+
+
+def with_ordinals(df: DataFrame, column: str = "_ord") -> DataFrame:
+    """The place of every row from 0, without gaps, in order of file path and
+    place in the file, or of partitions where rows come from no file.
+
+    Rows are counted by file and split (or partition) first; a split's offset is
+    the sum of those before it, so no row is sorted. There are as many counts as
+    splits."""
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    except AnalysisException:
+        placed = df.withColumns({"_file": F.lit(""), "_start": F.shiftright(F.monotonically_increasing_id(), 33)})
+    placed = placed.withColumn("_id", F.monotonically_increasing_id())
+    counts = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    place = (F.col("_id") + F.col("_offset")).alias(column)
+    return placed.join(offsets, ["_file", "_start"]).select(*[F.col(f"`{c}`") for c in df.columns], place)
