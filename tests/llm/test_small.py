@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 
 from tests.llm import data
-from tidemark.llm import bpe, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_align, token_file, toxicity, treap_search
+from tidemark.llm import bpe, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_align, token_file, toxicity, treap_search, url_filter
 from tidemark.llm.common import scratch
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -66,3 +66,28 @@ def test_toxicity_is_learned_from_short_texts_in_many_batches(spark):
 @pytest.mark.parametrize("gap", [" ", "　", "。", "、", "—", "…", "·"])
 def test_signs_beyond_ascii_part_words(gap):
     assert toxicity.Text([f"you{gap}stupid é{gap}日本"]).words() == ["you", "stupid", "é", "日本"]
+
+
+def test_rows_without_an_id_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 2000)
+    shared = "a passage that many of these texts hold, of more than fifty bytes in all "
+    rows = [(None, f"{shared}{i} " + "x" * (i % 7)) for i in range(150)] + [(7, shared + "end"), (3, "other " + shared)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(frame).collect()))
+    assert got == sorted((str(i), len(raw), sum(gone)) for i, raw, gone in data.without_repeats(rows))
+
+
+def test_many_urls_without_a_host(spark):
+    rows = [(i, None if i % 2 else "no scheme") for i in range(200)] + [(900, "http://a.net/es/x"), (901, "http:///es/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark)).collect()}
+    assert len(got) == 202 and got[900] == ("a.net", "net/es/", "block") and got[901][0] == ""
+    assert len({v for k, v in got.items() if k < 200}) == 1
+
+
+def test_a_few_common_words_are_no_license(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved to the king")], "doc_id long, text string")
+    row = license_scan.scan_licenses(docs).first()
+    assert row["labels"] == "" and row["score"] == 0
+    short = license_scan.scan_licenses(docs, templates=[("x", "All rights reserved"), ("y", "rights reserved to the king")]).first()
+    assert short["labels"] == "y"

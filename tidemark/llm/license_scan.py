@@ -20,6 +20,8 @@ from tidemark.llm.license_texts import TEMPLATES
 
 #: Words in a gram.
 K = 3
+#: Grams that a template needs to say anything: a few words stand by chance.
+MIN_GRAMS = 3
 #: Diagonals this close together are one occurrence (words added or lost).
 MERGE_GAP = 3
 #: Share of a template's grams that a verified span holds at least.
@@ -51,6 +53,7 @@ def template_grams(spark, templates=TEMPLATES) -> DataFrame:
     """(template, label, n_grams, t_pos, t_gram, hash) of all positions of templates."""
     numbered = [(i, label, text) for i, (label, text) in enumerate(templates)]
     rows = literal_rows(spark, numbered, "template", "label", "notice").withColumn("grams", _grams(words_of(F.col("notice"))))
+    rows = rows.where(F.size("grams") >= MIN_GRAMS)
     found = rows.select("template", "label", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("t_pos", "t_gram"))
     return found.withColumn("hash", F.xxhash64("t_gram"))
 
@@ -115,8 +118,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     base phrase stands, else the best verified share of a template) and spans
     (label, first and last word, share). Null or empty texts have no words, no
     labels and score 0. Each input row gives one row, repeated ones and those
-    without a doc_id too; other columns are ignored. Templates under K words
-    match nothing. Their grams are broadcast up to BROADCAST_CHARS of text.
+    without a doc_id too; other columns are ignored. Templates under
+    MIN_GRAMS grams match nothing. Their grams are broadcast up to BROADCAST_CHARS of text.
     """
     votes = _votes(docs, templates, base)
     near = W.partitionBy("row", "template").orderBy("diagonal", "pos")
@@ -163,7 +166,7 @@ ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
 t AS (SELECT template, label, {_sql_words('notice')} AS w FROM (VALUES {_NOTICES}) AS v(template, label, notice)),
 tg AS (SELECT template, label, n_grams, i AS t_pos, {_GRAM} AS gram FROM (
-  SELECT *, len(w) - 2 AS n_grams, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM t)),
+  SELECT *, len(w) - 2 AS n_grams, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM t) WHERE n_grams >= {MIN_GRAMS}),
 g AS (SELECT r, i AS pos, {_GRAM} AS gram FROM (SELECT r, w, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM d)),
 votes AS (SELECT r, pos, t_pos, template, label, n_grams, pos - t_pos AS diagonal FROM g JOIN tg USING (gram)),
 cuts AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER k > {MERGE_GAP} THEN 1 ELSE 0 END AS cut

@@ -103,5 +103,5 @@ TEMPLATES = [
     ("cc-by-nc", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-sa", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by", "Creative Commons Attribution 4.0 International License"),
-    ("all-rights-reserved", "All rights reserved."),
+    ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced in any form without prior written permission."),
 ]

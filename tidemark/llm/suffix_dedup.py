@@ -13,8 +13,14 @@ whose shorter rank is not unique go on to the next round:
    document of each extension, each as the pair of the ranks of its 25-byte
    halves.
 
-Every round is a Spark exchange by rank. A part (the documents of one hash of
-doc_id) sends its distinct ranks in ascending order, those of one bucket packed
+What is sorted where: Spark deals ranks by their upper bits into buckets, which is
+the outer order of the sort; numpy sorts a part's ranks before they are sent and
+each bucket's ranks when they meet there. A rank is a hash of its string (of 25
+bytes, then the pair of two such), not its place in the whole order, so there is
+no reranking of all positions.
+
+Every round is a Spark exchange by rank. A part (the rows of one hash of doc_id
+and text) sends its distinct ranks in ascending order, those of one bucket packed
 into one row, so a passage that many documents share costs one entry for each
 part. The answer says one bit for each entry, in the order in which it came;
 the part ranks its texts again to read it. Texts are shuffled once, by part;
@@ -431,7 +437,8 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         *[F.col(f"`{c}`").alias(e) for c, e in others.items()],
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n_parts)).cast("int").alias("part"),
+        # with the text, so that rows without an id don't meet in one part
+        F.pmod(F.xxhash64(F.col("doc_id"), F.col("text").cast("string")), F.lit(n_parts)).cast("int").alias("part"),
     )
     # parts and buckets are dealt by their numbers, so that all tasks are alike
     texts = texts.withColumn("task", task).repartitionById(n_tasks, F.col("task")).sortWithinPartitions("task", "part")

@@ -115,8 +115,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", "r_verdict"), F.struct(F.length("rule"), F.length("r_host"), "rule")).alias("won"))
     )
-    # A hot host has many paths, so (host, path) spreads it.
-    return urls.join(best, ["host", "path"], "left").select(
+    # A hot host has many paths, so (host, path) spreads it; URLs without either
+    # may be many, and look at one row.
+    bare = (F.col("host") == "") & (F.col("path") == "")
+    met = urls.where(~bare).join(best.where(~bare), ["host", "path"], "left")
+    return met.unionByName(urls.where(bare).join(F.broadcast(best.where(bare)), ["host", "path"], "left")).select(
         "page_id",
         "host",
         "path",
