@@ -539,11 +539,13 @@ def test_predictions_equal_a_plain_version(spark, docs):
         assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-6 and r["rejected"] == (r["score"] < 0.6)
 
 
-def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
-    rows_ = [(i, f"{name}word other {name}text {i}", name) for i, name in enumerate(["aa"] * 12 + ["bb"] * 9 + ["cc"] * 3)]
+def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    rows_ = [(i, f"{name}word other {name}text {i}", name) for i, name in enumerate(["aa"] * 300 + ["bb"] * 90 + ["cc"] * 3)]
     frame = spark.createDataFrame(rows_ + rows_[:5], "doc_id long, text string, lang string")
-    assert language.train(frame).languages == ["aa", "bb"]
+    assert language.train(frame).languages == ["aa", "bb", "cc"]
+    monkeypatch.setattr(language, "TRAIN_ROWS", 60)  # 20 of each
+    drawn = [r[0] for r in language._sample(frame)]
+    assert set(drawn) == {"aa", "bb", "cc"} and len(drawn) < 90
 
 
 def test_texts_without_letters_are_undetermined(spark, docs, empty):

@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as tb
-from tidemark.llm.common import fold, map_arrow
+from tidemark.llm.common import fold, map_arrow, materialize
 
 BUCKET_BITS = 15
 N_BUCKETS = 1 << BUCKET_BITS
 DIMENSION = 12
 #: About so many labelled rows of each language are drawn, by a hash of doc_id.
 TRAIN_ROWS_PER_LANGUAGE = 500
-#: Languages that are learned at most: those of most rows.
-MAX_LANGUAGES = 400
+#: Labelled rows of all languages together, about: with very many languages, each
+#: has fewer of them.
+TRAIN_ROWS = 200_000
 EPOCHS = 6
 MINIBATCH = 16
 RATE = 4.0
@@ -91,18 +92,19 @@ def _sample(docs: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(language, draw 0-99, buckets, counts) of a bounded sample of labelled rows.
 
     The rate of each language follows from its row count, so about
-    TRAIN_ROWS_PER_LANGUAGE rows of each are drawn, of the MAX_LANGUAGES most
-    frequent; rows that repeat a doc_id count once. A text reaches the driver as
+    TRAIN_ROWS_PER_LANGUAGE rows of each are drawn, or fewer where that would be
+    over TRAIN_ROWS in all; rows that repeat a doc_id count once. A text reaches the driver as
     its bucket counts, at most N_BUCKETS of them."""
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         (fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    most = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    each = min(TRAIN_ROWS_PER_LANGUAGE, max(1, TRAIN_ROWS // max(1, sizes.count())))
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(100)).cast("int")
     drawn = (
-        known.join(F.broadcast(most), "lang")  # MAX_LANGUAGES rows at most
-        .where(draw * F.col("rows") < F.lit(float(TRAIN_ROWS_PER_LANGUAGE << 30)))
+        known.join(sizes, "lang")
+        .where(draw * F.col("rows") < F.lit(float(each << 30)))
         .groupBy("lang", "doc_id")
         .agg(F.min("text").alias("text"))
         .select("lang", part.alias("part"), "text")
