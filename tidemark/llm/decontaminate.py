@@ -8,6 +8,8 @@ suffix positions, and their word spans merge into removal spans.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -162,7 +164,7 @@ class FMIndex:
 
 
 class Vocabulary:
-    """The words of all test phrases, as symbols 1..n; 0 is any other word."""
+    """The words of a block of phrases, as symbols 1..n; 0 is any other word."""
 
     def __init__(self, hashes: np.ndarray):
         self.words = np.unique(hashes)
@@ -199,10 +201,8 @@ class Phrases:
         pairs = np.unique(np.stack([phrase.reshape(-1), of], 1), axis=0)
         self.item_of = pairs[:, 1]
         self.item_from = np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))
-
-    def number(self, vocabulary: Vocabulary) -> Phrases:
-        self.symbols, self.hashes = vocabulary.symbols_of(self.hashes), None
-        return self
+        self.vocabulary = Vocabulary(self.hashes)
+        self.symbols, self.hashes = self.vocabulary.symbols_of(self.hashes), None
 
     def items_of(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``phrases``, item) of all items of these phrases."""
@@ -212,24 +212,26 @@ class Phrases:
         return of, self.item_of[at]
 
 
-def shard_hits(raws: list[bytes], vocabulary: Vocabulary, blocks) -> dict[str, list]:
+def shard_hits(raws: list[bytes], blocks: Iterable[Phrases]) -> dict[str, list]:
     """n_words, n_hit, spans (merged, in bytes) and items of each text.
 
-    One index serves all blocks of phrases, which are met one after the other."""
+    Blocks of phrases are met one after the other, each by an index over its own
+    words; what they hit is counted by place, over all of them."""
     data, begins = tb.pack(raws)
     starts, stops, hashes = split_words(data)
     doc = np.searchsorted(begins, starts, "right") - 1
     counts = np.bincount(doc, minlength=len(raws))
     # one zero after the words of each text: no phrase reaches over it
-    s = np.zeros(len(starts) + len(raws), np.int64)
-    s[np.arange(len(starts)) + doc] = vocabulary.symbols_of(hashes)
-    out = {"n_words": counts.tolist(), "n_hit": [0] * len(raws), "spans": [[] for _ in raws], "items": [set() for _ in raws]}
-    if not s.any():
-        return out
-    index = FMIndex(s, len(vocabulary.words))
+    size, place = len(starts) + len(raws), np.arange(len(starts)) + doc
+    items: list[set] = [set() for _ in raws]
     ends = np.cumsum(counts + 1)
-    depth = np.zeros(len(s) + 1, np.int32)
+    depth = np.zeros(size + 1, np.int32)
     for phrases in blocks:
+        s = np.zeros(size, np.int64)
+        s[place] = phrases.vocabulary.symbols_of(hashes)
+        if not s.any():
+            continue
+        index = FMIndex(s, len(phrases.vocabulary.words))
         which, lo, hi = index.search(phrases.symbols, phrases.begins + phrases.sizes, phrases.sizes)
         if not len(which):
             continue
@@ -238,34 +240,42 @@ def shard_hits(raws: list[bytes], vocabulary: Vocabulary, blocks) -> dict[str, l
         np.add.at(depth, at + phrases.sizes[which[of]], -1)
         met = np.unique(np.searchsorted(ends, at, "right") * len(which) + of)
         text, phrase = np.divmod(met, len(which))
-        place, item = phrases.items_of(which[phrase])
-        for d, i in np.unique(np.stack([text[place], item], 1), axis=0).tolist():
+        held, item = phrases.items_of(which[phrase])
+        for d, i in np.unique(np.stack([text[held], item], 1), axis=0).tolist():
             if phrases.items[i] is not None:
-                out["items"][d].add(phrases.items[i])
+                items[d].add(phrases.items[i])
     hit = np.cumsum(depth) > 0
-    out["n_hit"] = np.bincount(np.searchsorted(ends, np.flatnonzero(hit), "right"), minlength=len(raws)).tolist()
+    n_hit = np.bincount(np.searchsorted(ends, np.flatnonzero(hit), "right"), minlength=len(raws)).tolist()
+    spans: list[list] = [[] for _ in raws]
     lo, hi = tb.runs(hit)
     d = np.searchsorted(ends, lo, "right")
-    spans = np.stack([starts[lo - d] - begins[d], stops[hi - d - 1] - begins[d]], 1)
-    for k, span in zip(d.tolist(), spans.tolist(), strict=True):
-        out["spans"][k].append(span)
-    return out
+    found = np.stack([starts[lo - d] - begins[d], stops[hi - d - 1] - begins[d]], 1) if len(lo) else np.zeros((0, 2), np.int64)
+    for k, span in zip(d.tolist(), found.tolist(), strict=True):
+        spans[k].append(span)
+    return {"n_words": counts.tolist(), "n_hit": n_hit, "spans": spans, "items": items}
 
 
-def _blocks(benchmark: DataFrame, window: int) -> tuple[Vocabulary, list[Phrases]]:
-    """All test phrases, in blocks of a bounded number."""
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
+    """The test phrases in blocks of a bounded number, one at a time."""
     rows = benchmark.select(F.col("item_id"), F.col("text").cast("string"))
-    blocks, block, size = [], [], 0
+    block, size = [], 0
     for row in rows.toLocalIterator():
         block.append((row["item_id"], row["text"]))
         size += len(row["text"] or "") // 2 + 1
         if size >= PHRASES_PER_BLOCK:
-            blocks.append(Phrases(block, window))
+            yield Phrases(block, window)
             block, size = [], 0
     if block:
-        blocks.append(Phrases(block, window))
-    vocabulary = Vocabulary(np.concatenate([np.zeros(0, np.uint64), *(b.hashes for b in blocks)]))
-    return vocabulary, [b.number(vocabulary) for b in blocks]
+        yield Phrases(block, window)
+
+
+def _one_at_a_time(sent: list) -> Iterator[Phrases]:
+    """Broadcast blocks; where there are several, a task holds one of them only
+    and reads it again from its file for the next texts."""
+    for block in sent:
+        yield block.value
+        if len(sent) > 1:
+            block.__dict__.pop("_value", None)
 
 
 HITS = "struct<n_words: bigint, n_hit: bigint, spans: array<array<int>>, items: array<string>, cut: string>"
@@ -282,19 +292,18 @@ def hits_of(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bo
     word, is one window. Null or empty texts have no words and no hits; items
     without words match nothing; repeated item rows count once by their id, and
     the words of an item without an id are hits of no listed item. An empty
-    benchmark leaves every text clean. Benchmarks are small beside a corpus;
-    their phrases go out as broadcast blocks of bounded size.
+    benchmark leaves every text clean. Phrases go out in broadcast blocks of a
+    bounded size: the driver and a task hold one block at a time.
     """
     context = docs.sparkSession.sparkContext
-    words, blocks = _blocks(benchmark, window)
-    vocabulary, sent = context.broadcast(words), [context.broadcast(b) for b in blocks]
+    sent = [context.broadcast(b) for b in _blocks(benchmark, window)]
 
     def run(batches):
         for texts in batches:
             raws = tb.encode(texts.to_pylist())
             found: dict[str, list] = {"n_words": [], "n_hit": [], "spans": [], "items": []}
             for a, b in tb.groups(raws, SHARD_BYTES):
-                for k, x in shard_hits(raws[a:b], vocabulary.value, (s.value for s in sent)).items():
+                for k, x in shard_hits(raws[a:b], _one_at_a_time(sent)).items():
                     found[k] += x
             found["items"] = [sorted(x) for x in found["items"]]
             left: list[str | None] = [None] * len(raws)

@@ -9,6 +9,7 @@ whose words they hold. Native DataFrame operations only.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,8 @@ from tidemark.llm.license_texts import TEMPLATES
 
 #: Words in a gram.
 K = 3
-#: Grams that a template needs to say anything: a few words stand by chance.
+#: A template of fewer grams counts only where it is a whole sentence: a few words
+#: stand in others by chance.
 MIN_GRAMS = 3
 #: Diagonals this close together are one occurrence (words added or lost).
 MERGE_GAP = 3
@@ -53,11 +55,25 @@ def template_grams(spark, templates=TEMPLATES) -> DataFrame:
     """(template, label, n_grams, t_pos, t_gram, hash) of all positions of templates."""
     numbered = [(i, label, text) for i, (label, text) in enumerate(templates)]
     rows = literal_rows(spark, numbered, "template", "label", "notice").withColumn("grams", _grams(words_of(F.col("notice"))))
-    rows = rows.where(F.size("grams") >= MIN_GRAMS)
     found = rows.select("template", "label", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("t_pos", "t_gram"))
     return found.withColumn("hash", F.xxhash64("t_gram"))
 
 
+#: Any sign that is neither part of a word nor ends a sentence.
+_BETWEEN = r"[\x00-\x09\x0B-\x20\x22-\x2D\x2F\x3A-\x3E\x40-\x60\x7B-\x7F]"
+
+
+def short_templates(templates=TEMPLATES) -> dict[int, str]:
+    """Templates of less than MIN_GRAMS grams: the pattern of each as a sentence."""
+    out = {}
+    for i, (_, text) in enumerate(templates):
+        words = re.findall(WORD, text.lower())
+        if K <= len(words) < K + MIN_GRAMS - 1:
+            inner = f"{_BETWEEN}+".join(map(re.escape, words))
+            out[i] = rf"(?:^|[.!?\n]){_BETWEEN}*{inner}{_BETWEEN}*(?:[.!?\n]|$)"
+    return out
+
+
 def _starts(words: Column, text: Column, phrase: str) -> Column:
     """Word indexes where the phrase's words stand in a row."""
     parts = phrase.split(" ")
@@ -80,6 +96,7 @@ def _votes(docs: DataFrame, templates, base) -> DataFrame:
     words = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words_of(F.col("text")).alias("words"))
     labels = list(base.values())
     starts = F.array(*[_starts(F.col("words"), F.col("text"), phrase) for phrase in base]).cast("array<array<int>>")
+    sentences = [F.when(F.col("text").rlike(pattern), F.lit(i)) for i, pattern in short_templates(templates).items()]
     placed = words.withColumn("starts", starts).withColumn("places", F.flatten("starts")).select(
         # numbers are given before the texts are cut into grams, which each carry
         # a few values of the whole text and no list of its places
@@ -93,9 +110,10 @@ def _votes(docs: DataFrame, templates, base) -> DataFrame:
         F.array_compact(F.array(*[F.when(F.size(F.get("starts", F.lit(k))) > 0, F.lit(x)) for k, x in enumerate(labels)]))
         .cast("array<string>")
         .alias("base"),
+        F.array_compact(F.array(*sentences)).cast("array<int>").alias("sentences"),
     )
     of_text = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
-    rows = placed.select(*of_text, F.posexplode_outer(_grams(F.col("words"))).alias("pos", "gram"))
+    rows = placed.select(*of_text, "sentences", F.posexplode_outer(_grams(F.col("words"))).alias("pos", "gram"))
     grams = template_grams(spark, templates)
     if sum(len(text) for _, text in templates) <= BROADCAST_CHARS:
         grams = F.broadcast(grams)
@@ -103,7 +121,7 @@ def _votes(docs: DataFrame, templates, base) -> DataFrame:
     met = rows.withColumn("hash", F.xxhash64("gram")).join(grams, "hash", "left").where(
         (F.col("gram") == F.col("t_gram")) | F.col("pos").isNull() | (F.col("pos") == 0)
     )
-    vote = F.col("gram") == F.col("t_gram")
+    vote = (F.col("gram") == F.col("t_gram")) & ((F.col("n_grams") >= MIN_GRAMS) | F.array_contains("sentences", F.col("template")))
     kept = [F.when(vote, F.col(c)).alias(c) for c in ("label", "template", "n_grams", "t_pos")]
     # numbers of rows are given and kept in this one pass
     return materialize(met.select(*of_text, "pos", *kept), "license-votes")
@@ -118,8 +136,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     base phrase stands, else the best verified share of a template) and spans
     (label, first and last word, share). Null or empty texts have no words, no
     labels and score 0. Each input row gives one row, repeated ones and those
-    without a doc_id too; other columns are ignored. Templates under
-    MIN_GRAMS grams match nothing. Their grams are broadcast up to BROADCAST_CHARS of text.
+    without a doc_id too; other columns are ignored. Templates under K words
+    match nothing; those under MIN_GRAMS grams match as whole sentences only. Their grams are broadcast up to BROADCAST_CHARS of text.
     """
     votes = _votes(docs, templates, base)
     near = W.partitionBy("row", "template").orderBy("diagonal", "pos")
@@ -153,22 +171,29 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     )
 
 
+def _sql_low(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def _sql_words(text: str) -> str:
-    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"regexp_extract_all({_sql_low(text)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
 _GRAM = "w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]"
 _NOTICES = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(TEMPLATES))
+_SENTENCES = ", ".join(f"({i}, '{pattern}')" for i, pattern in short_templates().items())
 _PHRASES = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in BASE.items())
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+WITH documents_low AS (SELECT row_number() OVER () AS r, doc_id, text, {_sql_low('text')} AS low FROM documents),
+d AS (SELECT r, doc_id, {_sql_words('text')} AS w FROM documents_low),
+sentences AS (SELECT r, template FROM (VALUES {_SENTENCES}) AS v(template, pattern), documents_low WHERE regexp_matches(low, pattern)),
 t AS (SELECT template, label, {_sql_words('notice')} AS w FROM (VALUES {_NOTICES}) AS v(template, label, notice)),
 tg AS (SELECT template, label, n_grams, i AS t_pos, {_GRAM} AS gram FROM (
-  SELECT *, len(w) - 2 AS n_grams, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM t) WHERE n_grams >= {MIN_GRAMS}),
+  SELECT *, len(w) - 2 AS n_grams, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM t)),
 g AS (SELECT r, i AS pos, {_GRAM} AS gram FROM (SELECT r, w, unnest(range(0, greatest(len(w) - 2, 0))) AS i FROM d)),
-votes AS (SELECT r, pos, t_pos, template, label, n_grams, pos - t_pos AS diagonal FROM g JOIN tg USING (gram)),
+votes AS (SELECT g.r, pos, t_pos, template, label, n_grams, pos - t_pos AS diagonal FROM g JOIN tg USING (gram)
+  WHERE n_grams >= {MIN_GRAMS} OR (g.r, template) IN (SELECT (r, template) FROM sentences)),
 cuts AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER k > {MERGE_GAP} THEN 1 ELSE 0 END AS cut
   FROM votes WINDOW k AS (PARTITION BY r, template ORDER BY diagonal, pos)),
 runs AS (SELECT *, sum(cut) OVER (PARTITION BY r, template ORDER BY diagonal, pos) AS run FROM cuts),
