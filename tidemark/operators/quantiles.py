@@ -41,10 +41,10 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: Column, shares: l
     rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], x.alias("x")).where("x is not null")
     large = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("n") > FEW_ROWS)
     wanted = [*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *[f"p{i}" for i in range(len(shares))]]
+    if large.isEmpty():
+        return _few(rows, names, shares).select(*wanted)
     with scratch_tables() as keep:
         large = keep(large, "large-groups")
-        if large.isEmpty():
-            return _few(rows, names, shares).select(*wanted)
         many = _many(rows, large, names, shares, keep)
         few = _few(_meet(rows, large.select(*names), names, "left_anti"), names, shares)
         return written(few.unionByName(many).select(*wanted), "percentiles")
