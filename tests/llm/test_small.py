@@ -3,6 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tests.llm import data
 from tidemark.llm import bpe, decontaminate, language, license_scan, minhash_join, quality, suffix_dedup, token_align, token_file, toxicity, treap_search, url_filter
@@ -91,3 +92,13 @@ def test_a_few_common_words_are_no_license(spark):
     assert row["labels"] == "" and row["score"] == 0
     short = license_scan.scan_licenses(docs, templates=[("x", "All rights reserved"), ("y", "rights reserved to the king")]).first()
     assert short["labels"] == "y"
+
+
+def test_a_vocabulary_that_keeps_white_space_is_refused():
+    bpe.check_vocabulary(Tokenizer.from_file(VOCABULARY))
+    with pytest.raises(ValueError, match="white space"):
+        bpe.check_vocabulary(Tokenizer.from_file(PAIR[0]))
+    odd = Tokenizer.from_file(VOCABULARY)
+    odd.add_tokens(["[X]"])
+    with pytest.raises(ValueError, match="added"):
+        bpe.check_vocabulary(odd)

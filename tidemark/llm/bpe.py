@@ -48,6 +48,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(extra)) for b in range(256)]
 
 
+def check_vocabulary(library: Tokenizer) -> Tokenizer:
+    """The tokenizer, if texts may be encoded by their chunks without white space.
+
+    It has to drop white space, never join over it, and begin its added tokens
+    with ``<|``; any other file raises."""
+
+    def ids(text: str) -> list[int]:
+        return library.encode(text, add_special_tokens=False).ids
+
+    if ids("one two") != ids("one") + ids("two") or ids(" \tone\n\n") != ids("one") or ids(" \n") != []:
+        raise ValueError("this tokenizer keeps white space or joins over it")
+    if odd := [t.content for t in library.get_added_tokens_decoder().values() if not t.content.startswith("<|")]:
+        raise ValueError(f"added tokens that don't begin with <|: {odd[:3]}")
+    return library
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of one ``tokenizers`` BPE file with word ends."""
 
@@ -55,7 +71,7 @@ class ForcedBoundaryBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.library = Tokenizer.from_file(path)
+        self.library = check_vocabulary(Tokenizer.from_file(path))
         self.end = model["end_of_word_suffix"] or ""
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.lines = regex.compile(rf"\n|{split}")

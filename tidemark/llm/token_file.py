@@ -50,7 +50,7 @@ def _packed_ids(vocabulary: str) -> bpe.Kept:
     between them that shows where the ids of each end; a chunk that may hold
     that token itself is encoded alone, as are all where there is none."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    library = Tokenizer.from_file(vocabulary)
+    library = bpe.check_vocabulary(Tokenizer.from_file(vocabulary))
     added = library.get_added_tokens_decoder()
     mark, mark_id = min(((t.content, i) for i, t in added.items() if len(t.content) > 2), default=("", None), key=lambda x: x[1])
 
