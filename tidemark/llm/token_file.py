@@ -36,6 +36,8 @@ ORC_OPTIONS = {
 SCHEMA = "doc_id long, ids array<int>, shard int, shard_start long, n_ids long"
 #: Closes every document.
 END_ID = 2
+#: Characters of a text by which rows of one id are dealt to shards.
+DEALT_CHARS = 32
 #: New chunks that the library encodes as one text.
 CHUNKS_IN_TEXT = 200
 #: Bytes of each generation of kept chunks: their ids are small.
@@ -89,7 +91,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     """
     ordered = (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(F.col("doc_id"))
+        # rows of one id, or of none, are dealt on by how their texts begin
+        .repartitionByRange(F.col("doc_id"), F.substring("text", 1, DEALT_CHARS))
         .sortWithinPartitions("doc_id", "text")
         .withColumn("shard", F.spark_partition_id())
     )
