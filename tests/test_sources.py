@@ -99,6 +99,11 @@ def test_places_of_rows_over_files_and_splits(spark, many_files):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r["o"] for r in readers.with_ordinals(spark.range(10, numPartitions=3), "o").orderBy("id").collect()] == list(range(10))
     assert readers.with_ordinals(spark.range(0), "o").count() == 0
+    shuffled = spark.read.csv(folder, header=True, schema="n int").groupBy("n").count().where("n % 3 = 0")
+    assert sorted(r["o"] for r in readers.with_ordinals(shuffled, "o").collect()) == list(range(len(want[::3])))
+    assert readers.with_order(shuffled, "o").count() == len(want[::3])
+    kept = readers.with_order(spark.read.csv(folder, header=True, schema="n int").where("n % 2 = 0"), "o")
+    assert [r["n"] for r in kept.orderBy("o").collect()] == want[::2]
 
 
 def test_a_footer_goes_by_the_place_of_rows(spark, many_files):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tidemark.shared import written
+
 SEPARATORS = {"Comma": ",", "Semicolon": ";", "Tab": "\t", "Pipe": "|"}
 
 
@@ -110,29 +112,41 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(f"`{c}`"), F.lit(float("nan"))) for c in floats}) if floats else df
 
 
+def _with_splits(df: DataFrame) -> DataFrame | None:
+    """``df`` with the file and split of each row; None where its rows are not
+    read from files as they stand."""
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    except AnalysisException:
+        return None
+
+
 def with_order(df: DataFrame, column: str = "_ord") -> DataFrame:
     """The order in which rows stand, as a column: of several files, by their
-    paths and by the place in each; of one file or none, as they are read. It is
-    an ordinal, not a count, where no file order has to be set up."""
-    if len(df.inputFiles()) < 2:
-        return df.withColumn(column, F.monotonically_increasing_id())
-    return with_ordinals(df, column)
+    paths and by the place in each; otherwise as they are read. It is an ordinal,
+    not a count, where no file order has to be set up."""
+    placed = _with_splits(df) if len(df.inputFiles()) > 1 else None
+    return df.withColumn(column, F.monotonically_increasing_id()) if placed is None else _numbered(df.columns, placed, column)
 
 
 def with_ordinals(df: DataFrame, column: str = "_ord") -> DataFrame:
     """The place of every row from 0, without gaps, in order of file path and
-    place in the file, or of partitions where rows come from no file.
-
-    Rows are counted by file and split (or partition) first; a split's offset is
-    the sum of those before it, so no row is sorted. There are as many counts as
-    splits."""
-    try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
-    except AnalysisException:
-        placed = df.withColumns({"_file": F.lit(""), "_start": F.shiftright(F.monotonically_increasing_id(), 33)})
-    placed = placed.withColumn("_id", F.monotonically_increasing_id())
+    place in the file. Rows that are not read from files are written to the shared
+    folder first, as their partitions may fall otherwise when they are made again."""
+    placed = _with_splits(df)
+    if placed is not None:
+        return _numbered(df.columns, placed, column)
+    held = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    return _numbered(df.columns, held.withColumns({"_file": F.lit(""), "_start": F.shiftright("_id", 33)}), column)
+
+
+def _numbered(columns: list[str], placed: DataFrame, column: str) -> DataFrame:
+    """Rows are counted by file and split first; a split's offset is the sum of
+    those before it, so no row is sorted. There are as many counts as splits."""
+    if "_id" not in placed.columns:
+        placed = placed.withColumn("_id", F.monotonically_increasing_id())
     counts = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
     place = (F.col("_id") + F.col("_offset")).alias(column)
-    return placed.join(offsets, ["_file", "_start"]).select(*[F.col(f"`{c}`") for c in df.columns], place)
+    return placed.join(offsets, ["_file", "_start"]).select(*[F.col(f"`{c}`") for c in columns], place)
