@@ -89,8 +89,11 @@ def _starts(words: Column, text: Column, phrase: str) -> Column:
 
 def _votes(docs: DataFrame, templates, base) -> DataFrame:
     """One pass over the texts: a row for each confirmed gram (row, label,
-    template, n_grams, pos, t_pos), and at least one row for each document, with
-    pos 0 or null, that holds what is known of the whole text."""
+    template, n_grams, pos, t_pos), and one row for each document, with pos -1,
+    that holds what is known of the whole text.
+
+    Grams whose hash no template has are left out before rows are made of them,
+    while the hashes fit a set (templates up to BROADCAST_CHARS)."""
     spark = docs.sparkSession
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     words = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words_of(F.col("text")).alias("words"))
@@ -113,13 +116,17 @@ def _votes(docs: DataFrame, templates, base) -> DataFrame:
         F.array_compact(F.array(*sentences)).cast("array<int>").alias("sentences"),
     )
     of_text = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
-    rows = placed.select(*of_text, "sentences", F.posexplode_outer(_grams(F.col("words"))).alias("pos", "gram"))
     grams = template_grams(spark, templates)
+    numbered = F.transform(_grams(F.col("words")), lambda gram, i: F.struct(i.cast("int").alias("pos"), gram.alias("gram")))
     if sum(len(text) for _, text in templates) <= BROADCAST_CHARS:
+        known = [r["hash"] for r in grams.select("hash").distinct().collect()]
+        numbered = F.filter(numbered, lambda x: F.xxhash64(x["gram"]).isin(known))
         grams = F.broadcast(grams)
+    whole = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("gram"))
+    rows = placed.select(*of_text, "sentences", F.inline(F.concat(F.array(whole), numbered)))
     # a hash that another gram shares is no vote
-    met = rows.withColumn("hash", F.xxhash64("gram")).join(grams, "hash", "left").where(
-        (F.col("gram") == F.col("t_gram")) | F.col("pos").isNull() | (F.col("pos") == 0)
+    met = rows.withColumn("hash", F.when(F.col("pos") >= 0, F.xxhash64("gram"))).join(grams, "hash", "left").where(
+        (F.col("gram") == F.col("t_gram")) | (F.col("pos") == -1)
     )
     vote = (F.col("gram") == F.col("t_gram")) & ((F.col("n_grams") >= MIN_GRAMS) | F.array_contains("sentences", F.col("template")))
     kept = [F.when(vote, F.col(c)).alias(c) for c in ("label", "template", "n_grams", "t_pos")]
@@ -156,7 +163,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     found = spans.groupBy("row").agg(
         F.collect_set("label").alias("voted"), F.max("share").alias("best"), F.array_sort(F.collect_list(span)).alias("spans")
     )
-    judged = votes.where("pos is null or pos = 0").dropDuplicates(["row"])
+    judged = votes.where("pos = -1")
     none = F.array().cast("array<string>")
     return judged.join(found, "row", "left").select(
         "doc_id",
