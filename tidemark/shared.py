@@ -23,35 +23,33 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_FOLDER
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: lineage ends there."""
+def _write(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(df: DataFrame) -> None:
-    """Delete a table that ``written`` made."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: lineage ends there."""
+    return _write(df, name)[1]
 
 
 @contextmanager
 def scratch_tables() -> Iterator:
     """A function like ``written`` whose tables are deleted at the end."""
-    made: list[DataFrame] = []
+    made: list[tuple[str, SparkSession]] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        made.append(written(df, name))
-        return made[-1]
+        path, frame = _write(df, name)
+        made.append((path, df.sparkSession))
+        return frame
 
     try:
         yield keep
     finally:
-        for df in made:
-            delete(df)
+        for path, spark in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(taken: list[str], name: str) -> str:
