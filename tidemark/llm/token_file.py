@@ -37,7 +37,7 @@ SCHEMA = "doc_id long, ids array<int>, shard int, shard_start long, n_ids long"
 #: Closes every document.
 END_ID = 2
 #: Characters of a text by which rows of one id are dealt to shards.
-DEALT_CHARS = 32
+DEALT_CHARS = 8
 #: New chunks that the library encodes as one text.
 CHUNKS_IN_TEXT = 200
 #: Bytes of each generation of kept chunks: their ids are small.
