@@ -30,3 +30,9 @@ def test_entry_registers_core_queries(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["i4_value_range"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_discount:double>" in plan
+
+
+def test_distribution_gathers_no_group_in_a_task(spark, duck):
+    found = QUERIES["a3_distribution"](spark, SF)
+    assert " percentile(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found.toPandas()) == rows(duck.sql(ORACLES["a3_distribution"]).df())

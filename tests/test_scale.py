@@ -130,3 +130,28 @@ def test_shifts_look_over_the_edges_of_windows(spark):
     got = {r["shift"]: r["match_pct"] for r in compare.shift_matches(*frames, 0.01).collect()}
     assert got == pytest.approx(plain_shift(source, platform, 0.01))
     assert compare.shift_matches(frames[0], frames[1].limit(0), 0.01).count() == 0
+
+
+def test_percentiles_of_counted_values_over_ranges(spark):
+    """Places at the ends of ranges, repeated values, null groups, infinities."""
+    rnd = random.Random(5)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        None: [rnd.random() for _ in range(701)], "a": [float(rnd.randint(0, 3)) for _ in range(900)], "b": [-inf, 1.0, inf],
+        "c": [7.0], "d": [float(i) for i in range(1000)],
+    }
+    data = [(g, v) for g, values in groups.items() for v in values] + [("e", None), ("a", nan), ("d", None)]
+    frame = spark.createDataFrame(data, "g string, v double")
+    shares = [0.0, 0.25, 0.37, 0.5, 0.999, 1.0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = quantiles.counted_percentiles(frame, ["g"], F.col("v"), shares).collect()
+        whole = quantiles.counted_percentiles(frame.where("g = 'd'"), [], F.col("v"), shares).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == len(groups)
+    for r in found:
+        expected = [percentile(groups[r["g"]], s) for s in shares]
+        assert [r[f"p{i}"] for i in range(6)] == pytest.approx(expected, rel=1e-12, nan_ok=True), r["g"]
+    assert list(whole) == pytest.approx([percentile(groups["d"], s) for s in shares], rel=1e-12)
+    assert quantiles.counted_percentiles(frame.where("g = 'e'"), ["g"], F.col("v"), shares).count() == 0

@@ -4,6 +4,8 @@ Groups of few values are counted value by value. For the others a sketch bracket
 each wanted place of the order, for all groups together; counts say how many
 values lie below, inside and on the ends of the bracket, and brackets narrow
 until few values lie strictly inside. No task ever holds the values of a group.
+Where few groups hold all of a table, its values are counted and dealt by ranges
+instead, which reads the table once.
 """
 
 from __future__ import annotations
@@ -36,11 +38,8 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: Column, shares: l
     equal. Between two places the result is ``(1 - part) * lower + part * upper``.
     If some group has over FEW_ROWS values, the result is a written table of a row
     for each group; else it is a plan."""
-    names = [f"k{i}" for i in range(len(keys))]
-    x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
-    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], x.alias("x")).where("x is not null")
+    rows, names, wanted = _values(df, keys, value, shares)
     large = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where(F.col("n") > FEW_ROWS)
-    wanted = [*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *[f"p{i}" for i in range(len(shares))]]
     if large.isEmpty():
         return _few(rows, names, shares).select(*wanted)
     with scratch_tables() as keep:
@@ -50,12 +49,47 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: Column, shares: l
         return written(few.unionByName(many).select(*wanted), "percentiles")
 
 
+def counted_percentiles(df: DataFrame, keys: list[str], value: Column, shares: list[float]) -> DataFrame:
+    """``grouped_percentiles`` for few groups that hold all of a table; always a
+    written table.
+
+    Distinct values are counted and dealt by ranges of (group, value). The totals of
+    the ranges tell which of them hold a wanted place; only these are summed up
+    value by value. A value is one row there, so ranges are even."""
+    rows, names, wanted = _values(df, keys, value, shares)
+    with scratch_tables() as keep:
+        held = rows.groupBy(*names, "x").agg(F.count("*").alias("c")).repartitionByRange(*names, "x")
+        held = keep(held.withColumn("part", F.spark_partition_id()), "value-counts")
+        mine = W.partitionBy(*names)
+        parts = held.groupBy(*names, "part").agg(F.sum("c").alias("all")).withColumns({
+            "_n": F.sum("all").over(mine),
+            "before": F.sum("all").over(mine.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("all"),
+        })
+        asked = F.lit(False)
+        for s in shares:
+            for place in _place(s, F.col("_n"))[:2]:
+                asked = asked | ((place >= F.col("before")) & (place < F.col("before") + F.col("all")))
+        parts = keep(parts.where(asked).drop("all"), "ranges")
+        running = W.partitionBy(*names, "part").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+        counted = _meet(held, parts, [*names, "part"]).withColumn("_up", F.col("before") + F.sum("c").over(running))
+        found = _picked(counted, names, shares, [F.col("_up")] * len(shares), F.max("_n"))
+        return written(found.select(*wanted), "percentiles")
+
+
 def exact_percentiles(df: DataFrame, value: Column, shares: list[float]) -> list[float | None]:
     """The interpolated percentile of a column at each share; nulls don't count."""
     row = grouped_percentiles(df, [], value, shares).first()
     return [None] * len(shares) if row is None else [row[f"p{i}"] for i in range(len(shares))]
 
 
+def _values(df: DataFrame, keys: list[str], value: Column, shares: list[float]) -> tuple[DataFrame, list[str], list]:
+    """Rows of groups (k0, k1, ...) and values (x), the groups' names, and the result's columns."""
+    names = [f"k{i}" for i in range(len(keys))]
+    x = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], x.alias("x")).where("x is not null")
+    return rows, names, [*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], *[f"p{i}" for i in range(len(shares))]]
+
+
 def _meet(rows: DataFrame, groups: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with a row of each group. Large groups are few beside the
     rows; up to FEW_BRACKETS they are broadcast, beyond that the shuffled join is

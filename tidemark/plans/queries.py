@@ -16,7 +16,7 @@ from tidemark.functions import dates, numbers
 from tidemark.functions.calendars import calendar
 from tidemark.functions.names import series_name_column
 from tidemark.operators import checks as K
-from tidemark.operators import compare, series, shape
+from tidemark.operators import compare, quantiles, series, shape
 from tidemark.operators.canonical import canonicalize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,15 +229,16 @@ def a2_pct_change(spark, sf):
   round(quantile_cont("Value", 0.75), 4) AS p75, round(max("Value"), 4) AS max, round(skewness("Value"), 4) AS skew
 FROM ({LONG}) GROUP BY variable""")
 def a3_distribution(spark, sf):
-    v = F.col("Value")
-    facts = _long_lineitem(spark, sf).groupBy("variable").agg(
+    v, long = F.col("Value"), _long_lineitem(spark, sf)
+    facts = long.groupBy("variable").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.max(v).alias("max"),
-        F.skewness(v).alias("g"),
+        F.max(v).alias("max"), F.skewness(v).alias("g"),
     )
-    return facts.select(
+    # one row a variable; a variable without values has no percentiles
+    places = F.broadcast(quantiles.counted_percentiles(long, ["variable"], v, [0.25, 0.5, 0.75]))
+    return facts.join(places, "variable", "left").select(
         "variable", "count", _r("mean").alias("mean"), _r("std").alias("std"), _r("min").alias("min"),
-        *[_r(F.col("p")[i]).alias(n) for i, n in enumerate(("p25", "median", "p75"))], _r("max").alias("max"),
+        *[_r(f"p{i}").alias(n) for i, n in enumerate(("p25", "median", "p75"))], _r("max").alias("max"),
         _r(K.corrected_skew(F.col("g"), F.col("count"))).alias("skew"),
     )
 
