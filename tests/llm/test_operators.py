@@ -595,3 +595,31 @@ def test_long_texts_are_scanned_in_pieces(spark, monkeypatch):
         for a, b in spans:
             flags[a:b] = b"\1" * (b - a)
         assert flags == gone
+
+
+def test_word_chunks_are_encoded_without_marks(monkeypatch):
+    """Every chunk has the ids that it has alone; words go as plain texts."""
+    from tidemark.llm import bpe, token_file
+
+    path, sent = public_tokenizers.path("word_bpe_49k.json"), []
+    library = Tokenizer.from_file(path)
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(token_file.bpe, "check_vocabulary", Spy)
+    chunks = ["the", "Straße", "ÉTÉ", "xqzj" * 20, "don't", "a1b2", "end.", "<|x", "İstanbul", "e\u0301te", "ªº", "中文", "ŉa", "…", "</w>", "w</w>x"]
+    chunks += [f"w{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    cache = token_file._packed_ids(path).of([chunks])
+    for c in chunks:
+        assert np.frombuffer(cache[c], "<i4").tolist() == library.encode(c, add_special_tokens=False).ids, c
+    assert sum("<|" in t for t in sent) == 1 and sum("waa" in t and "<|" not in t for t in sent) == 1
+    assert [bpe.is_word(c) for c in chunks[:8]] == [True] * 4 + [False] * 4

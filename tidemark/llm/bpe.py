@@ -269,6 +269,11 @@ def chunks_of(text: str | None) -> list[str]:
     return text.split()
 
 
+def is_word(chunk: str) -> bool:
+    """Letters that NFC and the case rules treat one by one, and nothing else."""
+    return chunk.isalpha() and (chunk.isascii() or _PLAIN.fullmatch(chunk) is not None)
+
+
 class Kept:
     """What ``make`` gives for chunks, kept in two generations of bounded size.
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,29 +47,54 @@ def _packed_ids(vocabulary: str) -> bpe.Kept:
     """The library's ids of chunks without white space, as bytes. The tokenizer
     drops white space and never joins over it, so those of a text follow.
 
-    Many chunks are encoded as one text, with an added token of the vocabulary
-    between them that shows where the ids of each end; a chunk that may hold
-    that token itself is encoded alone, as are all where there is none."""
+    Many chunks are encoded as one text. A run of plain letters is one word, so its
+    ids end with the only token that ends a word. Between other chunks stands an
+    added token of the vocabulary that shows where the ids of each end; a chunk that
+    may hold that token itself is encoded alone, as are all where there is none."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     library = bpe.check_vocabulary(Tokenizer.from_file(vocabulary))
     added = library.get_added_tokens_decoder()
     mark, mark_id = min(((t.content, i) for i, t in added.items() if len(t.content) > 2), default=("", None), key=lambda x: x[1])
 
+    suffix, known = getattr(library.model, "end_of_word_suffix", None), library.get_vocab()
+    closes = np.zeros(max(known.values()) + 1, bool)
+    closes[[i for token, i in known.items() if suffix and token.endswith(suffix)]] = True
+
     def alone(chunk: str) -> bytes:
         return array("i", library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def together(chunks: list[str], between: str, split):
+        rows = [chunks[i : i + CHUNKS_IN_TEXT] for i in range(0, len(chunks), CHUNKS_IN_TEXT)]
+        texts = map(between.join, rows)
+        for row, e in zip(rows, library.encode_batch_fast(list(texts), add_special_tokens=False), strict=True):
+            yield from split(row, np.array(e.ids, "<i4"))
+
     def make(block: list[str]):
-        mixed = [not mark or mark[:2].lower() in c.lower() for c in block]
-        plain = [c for c, odd in zip(block, mixed, strict=True) if not odd]
-        found = iter(())
-        if plain:
-            rows = [f" {mark} ".join(plain[i : i + CHUNKS_IN_TEXT]) for i in range(0, len(plain), CHUNKS_IN_TEXT)]
-            found = chain.from_iterable(split(e.ids) for e in library.encode_batch_fast(rows, add_special_tokens=False))
-        for c, odd in zip(block, mixed, strict=True):
-            yield alone(c) if odd else next(found)
-
-    def split(ids: list[int]):
-        ids = np.array(ids, "<i4")
+        words, plain, kinds = [], [], []
+        for c in block:
+            if suffix and bpe.is_word(c):
+                words.append(c)
+                kinds.append(0)
+            elif not mark or mark[:2].lower() in c.lower():
+                kinds.append(2)
+            else:
+                plain.append(c)
+                kinds.append(1)
+        found = together(words, " ", by_ends), together(plain, f" {mark} ", by_marks)
+        for c, kind in zip(block, kinds, strict=True):
+            yield alone(c) if kind == 2 else next(found[kind])
+
+    def by_ends(row: list[str], ids: np.ndarray):
+        stops = np.flatnonzero(closes[ids]) + 1
+        if len(stops) != len(row) or stops[-1] != len(ids):  # some chunk is more than one word here
+            yield from map(alone, row)
+            return
+        raw, a = ids.tobytes(), 0
+        for b in (4 * stops).tolist():
+            yield raw[a:b]
+            a = b
+
+    def by_marks(row: list[str], ids: np.ndarray):
         stops = np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
         raw, a = ids.tobytes(), 0
         for b in stops:
