@@ -623,3 +623,88 @@ def test_word_chunks_are_encoded_without_marks(monkeypatch):
         assert np.frombuffer(cache[c], "<i4").tolist() == library.encode(c, add_special_tokens=False).ids, c
     assert sum("<|" in t for t in sent) == 1 and sum("waa" in t and "<|" not in t for t in sent) == 1
     assert [bpe.is_word(c) for c in chunks[:8]] == [True] * 4 + [False] * 4
+
+
+def odd_texts(n):
+    """With white space of all kinds, plain and other letters, marks and added tokens."""
+    rnd = random.Random(2)
+    parts = ["a", "B", "é", "É", "ß", "İ", "ŉ", "ª", "µ", "×", "Σ", "中", "e\u0301", "\u0338", "…", "🎉", "'s", "'", "<|", "<|endoftext|>", "1", "²", ".", ",!", "</w>", "\\", "]", "^", "-", "\x00"]
+    parts += [" ", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", "\ufeff"]
+    plain = ["the", "Été", "street", "'", ".", "!", "?", "-", "7", " ", "\n", "\t", "\r\n", "  "]
+    return [None, "", " ", *("".join(rnd.choices(rnd.choice([parts, plain]), k=rnd.randint(1, 30))) for _ in range(n))]
+
+
+def test_chunk_array_equals_chunks_of():
+    every = "".join(c for c in map(chr, range(0x180)) if bpe._PLAIN_TEXT.fullmatch(c))
+    for texts in (odd_texts(500), [None], [""], [every, *every], ["İ", "a\x0bb"], ["The end. ", None, " Été"]):
+        chunks, starts, sizes = bpe.chunk_array(token_file.pa.array(texts, "string"))
+        got = [[c for c in chunks[a : a + n].to_pylist() if c] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        assert got == list(map(bpe.chunks_of, texts))
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_encoder_equals_the_library(library, monkeypatch, words):
+    if not words:
+        monkeypatch.setattr(bpe, "word_library", lambda library: None)
+    monkeypatch.setattr(bpe, "MISS_BLOCK", 700)
+    encoder = token_file.Encoder(VOCABULARY)
+    assert bool(encoder.words) == words
+    texts = odd_texts(1500) + [f"{c}{m}x {c}{m} {c}'s{m}{m}" for c in "aé" for m in "'!\"<|>\\^]-_`~"] + ["x" * 5000 + "."]
+    group = [texts[:1], texts[1:900], texts[900:901], texts[901:]]
+    found = list(encoder.encode([token_file.pa.array(g, "string") for g in group], 2))
+    assert len(found) == len(group)
+    for part, (ids, sizes) in zip(group, found, strict=True):
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+
+
+def test_words_without_an_end_are_encoded_by_the_whole_library(library):
+    """As in a vocabulary whose model leaves some word without its last token."""
+    encoder = token_file.Encoder(VOCABULARY)
+    encoder.closes[library.encode("street", add_special_tokens=False).ids[-1]] = False
+    [(ids, _)] = encoder.encode([token_file.pa.array(["the street, and street"], "string")], 2)
+    assert ids.tolist() == [*library.encode("the street, and street", add_special_tokens=False).ids, 2]
+
+
+def test_distinct_words_of_a_group_reach_the_library_once(spark, library, monkeypatch):
+    """Whatever marks follow them, and in however many batches."""
+    sent, held = [], {}
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    def hold(df, fn, schema):
+        held["run"] = fn
+        raise InterruptedError
+
+    monkeypatch.setattr(bpe, "check_vocabulary", Spy)
+    monkeypatch.setattr(bpe, "_LOADED", {})
+    monkeypatch.setattr(token_file, "map_arrow", hold)
+    with pytest.raises(InterruptedError):
+        token_file.write_token_files(spark.createDataFrame([], "doc_id long, text string"), "unused", VOCABULARY)
+    texts = [["a street.", "the street!", None], [], ["Street, street"], ["(the street)", ""]]
+    pa = token_file.pa
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, "string"), pa.array([3] * len(t), pa.int32())], ["doc_id", "text", "shard"])
+        for t in texts
+    ]
+    out = pa.Table.from_batches(held["run"](iter(batches))).to_pylist()
+    start = 0
+    for row, text in zip(out, sum(texts, []), strict=True):
+        assert row["ids"] == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (row["shard"], row["shard_start"], row["n_ids"]) == (3, start, len(row["ids"]))
+        start += row["n_ids"]
+    chunks = " ".join(sent).split()
+    assert chunks.count("street") == 1 and not {"street.", "street!", "street,"} & set(chunks)
+    # batches over the bound are groups of their own
+    monkeypatch.setattr(token_file, "GROUP_BYTES", 1)
+    assert [len(g) for g in token_file._grouped(iter(batches))] == [1, 1, 1]
+    assert pa.Table.from_batches(held["run"](iter(batches))).to_pylist() == out

@@ -11,14 +11,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tidemark.llm.common import map_arrow
 
@@ -39,6 +42,8 @@ _PLAIN = re.compile(r"[\x21-\x7e¡-įı-ňŊ-ž]*")
 _PLAIN_LINES = re.compile(_PLAIN.pattern.replace("[", "[\\n", 1))
 _PLAIN_TEXT = re.compile(_PLAIN.pattern.replace("[", r"[ \t\n\r", 1))
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+#: A whole plain text, in Arrow's dialect.
+_PLAIN_ARROW = rf"\A{_PLAIN_TEXT.pattern}\z"
 
 
 def byte_symbols() -> list[str]:
@@ -269,11 +274,79 @@ def chunks_of(text: str | None) -> list[str]:
     return text.split()
 
 
+def chunk_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``chunks_of`` all texts in one array, where each text's begin in it and how
+    many they are; empty chunks may stand among them."""
+    texts = pc.fill_null(texts, "")
+    plain = pc.and_not(pc.match_substring_regex(texts, _PLAIN_ARROW), pc.match_substring(texts, "<|"))
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(plain)))
+    odd = list(map(chunks_of, texts.filter(pc.invert(plain)).to_pylist()))
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[is_plain] = np.diff(lists.offsets.to_numpy())
+    sizes[~is_plain] = np.fromiter(map(len, odd), np.int64, len(odd))
+    chunks = lists.flatten()
+    if odd:
+        chunks = pa.concat_arrays([chunks, pa.array(chain.from_iterable(odd), chunks.type)])
+    order, starts = np.argsort(~is_plain, kind="stable"), np.zeros(len(texts), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    return chunks, starts, sizes
+
+
+def joined(chunks: pa.Array, size: int, between: str) -> list[str]:
+    """Chunks joined by ``size``."""
+    stops = pa.array([*range(0, len(chunks), size), len(chunks)], pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(stops, chunks), between).to_pylist()
+
+
+def strings(chunks: pa.Array) -> list[str]:
+    """Chunks as a list; they hold no white space."""
+    return joined(chunks, len(chunks), "\n")[0].split("\n") if len(chunks) else []
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places in the ranges, one range after the other."""
+    stops = np.cumsum(sizes)
+    return np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)
+
+
 def is_word(chunk: str) -> bool:
     """Letters that NFC and the case rules treat one by one, and nothing else."""
     return chunk.isalpha() and (chunk.isascii() or _PLAIN.fullmatch(chunk) is not None)
 
 
+#: Every letter that a word may have, and a word with the marks after it.
+LETTERS = "".join(filter(is_word, map(chr, range(0x180))))
+WORD_AND_MARKS = rf"\A(?P<word>[{LETTERS}]+)(?P<marks>[{re.escape(string.punctuation)}]*)\z"
+#: Code point of the character that stands for each byte; a space stays.
+_SPELLED = np.array(list(map(ord, byte_symbols())), "<u4")
+_SPELLED[0x20] = 0x20
+
+
+def spell(words: str) -> str:
+    """Words with a space between them in the characters of a byte-level vocabulary."""
+    low = words.lower()
+    return low if low.isascii() else _SPELLED[np.frombuffer(low.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
+
+def word_library(library: Tokenizer) -> Tokenizer | None:
+    """The library with the same model for words that are spelled already; None if
+    its own rules do more to letters, or don't part a word from marks after it."""
+
+    def pieces(text: str) -> list[str]:
+        return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+
+    if not (library.normalizer and library.pre_tokenizer and getattr(library.model, "end_of_word_suffix", None)):
+        return None
+    if pieces(LETTERS) != [spell(LETTERS)] or any(
+        pieces(c + m) != [spell(c), *pieces(m)] for c in LETTERS for m in string.punctuation
+    ):
+        return None
+    words = Tokenizer(library.model)
+    words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return check_vocabulary(words)
+
+
 class Kept:
     """What ``make`` gives for chunks, kept in two generations of bounded size.
 

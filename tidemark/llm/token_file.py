@@ -15,6 +15,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,11 +40,23 @@ END_ID = 2
 DEALT_CHARS = 8
 #: New chunks that the library encodes as one text.
 CHUNKS_IN_TEXT = 200
+#: Such texts of a group that the library encodes in one call.
+TEXTS_IN_CALL = 20
 #: Bytes of each generation of kept chunks: their ids are small.
 KEPT_BYTES = 96 << 20
+#: Bytes of batches whose distinct words are encoded once.
+GROUP_BYTES = 16 << 20
 
 
-def _packed_ids(vocabulary: str) -> bpe.Kept:
+def _word_ends(library: Tokenizer) -> np.ndarray:
+    """Which ids end a word, if the vocabulary marks them."""
+    suffix, known = getattr(library.model, "end_of_word_suffix", None), library.get_vocab()
+    closes = np.zeros(max(known.values()) + 1, bool)
+    closes[[i for token, i in known.items() if suffix and token.endswith(suffix)]] = True
+    return closes
+
+
+def _packed_ids(vocabulary: str, library: Tokenizer | None = None) -> bpe.Kept:
     """The library's ids of chunks without white space, as bytes. The tokenizer
     drops white space and never joins over it, so those of a text follow.
 
@@ -52,13 +65,13 @@ def _packed_ids(vocabulary: str) -> bpe.Kept:
     added token of the vocabulary that shows where the ids of each end; a chunk that
     may hold that token itself is encoded alone, as are all where there is none."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    library = bpe.check_vocabulary(Tokenizer.from_file(vocabulary))
+    if library is None:
+        library = bpe.check_vocabulary(Tokenizer.from_file(vocabulary))
     added = library.get_added_tokens_decoder()
     mark, mark_id = min(((t.content, i) for i, t in added.items() if len(t.content) > 2), default=("", None), key=lambda x: x[1])
 
-    suffix, known = getattr(library.model, "end_of_word_suffix", None), library.get_vocab()
-    closes = np.zeros(max(known.values()) + 1, bool)
-    closes[[i for token, i in known.items() if suffix and token.endswith(suffix)]] = True
+    closes = _word_ends(library)
+    suffix = closes.any()
 
     def alone(chunk: str) -> bytes:
         return array("i", library.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -104,6 +117,99 @@ def _packed_ids(vocabulary: str) -> bpe.Kept:
     return bpe.Kept(make, lambda c, value: 200 + 2 * len(c) + len(value), KEPT_BYTES)
 
 
+class Encoder:
+    """The library's ids of whole texts, batches of about GROUP_BYTES at a time.
+
+    Their distinct words, and these are most of all chunks, are encoded once for
+    the group, apart from the marks after them; all other chunks are kept."""
+
+    def __init__(self, vocabulary: str):
+        library = bpe.check_vocabulary(Tokenizer.from_file(vocabulary))
+        self.rest = _packed_ids(vocabulary, library)
+        self.words, self.closes = bpe.word_library(library), _word_ends(library)
+
+    def encode(self, group: list[pa.Array], end_id: int):
+        """Of each array of texts the ids, each text's with ``end_id`` last, and
+        how many each has."""
+        found = list(map(bpe.chunk_array, group))
+        chunks = pa.concat_arrays([c for c, _, _ in found]).dictionary_encode()
+        ids, lengths = self.ids_of(chunks.dictionary)
+        ids, lengths = np.append(ids, np.int32(end_id)), np.append(lengths, 1)
+        begins, at = np.cumsum(lengths) - lengths, 0
+        for c, starts, sizes in found:
+            stops = np.cumsum(sizes + 1)  # of the chunks of each text and its end
+            inside = np.ones(stops[-1], bool)
+            inside[stops - 1] = False
+            order = np.full(stops[-1], len(lengths) - 1, np.int32)
+            order[inside] = chunks.indices[at : at + len(c)].to_numpy()[bpe.spread(starts, sizes)]
+            at += len(c)
+            counts = lengths[order]
+            yield ids[bpe.spread(begins[order], counts)], np.add.reduceat(counts, stops - sizes - 1)
+
+    def ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after the other, and how many each has."""
+        if not self.words:
+            return self.kept_ids(bpe.strings(chunks))
+        parts = pc.extract_regex(chunks, bpe.WORD_AND_MARKS)
+        odd = pc.or_(parts.is_null(), pc.match_substring(chunks, "<|"))
+        whole = pc.invert(odd)
+        words, marks = (pc.struct_field(parts, k).filter(whole).dictionary_encode() for k in ("word", "marks"))
+        ids, lengths = self.word_ids(words.dictionary)
+        more, more_lengths = self.kept_ids(bpe.strings(marks.dictionary) + bpe.strings(chunks.filter(odd)))
+        # a chunk is a word and marks, or another one and nothing
+        ids, lengths = np.concatenate([ids, more]), np.concatenate([lengths, more_lengths, [0]])
+        n_words, n_marks, odd = len(words.dictionary), len(marks.dictionary), odd.to_numpy(zero_copy_only=False)
+        pair = np.full((len(chunks), 2), len(lengths) - 1)
+        pair[~odd, 0] = words.indices.to_numpy()
+        pair[~odd, 1] = marks.indices.to_numpy() + n_words
+        pair[odd, 0] = np.arange(n_words + n_marks, len(lengths) - 1)
+        begins, counts = np.cumsum(lengths) - lengths, lengths[pair]
+        return ids[bpe.spread(begins[pair].ravel(), counts.ravel())], counts.sum(axis=1)
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k, e in enumerate(self.encodings(words)):
+            row = words[k * CHUNKS_IN_TEXT : (k + 1) * CHUNKS_IN_TEXT]
+            got = np.array(e.ids, np.int32)
+            stops = np.flatnonzero(self.closes[got]) + 1
+            counts = np.diff(stops, prepend=0)
+            if len(stops) != len(row) or stops[-1] != len(got):  # some word has no end in this vocabulary
+                got, counts = self.kept_ids(bpe.strings(row))
+            ids.append(got)
+            lengths.append(counts)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def encodings(self, words: pa.Array):
+        """One for every CHUNKS_IN_TEXT words; a few of them are held at a time."""
+        for a in range(0, len(words), CHUNKS_IN_TEXT * TEXTS_IN_CALL):
+            some = bpe.joined(words[a : a + CHUNKS_IN_TEXT * TEXTS_IN_CALL], CHUNKS_IN_TEXT, " ")
+            yield from self.words.encode_batch_fast(list(map(bpe.spell, some)), add_special_tokens=False)
+
+    def kept_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of any chunks; what is kept stays bounded, however many there are."""
+        raw, lengths = [], [np.zeros(0, np.int64)]
+        for a in range(0, len(chunks), bpe.MISS_BLOCK):
+            some = chunks[a : a + bpe.MISS_BLOCK]
+            values = [*map(self.rest.of([some]).__getitem__, some)]
+            raw.append(b"".join(values))
+            lengths.append(np.fromiter(map(len, values), np.int64, len(values)) // 4)
+        return np.frombuffer(b"".join(raw), "<i4"), np.concatenate(lengths)
+
+
+def _grouped(batches):
+    """Batches of GROUP_BYTES together, a larger one alone; none is empty."""
+    group, size = [], 0
+    for batch in batches:
+        if group and size + batch.nbytes > GROUP_BYTES:
+            yield group
+            group, size = [], 0
+        if batch.num_rows:
+            group.append(batch)
+            size += batch.nbytes
+    if group:
+        yield group
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
     """Encode every whole text of ``docs`` (doc_id, text) into ORC files in ``path``
     with the tokenizers library.
@@ -120,29 +226,22 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         .sortWithinPartitions("doc_id", "text")
         .withColumn("shard", F.spark_partition_id())
     )
-    tail = np.array([end_id], "<i4").tobytes()
 
     def run(batches):
-        store = bpe.kept(vocabulary, "ids", lambda: _packed_ids(vocabulary))
+        encoder = bpe.kept(vocabulary, "ids", lambda: Encoder(vocabulary))
         before: dict[int, int] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = batch["shard"][0].as_py()
-            texts = list(map(bpe.chunks_of, batch["text"].to_pylist()))
-            cache = store.of(texts)
-            packed = [b"".join([*map(cache.__getitem__, words), tail]) for words in texts]
-            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            stops = np.concatenate(([0], np.cumsum(sizes)))
-            ids = pa.ListArray.from_arrays(
-                pa.array(stops.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            )
-            starts = before.get(shard, 0) + stops[:-1]
-            before[shard] = before.get(shard, 0) + int(stops[-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], ids, batch["shard"], pa.array(starts), pa.array(sizes)],
-                ["doc_id", "ids", "shard", "shard_start", "n_ids"],
-            )
+        for group in _grouped(batches):
+            encoded = encoder.encode([batch["text"] for batch in group], end_id)
+            for batch, (ids, sizes) in zip(group, encoded, strict=True):
+                shard = batch["shard"][0].as_py()
+                stops = np.concatenate(([0], np.cumsum(sizes)))
+                starts = before.get(shard, 0) + stops[:-1]
+                before[shard] = before.get(shard, 0) + int(stops[-1])
+                ids = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], ids, batch["shard"], pa.array(starts), pa.array(sizes)],
+                    ["doc_id", "ids", "shard", "shard_start", "n_ids"],
+                )
 
     rows = map_arrow(ordered, run, SCHEMA)
     rows.write.options(**ORC_OPTIONS).orc(path)
