@@ -1,8 +1,11 @@
 import hashlib
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +74,34 @@ def test_alignment_equals_a_token_at_a_time(spark, monkeypatch):
     assert counts == {x: (k, k == most[x[1]]) for x, k in n.items()}
 
 
+def test_slices_of_a_block_are_gathered(spark, monkeypatch):
+    rows = [(i, t) for i, t, *_ in data.documents()] + list(enumerate(ODD, 500)) + [(None, "no id"), (900, "▁"), (900, "▁ same id"), (901, "é  a long text " * 90)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want, n, _ = expected(rows)
+    monkeypatch.setattr(align, "SLICE_BYTES", 300)  # some texts are longer
+    got = sorted(map(tuple, align.align_documents(frame, *FILES, keep_groups=True).collect()), key=repr)
+    assert got == want
+    assert {(r["a_id"], r["b_id"]): r["n"] for r in align.link_counts(frame, *FILES).collect()} == n
+
+
+def test_a_worker_holds_a_slice_not_a_block(monkeypatch):
+    monkeypatch.setattr(align, "map_arrow", lambda docs, fn, schema: fn)
+    monkeypatch.setattr(align, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = [f"{w}{i:x}" for i in range(3000) for w in ("word", "and ", "é")]
+    texts = [None, ""] + [" ".join(words[i % 50 :: 20]) for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    run = align._block_rows(None, *FILES, False)
+    next(run([batch.slice(0, 20)]))  # the tokenizers are loaded
+    tracemalloc.start()
+    (row,) = run([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row["doc_id"][0].as_py() == batch["doc_id"].to_pylist()
+    assert len(set(row["pair"][0].as_py())) == len(row["pair"][0])
+    assert sum(row["n"][0].as_py()) == sum(row["n_links"][0].as_py()) > 1_000_000
+    assert peak < 130e6  # 346 MB with arrays and strings of the whole block
+
+
 def test_no_documents_no_rows_and_texts_without_tokens(spark):
     assert align.align_documents(spark.createDataFrame([], data.SCHEMA), *FILES).count() == 0
     frame = spark.createDataFrame([(None, None), (1, ""), (2, "▁")], "doc_id long, text string")

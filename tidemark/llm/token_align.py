@@ -1,14 +1,14 @@
 """Cross-tokenizer alignment: where two tokenizers cut the same bytes.
 
-The texts of a batch stand one after the other with their byte offsets. The ends
+The texts of a slice stand one after the other with their byte offsets. The ends
 of all A tokens and all B tokens are counted once over these bytes; where both
-end, the batch is cut into groups. Between two ends that follow each other lies
+end, the slice is cut into groups. Between two ends that follow each other lies
 exactly one A token and one B token, so every such stretch is a link. Prefix sums
 over the ends, taken at the texts' offsets, give each text its own figures.
 
-Links are counted over the corpus by pairs of ids. A batch sends each of its
-distinct pairs once, with a count; sums over all batches come back to the batch
-that sent them and are added up there for each text.
+Links are counted over the corpus by pairs of ids. Slices are gathered in blocks. A
+block sends each of its distinct pairs once, with a count; sums over all blocks
+come back to the block that sent them and are added up there for each text.
 
 Texts are tokenized in units: neither tokenizer joins over a space that follows
 anything but white space, which is checked for the files given. Units that a
@@ -20,9 +20,12 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -32,8 +35,11 @@ from tokenizers import Tokenizer
 from tidemark.llm import bpe
 from tidemark.llm.common import map_arrow, materialize
 
-#: UTF-8 bytes that are aligned together; a longer text is aligned alone.
+#: UTF-8 bytes whose pairs are sent together; a longer text is sent alone.
 BLOCK_BYTES = 4 << 20
+#: UTF-8 bytes that are cut, encoded and aligned together; a longer text alone.
+#: Strings and arrays of a slice take about 100 times as much.
+SLICE_BYTES = 512 << 10
 #: What a worker keeps of the units it has met, in each of two generations.
 KEPT_BYTES = 64 << 20
 #: Units encoded as one text.
@@ -68,6 +74,7 @@ class Pair:
             for i, p in enumerate(names)
         ]
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.digits = _digits(max(len(self.a_bytes), len(self.b_bytes)))
         free = not any(re.search("[^▁]▁", p) for p in names) and self.a.normalizer is None
         self.by_units = free and "ByteLevel" in str(self.a.pre_tokenizer) and "use_regex=True" in str(self.a.pre_tokenizer)
         a, b = self.encode([_CHECK])
@@ -152,9 +159,9 @@ class Alignment:
         ends = np.flatnonzero(either)
         a_at, b_at = (np.cumsum(x, dtype=np.int32)[ends - 1] for x in (in_a, in_b))
         self.key = a[a_at] << ID_BITS | b[b_at]
-        self._tell(a, b, cuts[a_end - 1], cuts[b_end - 1], both[a_end], both[b_end])
+        self._tell(pair.digits, a, b, cuts[a_end - 1], cuts[b_end - 1], both[a_end], both[b_end])
 
-    def _tell(self, a, b, a_group, b_group, a_last, b_last) -> None:
+    def _tell(self, digits, a, b, a_group, b_group, a_last, b_last) -> None:
         """The groups of all texts as one string, and where each text's part ends."""
         groups = int(self.n_groups.sum())
         in_a, in_b = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
@@ -163,7 +170,6 @@ class Alignment:
         ids[place], marks[place] = a, np.where(a_last, ord("|"), ord(","))
         place = np.arange(len(b)) + np.cumsum(in_a)[b_group]
         ids[place], marks[place] = b, np.where(b_last, ord(";"), ord(","))
-        digits = _digits(int(ids.max(initial=0)) + 1)
         text = np.concatenate([digits[ids], marks[:, None]], 1)
         shown = text > 0
         size = np.cumsum(np.concatenate(([0], shown.sum(1, dtype=np.int64))))
@@ -183,56 +189,78 @@ BLOCKS = (
 )
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """Index ranges of texts that stay under a slice's bytes together, and their bytes."""
+    at = size = 0
+    for i, length in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > at and size + length > min(SLICE_BYTES, BLOCK_BYTES):
+            yield at, i, size
+            at, size = i, 0
+        size += length
+    if at < len(texts):
+        yield at, len(texts), size
+
+
+def _aligned(pair: Pair, store: bpe.Kept, texts: list[str | None], keep_groups: bool) -> dict[str, np.ndarray | list]:
+    """Figures of a slice's texts, its distinct pairs with counts, and for each
+    text the places of its pairs and how often."""
+    units = list(map(pair.units, texts))
+    cache = store.of(units)
+    tokens = []
+    for parts in units:
+        got = list(map(cache.__getitem__, parts))
+        tokens.append((b"", b"") if None in got else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+    found = Alignment(pair, tokens)
+    keys, at, n = np.unique(found.key, return_inverse=True, return_counts=True)
+    text = np.repeat(np.arange(len(texts)), found.n_links)
+    met, times = np.unique(text * max(1, len(keys)) + at, return_counts=True)
+    text, place = np.divmod(met, max(1, len(keys)))
+    groups = found.groups()
+    digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+    whole = {x: getattr(found, x) for x in FIGURES} | {"groups_sha256": digests, "n_pairs": np.bincount(text, minlength=len(texts))}
+    whole |= {"place": place.astype(np.int32), "times": times.astype(np.int32), "pair": keys, "n": n}
+    return whole | ({"groups": groups} if keep_groups else {})
+
+
+def _gathered(slices: list[dict]) -> dict[str, np.ndarray | list]:
+    """The slices of a block as one: each distinct pair once."""
+    keys, at = np.unique(np.concatenate([x["pair"] for x in slices]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, at, np.concatenate([x["n"] for x in slices]))
+    before = np.cumsum([0, *(len(x["pair"]) for x in slices)]).tolist()
+    place = [at[i:j][x["place"]] for i, j, x in zip(before, before[1:], slices, strict=False)]
+    lists = {c: list(chain.from_iterable(x[c] for x in slices)) for c in ("doc_id", "groups_sha256", "groups") if c in slices[0]}
+    arrays = {c: np.concatenate([x[c] for x in slices]) for c in (*FIGURES, "n_pairs", "times")}
+    return lists | arrays | {"place": np.concatenate(place), "pair": keys, "n": n}
+
+
 def _block_rows(docs: DataFrame, byte_level: str, pieces: str, keep_groups: bool) -> DataFrame:
-    """A row for each block of texts: their figures, the block's distinct pairs
-    with counts, and for each text the places of its pairs and how often."""
-    kept = ", groups array<string>" * keep_groups
-
-    def row(block: int, ids: list, tokens: list[tuple[bytes, bytes]], pair: Pair) -> pa.RecordBatch:
-        found = Alignment(pair, tokens)
-        keys, at, n = np.unique(found.key, return_inverse=True, return_counts=True)
-        text = np.repeat(np.arange(len(ids)), found.n_links)
-        met, times = np.unique(text * max(1, len(keys)) + at, return_counts=True)
-        text, place = np.divmod(met, max(1, len(keys)))
-        groups = found.groups()
-        digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-        int_, long = pa.int32(), pa.int64()
-        columns = [
-            pa.array([block], long),
-            pa.array([ids], pa.list_(long)),
-            *[pa.array([getattr(found, x)], pa.list_(int_)) for x in FIGURES],
-            pa.array([digests], pa.list_(pa.string())),
-            *[pa.array([x], pa.list_(int_)) for x in (np.bincount(text, minlength=len(ids)), place, times)],
-            pa.array([keys], pa.list_(long)),
-            pa.array([n], pa.list_(long)),
-        ]
-        names = ["block", "doc_id", *FIGURES, "groups_sha256", "n_pairs", "place", "times", "pair", "n"]
-        if keep_groups:
-            columns.append(pa.array([groups], pa.list_(pa.string())))
-            names.append("groups")
-        return pa.RecordBatch.from_arrays(columns, names)
+    """A row for each block of texts: what its slices gather to."""
+    schema = BLOCKS + ", groups array<string>" * keep_groups
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = {"doc_id": pa.int64(), "pair": pa.int64(), "n": pa.int64(), "groups_sha256": pa.string(), "groups": pa.string()}
+
+    def row(block: int, slices: list[dict]) -> pa.RecordBatch:
+        whole = _gathered(slices)
+        lists = [pa.array([whole[c]], pa.list_(types.get(c, pa.int32()))) for c in names[1:]]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], names)
 
     def run(batches):
         pair, store = _pair(byte_level, pieces)
-        block, size = TaskContext.get().partitionId() << 32, 0
-        ids, tokens = [], []
+        block, size, slices = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            units = list(map(pair.units, texts))
-            cache = store.of(units)
-            for doc_id, text, parts in zip(batch["doc_id"].to_pylist(), texts, units, strict=True):
-                length = len(text or "")
-                if ids and size + length > BLOCK_BYTES:
-                    yield row(block, ids, tokens, pair)
-                    block, size, ids, tokens = block + 1, 0, [], []
-                got = list(map(cache.__getitem__, parts))
-                ids.append(doc_id)
-                tokens.append((b"", b"") if None in got else (b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+            for i, j, length in _slices(batch["text"]):
+                if slices and size + length > BLOCK_BYTES:
+                    yield row(block, slices)
+                    block, size, slices = block + 1, 0, []
+                part = batch.slice(i, j - i)
+                ids = {"doc_id": part["doc_id"].to_pylist()}
+                slices.append(ids | _aligned(pair, store, part["text"].to_pylist(), keep_groups))
                 size += length
-        if ids:
-            yield row(block, ids, tokens, pair)
+        if slices:
+            yield row(block, slices)
 
-    return map_arrow(docs, run, BLOCKS + kept)
+    return map_arrow(docs, run, schema)
 
 
 def _read(docs: DataFrame, byte_level: str, pieces: str, keep_groups: bool = False) -> DataFrame:
