@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,6 +103,24 @@ def test_a_worker_holds_a_slice_not_a_block(monkeypatch):
     assert peak < 130e6  # 346 MB with arrays and strings of the whole block
 
 
+def test_blocks_of_a_file_are_read_one_by_one(spark, monkeypatch):
+    # Spark reads all rows of a row group, up to 4096, as one batch
+    monkeypatch.setattr(align, "BLOCK_BYTES", 500)
+    rows = [(i, t) for i, t, *_ in data.documents() if i is not None]
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "2")  # a slice is of one batch
+    try:
+        blocks = align._read(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), *FILES)
+    finally:
+        spark.conf.set(setting, before)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert set(groups) == {1}
+    assert len(groups) == blocks.count() > 20
+    assert sorted(i for r in blocks.collect() for i in r["doc_id"]) == sorted(i for i, _ in rows)
+
+
 def test_no_documents_no_rows_and_texts_without_tokens(spark):
     assert align.align_documents(spark.createDataFrame([], data.SCHEMA), *FILES).count() == 0
     frame = spark.createDataFrame([(None, None), (1, ""), (2, "▁")], "doc_id long, text string")

@@ -265,7 +265,8 @@ def _block_rows(docs: DataFrame, byte_level: str, pieces: str, keep_groups: bool
 
 def _read(docs: DataFrame, byte_level: str, pieces: str, keep_groups: bool = False) -> DataFrame:
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return materialize(_block_rows(whole, byte_level, pieces, keep_groups), "aligned-blocks")
+    # a file has a block for each 4 MB of its task's texts: they are read one by one
+    return materialize(_block_rows(whole, byte_level, pieces, keep_groups), "aligned-blocks", rows_in_group=1)
 
 
 def _count(pairs: DataFrame) -> DataFrame:
